@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid, mixing, quality
+from gridloom.llm import brown, decontam, fingerprint, html_text, langid, mixing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_order_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op5_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,18 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(_table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(_table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     n_words, ranges, found = decontam.names(docs)
@@ -99,7 +115,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 
 
 def queries() -> dict:
-    named = (op3_quality_mil, op5_language_kernel, op6_mix_sources, op9_decontaminate)
+    named = (op3_quality_mil, op4_order_minhash_fingerprints, op5_language_kernel, op6_mix_sources, op7_brown_lm, op8_html_text, op9_decontaminate, op10_toxicity_knn)
     return {f.__name__: f for f in named}
 
 
