@@ -53,21 +53,30 @@ def presence(text: bytes | None) -> np.ndarray | None:
     return seen
 
 
-def fit(vectors: np.ndarray, labels: np.ndarray, languages: list, landmarks: int, ridge: float) -> np.ndarray:
-    """Cells by languages: what a text's presence vector, divided by its root length, is multiplied with."""
-    unit = vectors / np.sqrt(np.maximum(vectors.sum(1, keepdims=True), 1))
+def _unit(packed: np.ndarray) -> np.ndarray:
+    """Presence vectors from bits, divided by their root length."""
+    x = np.unpackbits(packed, axis=1).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    return x
+
+
+def fit(packed: np.ndarray, labels: np.ndarray, languages: list, landmarks: int, ridge: float) -> np.ndarray:
+    """Cells by languages: what a text's presence vector, divided by its root length, is multiplied with.
+
+    ``packed`` has one row of bits per text; only the landmarks and a slice of the rest are unpacked at a time.
+    """
     # Landmarks: the same number from each language, in sample order.
     rank = np.empty(len(labels), int)
     for k in range(len(languages)):
         rank[labels == k] = np.arange((labels == k).sum())
-    marks = unit[np.lexsort((labels, rank))[:landmarks]]
+    marks = _unit(packed[np.lexsort((labels, rank))[:landmarks]])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-6 * value.max()
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    features = (unit @ marks.T) @ whiten
+    features = np.concatenate([_unit(packed[s : s + 64]) @ marks.T for s in range(0, len(packed), 64)]) @ whiten
     target = np.where(labels[:, None] == np.arange(len(languages)), 1.0, -1.0)
     weight = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ target)
-    return (marks.T @ (whiten @ weight)).astype(np.float32)
+    return (marks.T @ (whiten @ weight).astype(np.float32)).astype(np.float32)
 
 
 def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 600, landmarks: int = 256, ridge: float = 1.0, sharpness: float = 4.0) -> DataFrame:
@@ -83,8 +92,8 @@ def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", label:
     languages = sorted({r[0] for r in rows})
     weights = None
     if languages:
-        vectors = np.unpackbits(np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
-        weights = fit(vectors, np.array([languages.index(r[0]) for r in rows]), languages, landmarks, ridge)
+        packed = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+        weights = fit(packed, np.array([languages.index(r[0]) for r in rows]), languages, landmarks, ridge)
     held = docs.sparkSession.sparkContext.broadcast((languages, weights))
 
     def make():
