@@ -111,10 +111,8 @@ class Network:
         return self
 
 
-def train(labelled: DataFrame, *, per_label: int = 3000, max_passages: int = 60_000) -> Network | float:
-    """``labelled`` has doc_id, text and label (0 or 1). A number if there is nothing to tell apart."""
-    known = labelled.filter("label is not null").withColumn("label", F.col("label").cast("int"))
-    sample, counts = bounded_sample(known, "doc_id", "label", per_label, "quality")
+def train(sample: DataFrame, counts: dict, *, max_passages: int = 60_000) -> Network | float:
+    """From :func:`labelled_sample`. A number if there is nothing to tell apart."""
     if len(counts) < 2:
         return float(next(iter(counts), 1))
     field = T.StructField("bag", T.BinaryType())
@@ -165,22 +163,28 @@ def score(docs: DataFrame, model: Network | float, *, text: str = "text", name:
     return append_columns(docs, text, make, [T.StructField(name, T.DoubleType()), T.StructField(f"{name}_passages", T.LongType()), T.StructField(f"{name}_attention", T.DoubleType())])
 
 
-def labelled_texts(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, label of the labelled documents outside the held-out fold; a document's first label counts once."""
-    one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(fold(F.col("doc_id"), 5) != 0).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    return id_and_text(documents).join(one, "doc_id")
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_label: int, seed: str) -> tuple[DataFrame, dict]:
+    """(doc_id, text, label) of about ``per_label`` documents of each label outside the held-out fold, and how many labels there are of each.
 
+    The sample is drawn from the labels, so that what is broadcast to the documents
+    has a bounded number of rows and no text is shuffled. Of several labels of a document the greatest counts.
+    """
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(fold(F.col("doc_id"), 5) != 0)
+    one = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    drawn, counts = bounded_sample(one, "doc_id", "label", per_label, seed)
+    return id_and_text(documents).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label"), counts
 
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, per_label: int = 3000, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, passages and highest attention for every document."""
-    model = train(labelled_texts(documents, labels, "quality"), **options)
+    model = train(*labelled_sample(documents, labels, "quality", per_label, "quality"), **options)
     out = score(id_and_text(documents), model)
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("score_passages").alias("n_passages"), F.col("score_attention").alias("top_attention"))
 
 
-def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, per_label: int = 3000, **options) -> DataFrame:
     """The documents that score at least ``threshold``; same columns as ``documents``."""
-    model = train(labelled_texts(documents, labels, "quality"), **options)
+    model = train(*labelled_sample(documents, labels, "quality", per_label, "quality"), **options)
     name = "_quality"
     while any(c.lower().startswith(name) for c in documents.columns):
         name = f"_{name}"

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns, bounded_sample, durable, fold, id_and_text, words
-from gridloom.llm.quality import labelled_texts
+from gridloom.llm.common import append_columns, durable, fold, id_and_text, words
+from gridloom.llm.quality import labelled_sample
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
 
@@ -127,9 +127,8 @@ def _vector(text: bytes | None, known: dict[bytes, int], idf: np.ndarray) -> tup
     return key, terms, values / np.linalg.norm(values)
 
 
-def classify(docs: DataFrame, labelled: DataFrame, *, k: int = 25, per_label: int = 4000, max_terms: int = 512, least_chi: float = 25.0) -> DataFrame:
+def classify(docs: DataFrame, sample: DataFrame, totals: dict, *, k: int = 25, max_terms: int = 512, least_chi: float = 25.0) -> DataFrame:
     """Columns of ``docs`` (doc_id, text, ...) plus score and evidence, the nearest examples with their cosines."""
-    sample, totals = bounded_sample(labelled.filter("label in (0, 1)"), "doc_id", "label", per_label, "toxicity")
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     terms: list[bytes] = []
     if len(totals) == 2:
@@ -202,7 +201,7 @@ def classify(docs: DataFrame, labelled: DataFrame, *, k: int = 25, per_label: in
     return append_columns(docs, "text", make, [T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE)])
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 4000, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every document."""
-    out = classify(id_and_text(documents), labelled_texts(documents, labels, "toxic"), **options)
+    out = classify(id_and_text(documents), *labelled_sample(documents, labels, "toxic", per_label, "toxicity"), **options)
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
