@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import brown, decontam, fingerprint, html_text, langid, mixing, pii, quality, toxicity
+from gridloom.llm import brown, decontam, fingerprint, html_text, langid, mixing, neardup, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op2_order_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document, the first document with the same text, and whether it is the one that stays."""
+    return neardup.classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -119,7 +124,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 
 
 def queries() -> dict:
-    named = (op1_personal_data, op3_quality_mil, op4_order_minhash_fingerprints, op5_language_kernel, op6_mix_sources, op7_brown_lm, op8_html_text, op9_decontaminate, op10_toxicity_knn)
+    named = (op1_personal_data, op2_order_minhash_dedup, op3_quality_mil, op4_order_minhash_fingerprints, op5_language_kernel, op6_mix_sources, op7_brown_lm, op8_html_text, op9_decontaminate, op10_toxicity_knn)
     return {f.__name__: f for f in named}
 
 
