@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the words that a chi-square test on labelled documents ties to the label;
-their inverse document frequencies are counted over all documents. Examples are
+Terms are the words that a chi-square test on labelled documents ties to the label, and
+that are several times as frequent there; their inverse document frequencies are counted over all documents. Examples are
 labelled documents as unit TF-IDF vectors, held in an inverted index that is cut into
 blocks with the highest weight of each term in each block. A search goes through the
 blocks by falling upper bound and ends when no bound can reach the k-th best cosine,
@@ -32,8 +32,8 @@ from gridloom.llm.quality import labelled_sample
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
 
 
-def select_terms(sample: DataFrame, totals: dict[int, int], max_terms: int, least: float) -> list[bytes]:
-    """Words whose document frequency is tied to label 1, the strongest first."""
+def select_terms(sample: DataFrame, totals: dict[int, int], max_terms: int, least: float, ratio: float) -> list[bytes]:
+    """Words whose document frequency is tied to label 1, and ``ratio`` times as high there, the strongest first."""
 
     def run(batches):
         for batch in batches:
@@ -45,10 +45,10 @@ def select_terms(sample: DataFrame, totals: dict[int, int], max_terms: int, leas
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.binary()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "label", "n"])
 
     n1, n0 = float(totals[1]), float(totals[0])
-    per = sample.select("text", "label").mapInArrow(run, "word binary, label int, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
+    per = sample.select("text", "label").distinct().mapInArrow(run, "word binary, label int, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * n0)
-    strong = per.filter((a >= 3) & (a / n1 > b / n0) & (a + b < n)).withColumn("chi", chi).filter(F.col("chi") >= least)
+    strong = per.filter((a >= 5) & (a / n1 >= ratio * b / n0) & (a + b < n)).withColumn("chi", chi).filter(F.col("chi") >= least)
     return [bytes(r.word) for r in strong.orderBy(F.desc("chi"), "word").limit(max_terms).collect()]
 
 
@@ -96,9 +96,10 @@ class Examples:
             best_at, best = at[top], cosine[top]
         return best_at, best
 
-    def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
+    def vote(self, at: np.ndarray, cosine: np.ndarray, prior: float, strength: float = 2.0) -> float:
+        """Weighted share of label 1, drawn to ``prior`` as by ``strength`` neighbours of that share: a few copies of one example are little evidence."""
         power = cosine * self.weights[at]
-        return float((power * self.labels[at]).sum() / power.sum())
+        return float(((power * self.labels[at]).sum() + strength * prior) / (power.sum() + strength))
 
 
 def logistic(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -127,14 +128,14 @@ def _vector(text: bytes | None, known: dict[bytes, int], idf: np.ndarray) -> tup
     return key, terms, values / np.linalg.norm(values)
 
 
-def classify(docs: DataFrame, sample: DataFrame, totals: dict, *, k: int = 25, max_terms: int = 512, least_chi: float = 25.0) -> DataFrame:
+def classify(docs: DataFrame, sample: DataFrame, totals: dict, *, k: int = 25, max_terms: int = 512, least_chi: float = 40.0, least_ratio: float = 5.0) -> DataFrame:
     """Columns of ``docs`` (doc_id, text, ...) plus score and evidence, the nearest examples with their cosines."""
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     terms: list[bytes] = []
     if len(totals) == 2:
         sample = durable(sample)
         taken = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-        terms = select_terms(sample, taken, max_terms, least_chi) if len(taken) == 2 else []
+        terms = select_terms(sample, taken, max_terms, least_chi, least_ratio) if len(taken) == 2 else []
     index, known, idf, curve, empty_vote = None, {}, np.zeros(0), None, share
     if terms:
         frequency, n_docs = document_frequencies(docs, terms)
@@ -172,12 +173,12 @@ def classify(docs: DataFrame, sample: DataFrame, totals: dict, *, k: int = 25, m
             at, cosine = cache[key]
             others = at != i
             at, cosine = at[others][:k], cosine[others][:k]
-            votes.append(index.vote(at, cosine) if len(at) else empty_vote)
+            votes.append(index.vote(at, cosine, share) if len(at) else empty_vote)
         curve = logistic(np.append(votes, np.full(none.sum(), empty_vote)), np.append(index.labels, y[none]), np.append(index.weights, weight[none]))
-    held = docs.sparkSession.sparkContext.broadcast((index, known, idf, curve, empty_vote))
+    held = docs.sparkSession.sparkContext.broadcast((index, known, idf, curve, empty_vote, share))
 
     def make():
-        index, known, idf, curve, empty_vote = held.value
+        index, known, idf, curve, empty_vote, share = held.value
         cache: dict = {}
 
         def judged(value):
@@ -185,7 +186,7 @@ def classify(docs: DataFrame, sample: DataFrame, totals: dict, *, k: int = 25, m
             key = v[0] if v else None
             if key not in cache:
                 at, cosine = index.search(v[1], v[2], k) if v else (np.zeros(0, int), np.zeros(0))
-                vote = index.vote(at, cosine) if len(at) else empty_vote
+                vote = index.vote(at, cosine, share) if len(at) else empty_vote
                 score = vote if curve is None else float(1 / (1 + np.exp(-(curve[0] * vote + curve[1]))))
                 if len(cache) > 50_000:
                     cache.clear()
