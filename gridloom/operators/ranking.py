@@ -50,7 +50,8 @@ def best_curve(curves: DataFrame, target: str = "target") -> DataFrame:
 def representative_queries(df: DataFrame, key: str, value: str, label: str, classes: tuple[str, ...]) -> DataFrame:
     """Rows of highest and lowest value, and of each class the row nearest its median; a row keeps its first reason."""
     best = df.agg(F.max_by(key, F.struct(F.col(value), -F.col(key))).alias("high"), F.min_by(key, F.struct(value, key)).alias("low"))
-    picks = best.select(F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit("highest").alias("reason"), F.col("high").alias(key)), F.struct(F.lit(2), F.lit("lowest"), F.col("low")))).alias("p")).select("p.*")
+    pick = lambda n, reason, at: F.struct(F.lit(n).alias("n"), F.lit(reason).alias("reason"), F.col(at).alias(key))
+    picks = best.select(F.explode(F.array(pick(1, "highest", "high"), pick(2, "lowest", "low"))).alias("p")).select("p.*")
     for i, c in enumerate(classes, 3):
         own = df.filter(F.col(label) == c)
         median = own.agg(F.median(value).alias("_m"))
