@@ -17,7 +17,7 @@ links that join components. Exact copies are first reduced to one representative
 document proposes, in each of its buckets, its likeliest partner in another component by
 one-permutation codes; proposals are verified and components joined. A last round verifies
 all pairs left in a bucket that lie in different components and whose codes do not rule out
-the threshold by more than four standard deviations. Buckets over ``block`` members are dealt
+the threshold by more than ``SURE`` standard deviations. Buckets over ``block`` members are dealt
 over blocks; members outside a bucket's largest component go to all of its blocks, so the
 last round still meets every pair of different components.
 
@@ -42,7 +42,9 @@ TABLES, PICK = 40, 5
 SHORT_TABLES, SHORT_PICK = 24, 2
 #: Documents of at most SHORT_MOST shingles use the short tables, of at least LONG_LEAST the long ones. LONG_LEAST / 0.8 < SHORT_MOST.
 SHORT_MOST, LONG_LEAST = 32, 24
-CODES = 128
+CODES = 256
+#: Standard deviations by which codes must miss the threshold to rule a pair out.
+SURE = 3.5
 #: Ids above this number are found by a join with shuffle and not by a broadcast.
 BROADCAST_IDS = 2_000_000
 
@@ -125,7 +127,7 @@ def codes(x: np.ndarray) -> bytes:
     """One byte for each bin of hash values: of the bin's least value, 0 if the bin is empty."""
     out = np.zeros(CODES, np.uint8)
     v = np.sort(_mix(x ^ np.uint64(0xA0761D6478BD642F)))
-    bins = (v >> np.uint64(57)).astype(np.int64)
+    bins = (v >> np.uint64(56)).astype(np.int64)
     first = np.concatenate(([True], bins[1:] != bins[:-1])) if len(v) else np.zeros(0, bool)
     out[bins[first]] = (v[first] >> np.uint64(8)).astype(np.uint64) % np.uint64(255) + np.uint64(1)
     return out.tobytes()
@@ -149,12 +151,17 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, n int, keys array<long>, code binary")
 
 
-def _possible(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity by row, and whether it may reach the threshold."""
-    either = ((a != 0) | (b != 0)).sum(-1)
-    same = ((a == b) & (a != 0)).sum(-1)
-    estimate = same / np.maximum(either, 1)
-    return estimate, estimate >= threshold - 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(either, 1))
+def _possible(a: np.ndarray, b: np.ndarray, total: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity by row, and whether it may reach the threshold.
+
+    The bins that either has are a sample, without replacement, of the shingles that
+    either has; those are ``total`` / (1 + threshold) at the threshold. So the variance has a
+    finite-population factor: codes of short documents are nearly a full count.
+    """
+    either = np.maximum(((a != 0) | (b != 0)).sum(-1), 1)
+    estimate = ((a == b) & (a != 0)).sum(-1) / either
+    rest = np.clip(1 - either * (1 + threshold) / np.maximum(total, 1), 0, 1)
+    return estimate, estimate >= threshold - SURE * np.sqrt(threshold * (1 - threshold) / either * rest + 1e-4)
 
 
 def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> DataFrame:
@@ -173,7 +180,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> Dat
             i, j = np.nonzero(ok)
             for p in range(0, len(i), 100_000):
                 x, y = i[p : p + 100_000] + s, j[p : p + 100_000]
-                estimate, possible = _possible(code[x], code[y], threshold)
+                estimate, possible = _possible(code[x], code[y], n[x] + n[y], threshold)
                 yield x[possible], y[possible], estimate[possible]
 
     def run(batches):
@@ -190,7 +197,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> Dat
             x, y = twos, twos + 1
             keep = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
             x, y = x[keep], y[keep]
-            _, possible = _possible(code[x], code[y], threshold)
+            _, possible = _possible(code[x], code[y], n[x] + n[y], threshold)
             out_a.append(ids[x[possible]])
             out_b.append(ids[y[possible]])
             for s, k in zip(start[size > 2], size[size > 2], strict=True):
@@ -318,29 +325,40 @@ def components(edges: DataFrame) -> DataFrame:
     """id and comp, the least id of its component, of every id in ``edges`` (a, b).
 
     Large-star and small-star steps in turn (Kiveris et al., 2014): each step hangs
-    neighbours on a lesser one until all hang on the least.
+    neighbours on a lesser one until all hang on the least. Tables are written in as
+    many parts as their edges need.
     """
-    spark = edges.sparkSession
     now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    parts = max(6, now.count() // 500_000)
     if now.isEmpty():
-        return spark.createDataFrame([], "id long, comp long")
+        return edges.sparkSession.createDataFrame([], "id long, comp long")
     total = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()
-        down = durable(large)
-        small_least = down.groupBy("u").agg(F.min("v").alias("w"))
-        small = down.join(small_least, "u").select(F.col("v").alias("x"), "u", "w")
-        stars = small.filter("x <> w").select(F.col("x").alias("u"), F.col("w").alias("v")).union(small.select("u", F.col("w").alias("v"))).filter("u <> v").distinct()
-        now = durable(stars)
-        # Done when every id but the roots has one edge, and no root hangs on another.
+        down = durable(large.coalesce(parts))
+        small = down.join(down.groupBy("u").agg(F.min("v").alias("w")), "u")
+        stars = small.filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")).union(small.select("u", F.col("w").alias("v"))).filter("u <> v").distinct()
+        now = durable(stars.coalesce(parts))
+        # Done when a step changes nothing: the sums stay.
         state = now.agg(F.count("*"), F.sum("v"), F.sum("u")).first()
         if state == total:
             break
         total = state
     hung = now.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
-    return durable(hung.union(hung.select(F.col("comp").alias("id"), "comp").distinct()))
+    return durable(hung.union(hung.select(F.col("comp").alias("id"), "comp").distinct()).coalesce(parts))
+
+
+def joined_components(comps: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components after more links: only the links between components are worked on."""
+    if comps is None:
+        return components(found)
+    of = lambda c: comps.select(F.col("id").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    more = components(between)
+    moved = comps.join(more.select(F.col("comp").alias("to"), F.col("id").alias("comp")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return durable(moved.union(more.join(moved.select("id"), "id", "left_anti")))
 
 
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, rounds: int = 2, block: int = 2048) -> DataFrame:
@@ -358,7 +376,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     n_ids = ids.count()
     about = durable(_only(distinct.select("id", "n", "code"), ids, n_ids))
     table = shingle_table(given, reps, ids, n_ids)
-    edges, tested, comps = None, None, None
+    tested, comps = None, None
     for number in range(rounds + 1):
         last = number == rounds
         state = about.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if comps is not None else about.withColumn("comp", F.col("id"))
@@ -377,8 +395,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         found = durable(verify(pairs, table, threshold))
         tested = pairs if tested is None else tested.union(pairs)
-        edges = found if edges is None else edges.union(found)
-        comps = components(edges)
+        comps = joined_components(comps, found)
     out = sketched.select("id", "digest").join(copies, "digest").withColumnRenamed("rep", "copy_of").join(comps.withColumnRenamed("id", "copy_of"), "copy_of", "left")
     alone = given.filter("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"))
     return out.select(F.col("id").alias("doc_id"), F.coalesce("comp", "copy_of").alias("class_id"), "copy_of").union(alone)
