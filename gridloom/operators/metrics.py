@@ -144,7 +144,7 @@ def stretched(long: DataFrame, limits: DataFrame) -> DataFrame:
     """Truth and prediction scaled to the band's limits and clipped; equal limits scale by 1."""
     scale = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
     clip = lambda c: F.least(F.greatest((F.col(c) - F.col("low")) / scale, F.lit(0.0)), F.lit(1.0))
-    return long.join(F.broadcast(limits), "band").withColumns({"actual": clip("actual"), "predicted": clip("predicted")}).drop("low", "high")
+    return long.join(limits, "band").withColumns({"actual": clip("actual"), "predicted": clip("predicted")}).drop("low", "high")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
@@ -163,7 +163,7 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return df.join(F.broadcast(q), group).groupBy(group, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"))
+    return df.join(q, group).groupBy(group, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"))
 
 
 def spread(metrics: DataFrame, keys: list[str], value: str = "r2") -> DataFrame:

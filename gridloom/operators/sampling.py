@@ -2,8 +2,8 @@
 
 Draws come from :func:`hash01` over a row's key, so they do not depend on partitioning.
 Where the number of rows is fixed, a group's rows are ordered by that draw, and ties
-go to the key. Groups are strata, blocks or classes; orders over a whole table use range
-partitions and offsets, never a window on one partition.
+go to the key. Orders over a whole table or a large group use range partitions and
+offsets, never a window on one partition.
 """
 
 from __future__ import annotations
@@ -46,17 +46,29 @@ def pixel_centres(df: DataFrame, tiles: DataFrame) -> DataFrame:
     return out.withColumn("x", F.col("c") + F.col("a") * x + F.col("b") * y).withColumn("y", F.col("f") + F.col("d") * x + F.col("e") * y).drop("a", "b", "c", "d", "e", "f", "row_off", "col_off")
 
 
-def consecutive_ids(df: DataFrame, order: list[Column | str], name: str = "sample_id") -> DataFrame:
-    """0, 1, 2, ... in the given order, which must be total.
+def ranks_within(df: DataFrame, group: list[str], order: list[Column | str], name: str, total: str | None = None) -> DataFrame:
+    """Ranks 1, 2, ... of each group's rows in the given order, which must be total, and the group's size as ``total``.
 
-    Rows are range-partitioned; each partition numbers its own, and only the
-    partitions' counts, one row each, are summed up across partitions.
+    Rows are range-partitioned by group and order, so a group of any size is spread over
+    tasks. Each part numbers its own rows; only counts, one row for each part and group,
+    are summed up across parts.
     """
-    spread = durable(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    counts = spread.groupBy("_part").count()
-    offsets = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_offset"))
-    return spread.withColumn("_n", F.row_number().over(inside) - 1).join(offsets, "_part").withColumn(name, (F.col("_n") + F.col("_offset")).cast("long")).drop("_part", "_n", "_offset")
+    spread = durable(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    counts = spread.groupBy("_part", *group).count()
+    own = Window.partitionBy(*group)
+    offsets = counts.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], (F.sum("count").over(own.orderBy("_part")) - F.col("count")).alias("_offset"), F.sum("count").over(own).alias("_total"))
+    same = F.col("_part") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    numbered = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))).join(offsets, same)
+    out = numbered.withColumn(name, (F.col("_row") + F.col("_offset")).cast("long"))
+    out = out.withColumn(total, F.col("_total").cast("long")) if total else out
+    return out.drop("_part", "_p", "_row", "_offset", "_total", *[f"_g{i}" for i in range(len(group))])
+
+
+def consecutive_ids(df: DataFrame, order: list[Column | str], name: str = "sample_id") -> DataFrame:
+    """0, 1, 2, ... in the given order, which must be total."""
+    return ranks_within(df, [], order, name).withColumn(name, F.col(name) - 1)
 
 
 def random_holdout(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
@@ -68,9 +80,8 @@ def random_holdout(df: DataFrame, key: str, share: float, seed: int) -> DataFram
 
 def per_stratum(df: DataFrame, strata: list[str], key: str, quota: Column | int, seed: int) -> DataFrame:
     """Flag ``_taken``: the first ``quota`` rows of a stratum by draw. ``quota`` may use ``_n``, the stratum's size."""
-    w = Window.partitionBy(*strata)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(hash01(key, seed=seed), key)))
-    return ranked.withColumn("_taken", F.col("_rank") <= (quota if isinstance(quota, Column) else F.lit(quota))).drop("_rank")
+    ranked = ranks_within(df.withColumn("_u", hash01(key, seed=seed)), strata, ["_u", key], "_rank", "_n")
+    return ranked.withColumn("_taken", F.col("_rank") <= (quota if isinstance(quota, Column) else F.lit(quota))).drop("_rank", "_u")
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
@@ -141,10 +152,9 @@ def pair_sample(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
 
 def quantile_bin(df: DataFrame, group: list[str], value: str, key: str, bins: int, name: str) -> DataFrame:
     """Quantile bins of a group's ranks (ties by key), by the edges that interpolation gives; not ntile."""
-    w = Window.partitionBy(*group)
-    r = F.row_number().over(w.orderBy(value, key))
-    n = F.count("*").over(w)
-    return df.withColumn(name, F.when(n == 1, 0).otherwise(F.greatest(F.ceil((r - 1) * bins / F.nullif(n - 1, F.lit(0))) - 1, F.lit(0))).cast("int"))
+    ranked = ranks_within(df, group, [value, key], "_r", "_n")
+    r, n = F.col("_r"), F.col("_n")
+    return ranked.withColumn(name, F.when(n == 1, 0).otherwise(F.greatest(F.ceil((r - 1) * bins / F.nullif(n - 1, F.lit(0))) - 1, F.lit(0))).cast("int")).drop("_r", "_n")
 
 
 def spatial_blocks(df: DataFrame, key: str, region: str = "region", lat: str = "latitude", lon: str = "longitude", bins: int = 4) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.stats import hash01, safe_r
 from gridloom.functions.vectors import unit
+from gridloom.operators.sampling import ranks_within
+from gridloom.sources.scratch import durable
 
 
 def _blocks(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
@@ -66,9 +68,9 @@ def spatial_knn(points: DataFrame, group: list[str], key: str, k: int = 8, x: st
     neighbours bound the distance, then every strip within that distance is joined.
     """
     keys = [F.col(g) for g in group]
-    w = Window.partitionBy(*group)
     p = points.select(*keys, F.col(key).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
-    p = p.withColumn("strip", F.floor((F.row_number().over(w.orderBy("x", "i")) - 1) / cell)).withColumn("strips", F.max("strip").over(w) + 1)
+    p = ranks_within(p, group, ["x", "i"], "_r", "_n")
+    p = durable(p.withColumn("strip", F.floor((F.col("_r") - 1) / cell)).withColumn("strips", F.ceil(F.col("_n") / cell)).drop("_r", "_n"))
     span = p.groupBy(*group, "strip").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     q = p.drop("strips").withColumnsRenamed({"i": "j", "x": "x2", "y": "y2"})
     gap = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
