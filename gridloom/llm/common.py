@@ -3,38 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in local tests, a temporary folder is made once
-    per session and remembered in the session's configuration.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-gridloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    The lineage ends there, so a lost executor costs a re-read and not a
-    recomputation, and several consumers share one evaluation.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/gridloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from gridloom.sources.scratch import durable  # noqa: F401 (the operators take it from here)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -61,7 +37,8 @@ def append_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        # Slices keep what is held as Python objects small beside the batch itself.
+        for batch in (b.slice(s, 1000) for b in batches for s in range(0, b.num_rows, 1000)):
             values = batch.column(at).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(values)], names=names)
 

@@ -137,7 +137,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, text hash, number of shingles, keys, codes for every row with a text, in one pass without a shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(s, 1000) for b in batches for s in range(0, b.num_rows, 1000)):
             values = batch.column(1).cast(pa.binary()).to_pylist()
             digests, sizes, keys, code = [], [], [], []
             for v in values:
@@ -178,8 +178,8 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> Dat
             short, long = np.minimum(n[s:e, None], n[None]), np.maximum(n[s:e, None], n[None])
             ok = (comp[s:e, None] != comp[None]) & (short >= threshold * long - 1e-9)
             i, j = np.nonzero(ok)
-            for p in range(0, len(i), 100_000):
-                x, y = i[p : p + 100_000] + s, j[p : p + 100_000]
+            for p in range(0, len(i), 10_000):
+                x, y = i[p : p + 10_000] + s, j[p : p + 10_000]
                 estimate, possible = _possible(code[x], code[y], n[x] + n[y], threshold)
                 yield x[possible], y[possible], estimate[possible]
 
@@ -293,10 +293,10 @@ def shingle_table(docs: DataFrame, reps: DataFrame, ids: DataFrame, n: int) -> D
     def run(batches):
         for batch in batches:
             values = batch.column(1).cast(pa.binary()).to_pylist()
-            for s in range(0, len(values), 1000):
-                part = values[s : s + 1000]
+            for s in range(0, len(values), 500):
+                part = values[s : s + 500]
                 packed = [(shingles(v) >> np.uint64(32)).astype(np.uint32).tobytes() for v in part]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 1000], pa.array([hashlib.md5(v).digest() for v in part], pa.binary()), pa.array(packed, pa.binary())], names=["id", "digest", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s : s + 500], pa.array([hashlib.md5(v).digest() for v in part], pa.binary()), pa.array(packed, pa.binary())], names=["id", "digest", "s"])
 
     texts = _only(docs.filter("text is not null").select(F.col("doc_id").alias("id"), "text"), ids, n)
     table = durable(texts.mapInArrow(run, "id long, digest binary, s binary"))
@@ -312,7 +312,7 @@ def verify(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     few = _only(table, ids, 2 * n)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(s, 1000) for b in batches for s in range(0, b.num_rows, 1000)):
             keep = [similar(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
