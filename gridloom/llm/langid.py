@@ -88,7 +88,7 @@ def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", label:
     def make_bits():
         return lambda values: [pa.array([None if (p := presence(v)) is None else np.packbits(p).tobytes() for v in values], pa.binary())]
 
-    rows = sorted((r.label, bytes(r.bits), r.doc_id) for r in append_columns(sample, "text", make_bits, [bits]).select("label", "bits", "doc_id").filter("bits is not null").collect())
+    rows = sorted((r.label, bytes(r.bits)) for r in append_columns(sample, "text", make_bits, [bits]).select("label", "bits").filter("bits is not null").collect())
     languages = sorted({r[0] for r in rows})
     weights = None
     if languages:
