@@ -14,7 +14,20 @@ def scratch_path(spark: SparkSession, kind: str = "table") -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/gridloom-{kind}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/gridloom-{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+_written: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the tables that this process has written; for the end of a job, when nothing reads them any more."""
+    for path in _written:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.clear()
 
 
 def durable(df: DataFrame) -> DataFrame:
