@@ -24,7 +24,7 @@ def _blocks(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
     """(block, ids, flat): vectors of a block behind one another."""
     n = max(1, -(-df.count() // block))
     dealt = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r")).select("block", F.transform("r", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias("flat"))
+    return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r")).select("block", F.transform("r", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias("flat")).repartition(min(n, 200))
 
 
 def knn(df: DataFrame, key: str, vector: str, k: int, *, metric: str = "cosine", skip_first: int = 0, block: int = 2000, queries: DataFrame | None = None) -> DataFrame:
@@ -37,8 +37,8 @@ def knn(df: DataFrame, key: str, vector: str, k: int, *, metric: str = "cosine",
     data = df.withColumn("_v", unit(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double")))
     right = _blocks(data, key, "_v", block)
     left = right if queries is None else _blocks(queries.withColumn("_v", unit(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double"))), key, "_v", block)
-    n = max(1, left.count())
-    pairs = left.select("ids", "flat").crossJoin(right.select(F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))).repartition(min(n * n, 2000))
+    # Each side is dealt by whole blocks, a move linear in the rows; the product of the two streams block pairs and shuffles none.
+    pairs = left.select("ids", "flat").crossJoin(right.select(F.col("ids").alias("ids2"), F.col("flat").alias("flat2")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
