@@ -168,7 +168,7 @@ def test_base_scores_equal_brute_force(spark, sf):
             train.update(w)
             train["\n"] += 1
     n, v = sum(train.values()), len(train)
-    out = brown.score_documents(docs, n_words=200, n_classes=16).toPandas().set_index("doc_id")
+    out = brown.score_documents(docs, n_words=200, n_classes=16, n_lookup=400).toPandas().set_index("doc_id")
     assert len(out) == len(texts) and (out.train_tokens == n).all()
     for i, w in tok.items():
         r, every = out.loc[i], [*w, "\n"]
