@@ -123,6 +123,16 @@ def bucket_keys(x: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def fragments(keys: np.ndarray, n: int) -> bytes:
+    """32 bits of each table's key in a fixed place, 0 where a table is not used."""
+    out = np.zeros(SHORT_TABLES + TABLES, np.uint32)
+    short = SHORT_TABLES if 0 < n <= SHORT_MOST else 0
+    out[:short] = keys[:short].view(np.uint64).astype(np.uint32)
+    if n >= LONG_LEAST:
+        out[SHORT_TABLES:] = keys[short:].view(np.uint64).astype(np.uint32)
+    return out.tobytes()
+
+
 def codes(x: np.ndarray) -> bytes:
     """One byte for each bin of hash values: of the bin's least value, 0 if the bin is empty."""
     out = np.zeros(CODES, np.uint8)
@@ -139,16 +149,17 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in (b.slice(s, 1000) for b in batches for s in range(0, b.num_rows, 1000)):
             values = batch.column(1).cast(pa.binary()).to_pylist()
-            digests, sizes, keys, code = [], [], [], []
+            digests, sizes, keys, code, frags = [], [], [], [], []
             for v in values:
                 x = labelled(shingles(v))
                 digests.append(hashlib.md5(v).digest())
                 sizes.append(len(x))
                 keys.append(bucket_keys(x))
                 code.append(codes(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(code, pa.binary())], names=["id", "digest", "n", "keys", "code"])
+                frags.append(fragments(keys[-1], len(x)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(code, pa.binary()), pa.array(frags, pa.binary())], names=["id", "digest", "n", "keys", "code", "frags"])
 
-    return docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, n int, keys array<long>, code binary")
+    return docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, digest binary, n int, keys array<long>, code binary, frags binary")
 
 
 def _possible(a: np.ndarray, b: np.ndarray, total: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,13 +176,18 @@ def _possible(a: np.ndarray, b: np.ndarray, total: np.ndarray, threshold: float)
 
 
 def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> DataFrame:
-    """Candidate pairs (a < b) of different components from (bucket, part, id, n, code, comp).
+    """Candidate pairs (a < b) of different components from (bucket, part, id, n, code, comp, and frags if exhaustive).
 
-    Proposals: for each member its likeliest partner. Exhaustive: all that are possible.
+    Proposals: for each member its likeliest partner. Exhaustive: all that are possible,
+    each in the first of the tables that put both into one bucket.
     A bucket's part is bounded by the block size; rows arrive sorted by it.
     """
 
-    def group(ids, n, code, comp):
+    def here(a, b, bucket):
+        same = (a == b) & (a != 0)
+        return a[np.arange(len(a)), same.argmax(1)] == np.asarray(bucket).astype(np.int64).view(np.uint64).astype(np.uint32)
+
+    def group(ids, n, code, comp, frag, bucket):
         size = len(ids)
         for s in range(0, size, step := max(1, 4_000_000 // (size * CODES // 16 + 1))):
             e = min(size, s + step)
@@ -181,6 +197,10 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> Dat
             for p in range(0, len(i), 10_000):
                 x, y = i[p : p + 10_000] + s, j[p : p + 10_000]
                 estimate, possible = _possible(code[x], code[y], n[x] + n[y], threshold)
+                if exhaustive:
+                    at = np.flatnonzero(possible & (x < y))
+                    possible = np.zeros(len(x), bool)
+                    possible[at] = here(frag[x[at]], frag[y[at]], np.full(len(at), bucket))
                 yield x[possible], y[possible], estimate[possible]
 
     def run(batches):
@@ -191,6 +211,7 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> Dat
             bucket, part = table["bucket"].to_numpy(), table["part"].to_numpy()
             ids, n, comp = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["comp"].to_numpy()
             code = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(-1, CODES)
+            frag = np.frombuffer(b"".join(table["frags"].to_pylist()), np.uint32).reshape(len(ids), -1) if exhaustive else None
             start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]))))
             size = np.diff(np.append(start, len(ids)))
             twos = start[size == 2]
@@ -198,10 +219,12 @@ def pairs_in_buckets(rows: DataFrame, threshold: float, exhaustive: bool) -> Dat
             keep = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9)
             x, y = x[keep], y[keep]
             _, possible = _possible(code[x], code[y], n[x] + n[y], threshold)
+            if exhaustive:
+                possible &= here(frag[x], frag[y], bucket[x])
             out_a.append(ids[x[possible]])
             out_b.append(ids[y[possible]])
             for s, k in zip(start[size > 2], size[size > 2], strict=True):
-                found = list(group(ids[s : s + k], n[s : s + k], code[s : s + k], comp[s : s + k]))
+                found = list(group(ids[s : s + k], n[s : s + k], code[s : s + k], comp[s : s + k], frag[s : s + k] if exhaustive else None, bucket[s]))
                 if not found:
                     continue
                 x, y, estimate = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -374,7 +397,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
     kept = durable(rows.join(shared, "bucket"))
     ids = durable(kept.select("id").distinct())
     n_ids = ids.count()
-    about = durable(_only(distinct.select("id", "n", "code"), ids, n_ids))
+    about = durable(_only(distinct.select("id", "n", "code", "frags"), ids, n_ids))
     table = shingle_table(given, reps, ids, n_ids)
     tested, comps = None, None
     for number in range(rounds + 1):
@@ -391,7 +414,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
             members = members.filter(F.col("size") <= block).withColumn("part", F.lit(0)).unionByName(large)
         else:
             members = members.withColumn("part", own)
-        pairs = pairs_in_buckets(members.select("bucket", "part", "id", "n", "code", "comp"), threshold, last)
+        pairs = pairs_in_buckets(members.select("bucket", "part", "id", "n", "code", "comp", *(["frags"] if last else [])), threshold, last)
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         found = durable(verify(pairs, table, threshold))
         tested = pairs if tested is None else tested.union(pairs)
