@@ -163,15 +163,19 @@ def score(docs: DataFrame, model: Network | float, *, text: str = "text", name:
     return append_columns(docs, text, make, [T.StructField(name, T.DoubleType()), T.StructField(f"{name}_passages", T.LongType()), T.StructField(f"{name}_attention", T.DoubleType())])
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of every labelled document outside the held-out fold. Of several labels of a document the greatest counts."""
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(fold(F.col("doc_id"), 5) != 0)
+    return known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_label: int, seed: str) -> tuple[DataFrame, dict]:
     """(doc_id, text, label) of about ``per_label`` documents of each label outside the held-out fold, and how many labels there are of each.
 
     The sample is drawn from the labels, so that what is broadcast to the documents
-    has a bounded number of rows and no text is shuffled. Of several labels of a document the greatest counts.
+    has a bounded number of rows and no text is shuffled.
     """
-    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(fold(F.col("doc_id"), 5) != 0)
-    one = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    drawn, counts = bounded_sample(one, "doc_id", "label", per_label, seed)
+    drawn, counts = bounded_sample(known_labels(labels, label), "doc_id", "label", per_label, seed)
     return id_and_text(documents).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label"), counts
 
 

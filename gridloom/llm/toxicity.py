@@ -1,15 +1,18 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are the words that a chi-square test on labelled documents ties to the label, and
-that are several times as frequent there; their inverse document frequencies are counted over all documents. Examples are
-labelled documents as unit TF-IDF vectors, held in an inverted index that is cut into
-blocks with the highest weight of each term in each block. A search goes through the
-blocks by falling upper bound and ends when no bound can reach the k-th best cosine,
-so its result is exact. Similarity-weighted votes of the neighbours are calibrated by a
-logistic curve fitted on the examples themselves, each left out of its own vote.
-
-Learning takes about ``per_label`` labelled documents of each label by the id's hash
-(a documented bound) and weights them back to the labels' frequencies.
+Every word of the examples is a term. Its inverse document frequency is counted over all
+documents; its tie to the label is counted over all labelled documents (equal texts once)
+and enters as a smooth factor: the log ratio of its frequencies under both labels, drawn to a
+small floor as far as its chi-square is small. So the cosine follows the label and not the topic,
+but no word of the examples is without weight. Examples are labelled documents as unit vectors,
+held in an inverted index that is cut into blocks with the highest weight of each term in each
+block. A search goes through the blocks by falling upper bound and ends when no bound can reach
+the k-th best cosine, so its result is exact. Similarity-weighted votes of the neighbours are
+calibrated by a logistic curve fitted on the examples themselves, each left out of its own vote.
+
+Examples are about ``per_label`` labelled documents of each label by the id's hash
+(a documented bound), weighted back to the labels' frequencies. Words that no example has
+match nothing but count in a text's length, as words without a tie and in no other document.
 
 A text without any term (null and empty texts too) has no neighbours; its vote is the
 share of label 1 among examples without a term. Equal cosines are ordered by example id.
@@ -18,7 +21,9 @@ Repeated rows agree. Without labels of both kinds the score is the known share,
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,71 +32,161 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.common import append_columns, durable, fold, id_and_text, words
-from gridloom.llm.quality import labelled_sample
+from gridloom.llm.quality import known_labels, labelled_sample
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
 
 
-def select_terms(sample: DataFrame, totals: dict[int, int], max_terms: int, least: float, ratio: float) -> list[bytes]:
-    """Words whose document frequency is tied to label 1, and ``ratio`` times as high there, the strongest first."""
+def example_words(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and labels of the examples, all their words in order, and of each example from ``starts`` on its terms with their counts."""
 
     def run(batches):
         for batch in batches:
-            counts: dict = {}
-            labels = batch.column(1).to_pylist()
-            for value, label in zip(batch.column(0).cast(pa.binary()).to_pylist(), labels, strict=True):
-                for w in set(words(value)):
-                    counts[w, label] = counts.get((w, label), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.binary()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "label", "n"])
+            held = [sorted(Counter(words(v)).items()) for v in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[w for w, _ in x] for x in held], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in held], pa.list_(pa.int32()))], names=["doc_id", "label", "word", "n"])
+
+    table = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, word array<binary>, n array<int>").orderBy("doc_id", "label").toArrow()
+    lists = table["word"].combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    terms = coded.dictionary.to_pylist()
+    order = sorted(range(len(terms)), key=terms.__getitem__)
+    place = np.empty(len(terms), np.int64)
+    place[order] = np.arange(len(terms))
+    counts = table["n"].combine_chunks()
+    counts = pa.concat_arrays(counts.chunks) if isinstance(counts, pa.ChunkedArray) else counts
+    return table["doc_id"].to_numpy(), table["label"].to_numpy(), [terms[i] for i in order], starts, place[coded.indices.to_numpy()], counts.flatten().to_numpy()
+
 
-    n1, n0 = float(totals[1]), float(totals[0])
-    per = sample.select("text", "label").distinct().mapInArrow(run, "word binary, label int, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-    a, b, n = F.col("a"), F.col("b"), n1 + n0
-    chi = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n - a - b) * n1 * n0)
-    strong = per.filter((a >= 5) & (a / n1 >= ratio * b / n0) & (a + b < n)).withColumn("chi", chi).filter(F.col("chi") >= least)
-    return [bytes(r.word) for r in strong.orderBy(F.desc("chi"), "word").limit(max_terms).collect()]
+def label_counts(docs: DataFrame, known: DataFrame, held) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """In how many of the distinct texts of label 1 and of label 0 each term of the broadcast ``held`` is, and how many such texts there are; over all labelled documents.
 
+    Texts are told apart by a 64-bit hash. No text is shuffled, only the numbers of its terms.
+    """
 
-def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
-    """How many of all documents hold each term, and how many documents there are."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    def run(batches):
+        get = held.value.get
+        for batch in (b.slice(s, 1000) for b in batches for s in range(0, b.num_rows, 1000)):
+            found = [[t for w in set(words(v)) if (t := get(w)) is not None] for v in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "h", "terms"])
+
+    def add(batches):
+        size = len(held.value)
+        n = np.zeros((2, size), np.int64)
+        for batch in batches:
+            label = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            which = np.repeat(label, np.diff(lists.offsets.to_numpy()))
+            n += np.bincount(which * size + lists.flatten().to_numpy(zero_copy_only=False), minlength=2 * size).reshape(2, size)
+        at = np.nonzero(n.any(0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[1][at], pa.int64()), pa.array(n[0][at], pa.int64())], names=["term", "a", "b"])
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    # Of equal texts with one label the least id stands for all.
+    one = durable(keyed.select("doc_id", "h").join(known, "doc_id").groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")))
+    sizes = {r[0]: r[1] for r in one.groupBy("label").count().collect()}
+    labelled = keyed.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType()))])).join(one, ["doc_id", "h"]).select("label", "terms")
+    got = labelled.mapInArrow(add, "term int, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    a, b = np.zeros(len(held.value)), np.zeros(len(held.value))
+    a[got["term"].to_numpy()], b[got["term"].to_numpy()] = got["a"].to_numpy(), got["b"].to_numpy()
+    return a, b, sizes.get(1, 0), sizes.get(0, 0)
+
+
+def tie(a: np.ndarray, b: np.ndarray, n1: float, n0: float, half: float, floor: float) -> np.ndarray:
+    """The smooth factor of terms in ``a`` of ``n1`` texts with label 1 and ``b`` of ``n0`` others: over 0 for all, half the log ratio where chi-square is ``half``.
+
+    The label that a term leans to has one text less: what a word that no other text holds says of its own text is no evidence.
+    """
+    n, leans = n1 + n0, a * n0 > b * n1
+    a, b = np.where(leans, np.maximum(a - 1, 0), a), np.where(leans, b, np.maximum(b - 1, 0))
+    chi = n * (a * (n0 - b) - b * (n1 - a)) ** 2 / np.maximum((a + b) * (n - a - b) * n1 * n0, 1)
+    return floor + np.abs(np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))) * chi / (chi + half)
+
+
+def document_frequencies(docs: DataFrame, held) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term of the broadcast ``held``, and how many documents there are."""
 
     def run(batches):
-        known, counts, n = held.value, {}, 0
+        known, n = held.value, 0
+        counts = np.zeros(len(known), np.int64)
         for batch in batches:
             n += batch.num_rows
             for value in batch.column(0).cast(pa.binary()).to_pylist():
-                for w in known.intersection(words(value)):
-                    counts[w] = counts.get(w, 0) + 1
-        counts[b" "] = n
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                counts[[t for w in set(words(value)) if (t := known.get(w)) is not None]] += 1
+        at = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, len(counts)), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], names=["term", "n"])
 
-    got = {bytes(r[0]): r[1] for r in docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return np.array([got.get(t, 0) for t in terms], float), got.get(b" ", 0)
+    got = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(held.value) + 1)
+    out[got["term"].to_numpy()] = got["n"].to_numpy()
+    return out[:-1], int(out[-1])
 
 
-class Examples:
-    """Unit TF-IDF vectors of the examples with at least one term, by blocks."""
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, block: int = 64):
+class Examples:
+    """Unit TF-IDF vectors of the examples with at least one term, by blocks.
+
+    ``vectors`` are a matrix, or its rows as (starts, terms, values, number of terms).
+    Sorted by term, block and example, ``example`` and ``value`` are the postings; an entry is the
+    postings of one term in one block, with the highest value there.
+    """
+
+    def __init__(self, vectors, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, block: int = 64):
+        if isinstance(vectors, np.ndarray):
+            row, term = np.nonzero(vectors)
+            vectors = np.searchsorted(row, np.arange(len(ids) + 1)), term, vectors[row, term], vectors.shape[1]
+        starts, term, value, self.n_terms = vectors
+        row = np.repeat(np.arange(len(ids)), np.diff(starts))
         # Examples with the same strongest term side by side keep the bounds tight.
-        order = np.lexsort((ids, -vectors.max(1, initial=0), vectors.argmax(1) if vectors.shape[1] else ids))
+        strongest = np.lexsort((-term, value, row))[starts[1:] - 1] if len(term) else np.zeros(0, int)
+        order = np.lexsort((ids, -value[strongest], term[strongest])) if len(strongest) else np.arange(len(ids))
         self.ids, self.labels, self.weights, self.block = ids[order], labels[order], weights[order], block
-        self.postings = np.ascontiguousarray(vectors[order].T, np.float64)
-        starts = np.arange(0, max(1, len(ids)), block)
-        self.most = np.maximum.reduceat(self.postings, starts, axis=1) if len(ids) else np.zeros((vectors.shape[1], 0))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        at = np.lexsort((place[row], term)) if len(term) else np.zeros(0, int)
+        self.example, self.value, term = place[row[at]].astype(np.int32), np.asarray(value, float)[at], np.asarray(term)[at]
+        self.n_blocks = -(-len(ids) // block)
+        entry = term.astype(np.int64) * max(1, self.n_blocks) + self.example // block
+        first = np.nonzero(np.diff(entry, prepend=-1))[0]
+        self.entries = np.append(first, len(entry))
+        self.entry_block = (self.example[first] // block).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.term_entries = np.searchsorted(term[first], np.arange(self.n_terms + 1))
+        at = np.lexsort((term, self.example))
+        self.rows, self.row_terms, self.row_values = np.searchsorted(self.example[at], np.arange(len(ids) + 1)), term[at], self.value[at]
 
     def search(self, terms: np.ndarray, values: np.ndarray, k: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest, by cosine then example id; only cosines over 0."""
-        bound = values @ self.most[terms]
+        sizes = self.term_entries[terms + 1] - self.term_entries[terms]
+        entry, value = _ranges(self.term_entries[terms], sizes), np.repeat(values, sizes)
+        blocks = self.entry_block[entry]
+        bound = np.bincount(blocks, value * self.entry_most[entry], self.n_blocks)
+        by_bound = np.argsort(-bound, kind="stable")
         best_at, best = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
+        s, step = 0, 8
+        while s < len(by_bound):
+            some = by_bound[s : s + step]
+            some = some[(bound[some] > 0) & (len(best) < k or bound[some] >= best[-1] - 1e-12)]
+            if not len(some):
                 break
-            at = np.arange(b * self.block, min((b + 1) * self.block, len(self.ids)))
-            cosine = np.round(values @ self.postings[terms][:, at], 12)
-            keep = (cosine > 0) & (at != (-1 if leave_out is None else leave_out))
-            at, cosine = np.append(best_at, at[keep]), np.append(best, cosine[keep])
+            s, step = s + step, len(by_bound)
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[some] = True
+            taken = wanted[blocks]
+            e = entry[taken]
+            sizes = self.entries[e + 1] - self.entries[e]
+            posting = _ranges(self.entries[e], sizes)
+            every = np.round(np.bincount(self.example[posting], np.repeat(value[taken], sizes) * self.value[posting], len(self.ids)), 12)
+            if leave_out is not None:
+                every[leave_out] = 0
+            at = np.nonzero(every > (0 if len(best) < k else max(0, best[-1] - 1e-12)))[0]
+            at, cosine = np.append(best_at, at), np.append(best, every[at])
             top = np.lexsort((self.ids[at], -cosine))[:k]
             best_at, best = at[top], cosine[top]
         return best_at, best
@@ -115,80 +210,76 @@ def logistic(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return p
 
 
-def _vector(text: bytes | None, known: dict[bytes, int], idf: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray] | None:
+def _vector(text: bytes | None, known: dict[bytes, int], weight: np.ndarray, unknown: float) -> tuple[bytes, np.ndarray, np.ndarray] | None:
+    """A key of the vector, its terms, and their values in the unit vector of all words; words that are no terms weigh ``unknown``."""
     counts: dict[int, int] = {}
-    for w in words(text):
+    rest = 0.0
+    for w, n in sorted(Counter(words(text)).items()):
         if (t := known.get(w)) is not None:
-            counts[t] = counts.get(t, 0) + 1
+            counts[t] = n
+        else:
+            rest += ((1 + math.log(n)) * unknown) ** 2
     if not counts:
         return None
-    key = tuple(sorted(counts.items()))
-    terms = np.array([t for t, _ in key])
-    values = (1 + np.log([n for _, n in key])) * idf[terms]
-    return key, terms, values / np.linalg.norm(values)
+    terms, n = np.array(list(counts)), np.array(list(counts.values()))
+    values = (1 + np.log(n)) * weight[terms]
+    values = values / math.sqrt(values @ values + rest)
+    return hashlib.blake2b(terms.tobytes() + values.tobytes(), digest_size=16).digest(), terms, values
 
 
-def classify(docs: DataFrame, sample: DataFrame, totals: dict, *, k: int = 25, max_terms: int = 512, least_chi: float = 40.0, least_ratio: float = 5.0) -> DataFrame:
+def classify(docs: DataFrame, sample: DataFrame, totals: dict, labelled: DataFrame, *, k: int = 25, half_chi: float = 40.0, floor: float = 0.05) -> DataFrame:
     """Columns of ``docs`` (doc_id, text, ...) plus score and evidence, the nearest examples with their cosines."""
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     terms: list[bytes] = []
     if len(totals) == 2:
-        sample = durable(sample)
-        taken = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-        terms = select_terms(sample, taken, max_terms, least_chi, least_ratio) if len(taken) == 2 else []
-    index, known, idf, curve, empty_vote = None, {}, np.zeros(0), None, share
+        ids, label, terms, starts, term, n = example_words(sample)
+        terms = terms if len(set(label.tolist())) == 2 else []
+    index, known, weight, unknown, curve, empty_vote = None, {}, np.zeros(0), 0.0, None, share
     if terms:
-        frequency, n_docs = document_frequencies(docs, terms)
-        idf = np.log((1 + n_docs) / (1 + frequency)) + 1
         known = {t: i for i, t in enumerate(terms)}
-
-        def make_terms():
-            def work(values):
-                keys = [(_vector(v, known, idf) or ((),))[0] for v in values]
-                return [pa.array([[{"t": t, "n": n} for t, n in key] for key in keys], pa.list_(pa.struct([("t", pa.int32()), ("n", pa.int32())])))]
-
-            return work
-
-        field = T.StructField("tf", T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("n", T.IntegerType())])))
-        rows = append_columns(sample, "text", make_terms, [field]).select("doc_id", "label", "tf").orderBy("doc_id", "label").collect()
-        y = np.array([r.label for r in rows], float)
-        weight = np.array([totals[r.label] / taken[r.label] for r in rows])
-        dense = np.zeros((len(rows), len(terms)))
-        for i, r in enumerate(rows):
-            for t, n in r.tf:
-                dense[i, t] = (1 + math.log(n)) * idf[t]
-        norm = np.linalg.norm(dense, axis=1)
+        held_terms = docs.sparkSession.sparkContext.broadcast(known)
+        frequency, n_docs = document_frequencies(docs, held_terms)
+        a, b, n1, n0 = label_counts(docs, labelled, held_terms)
+        weight = (np.log((1 + n_docs) / (1 + frequency)) + 1) * tie(a, b, n1, n0, half_chi, floor)
+        unknown = (math.log(1 + n_docs) + 1) * floor
+        y = label.astype(float)
+        taken = np.bincount(label, minlength=2)
+        counts_for = np.array([totals[v] / taken[v] for v in label])
+        values = (1 + np.log(n)) * weight[term]
+        norm = np.sqrt(np.bincount(np.repeat(np.arange(len(ids)), np.diff(starts)), values**2, len(ids)))
         some = norm > 0
         none = ~some
-        empty_vote = float((weight * y)[none].sum() / weight[none].sum()) if none.any() else share
-        index = Examples(dense[some] / norm[some, None], np.array([r.doc_id for r in rows])[some], y[some], weight[some])
+        empty_vote = float((counts_for * y)[none].sum() / counts_for[none].sum()) if none.any() else share
+        values = values / np.repeat(norm, np.diff(starts))
+        # Examples without a term have no values, so the others' starts stay.
+        index = Examples((np.append(starts[:-1][some], starts[-1]), term, values, len(terms)), ids[some], y[some], counts_for[some])
         votes, cache = [], {}
         for i in range(len(index.ids)):
-            column = index.postings[:, i]
-            t = np.nonzero(column)[0]
+            of = slice(index.rows[i], index.rows[i + 1])
+            t, v = index.row_terms[of], index.row_values[of]
             # Equal vectors differ only in who is left out, so they share the k + 1 nearest.
-            key = (t.tobytes(), column[t].tobytes())
+            key = hashlib.blake2b(t.tobytes() + v.tobytes(), digest_size=16).digest()
             if key not in cache:
-                cache[key] = index.search(t, column[t], k + 1)
+                cache[key] = index.search(t, v, k + 1)
             at, cosine = cache[key]
             others = at != i
             at, cosine = at[others][:k], cosine[others][:k]
             votes.append(index.vote(at, cosine, share) if len(at) else empty_vote)
-        curve = logistic(np.append(votes, np.full(none.sum(), empty_vote)), np.append(index.labels, y[none]), np.append(index.weights, weight[none]))
-    held = docs.sparkSession.sparkContext.broadcast((index, known, idf, curve, empty_vote, share))
+        curve = logistic(np.append(votes, np.full(none.sum(), empty_vote)), np.append(index.labels, y[none]), np.append(index.weights, counts_for[none]))
+    held = docs.sparkSession.sparkContext.broadcast((index, known, weight, unknown, curve, empty_vote, share))
 
     def make():
-        index, known, idf, curve, empty_vote, share = held.value
+        index, known, weight, unknown, curve, empty_vote, share = held.value
         cache: dict = {}
 
         def judged(value):
-            v = _vector(value, known, idf) if known else None
+            v = _vector(value, known, weight, unknown) if known else None
             key = v[0] if v else None
             if key not in cache:
                 at, cosine = index.search(v[1], v[2], k) if v else (np.zeros(0, int), np.zeros(0))
                 vote = index.vote(at, cosine, share) if len(at) else empty_vote
                 score = vote if curve is None else float(1 / (1 + np.exp(-(curve[0] * vote + curve[1]))))
-                if len(cache) > 50_000:
+                if len(cache) > 20_000:
                     cache.clear()
                 cache[key] = score, [{"doc_id": int(index.ids[i]), "similarity": float(c)} for i, c in zip(at[:3], cosine[:3], strict=True)]
             return cache[key]
@@ -204,5 +295,5 @@ def classify(docs: DataFrame, sample: DataFrame, totals: dict, *, k: int = 25, m
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 4000, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every document."""
-    out = classify(id_and_text(documents), *labelled_sample(documents, labels, "toxic", per_label, "toxicity"), **options)
+    out = classify(id_and_text(documents), *labelled_sample(documents, labels, "toxic", per_label, "toxicity"), known_labels(labels, "toxic"), **options)
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

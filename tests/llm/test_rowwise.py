@@ -103,6 +103,28 @@ def test_toxicity(spark):
     assert (toxicity.score_documents(docs.limit(5), labels.filter("toxic = 0")).toPandas().score == 0).all()
 
 
+def test_toxicity_learns_words_of_few_examples(spark):
+    # Of 400 labelled texts three are toxic in a rare language; all words of all examples have some weight.
+    common = [f"w{i}" for i in range(60)]
+    r = np.random.default_rng(1)
+    texts = [" ".join([*r.choice(common, 20), *(["slur"] if i % 10 == 0 else [])]) for i in range(400)]
+    texts[11:14] = [" ".join([*[f"rare{j}" for j in r.choice(40, 8)], "oskolar"]) for _ in range(3)]
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 5 != 0][:400]
+    toxic = [int(i % 10 == 0 or 11 <= i < 14) for i in range(400)]
+    new = [(9001, "oskolar rare1 rare2"), (9002, "w1 w2 w3"), (9003, "nothing of this is known")]
+    docs = spark.createDataFrame([*zip(ids, texts, strict=True), *new], "doc_id long, text string")
+    labels = spark.createDataFrame([*zip(ids, toxic, strict=True)], "doc_id long, toxic int")
+    out = {x.doc_id: x for x in toxicity.score_documents(docs, labels).collect()}
+    assert out[9001].predicted == 1 and {x.doc_id for x in out[9001].evidence} == set(ids[11:14])
+    assert out[9002].predicted == 0 and len(out[9002].evidence) == 3 and out[9003].evidence == []
+    a, b, n = np.array([0, 1, 3, 30]), np.array([1, 0, 0, 60]), toxicity.tie
+    factor = n(a, b, 43, 357, 40.0, 0.05)
+    assert (factor > 0).all() and factor[2] > factor[1]
+    # Statistics are over all labelled rows, whatever the sample is.
+    count = toxicity.label_counts(docs, labels.withColumnRenamed("toxic", "label"), spark.sparkContext.broadcast({b"oskolar": 0, b"slur": 1, b"w1": 2}))
+    assert [x.tolist() for x in count[:2]] == [[3, 40, sum("w1" in t.split() for t, y in zip(texts, toxic, strict=True) if y)], [0, 0, sum("w1" in t.split() for t, y in zip(texts, toxic, strict=True) if not y)]] and count[2:] == (43, 357)
+
+
 def test_blocked_search_is_exact():
     r = np.random.default_rng(4)
     v = np.where(r.random((300, 12)) < 0.2, r.integers(1, 4, (300, 12)), 0).astype(float)
