@@ -105,7 +105,10 @@ def m11_permutation_importance(spark, d):
 
 @query()
 def m12_m14_repeated_grouped_cv(spark, d):
-    data = x.repeated(p.spread_embedding(folded(spark, d)), [42, 52, 62]).withColumn("fold", (F.col("fold") + F.col("seed")) % 4)
+    parts = [p.spread_embedding(folded(spark, d, seed)).withColumn("seed", F.lit(seed)) for seed in (42, 52, 62)]
+    data = parts[0]
+    for part in parts[1:]:
+        data = data.unionByName(part)
     return o.cross_validated(data, "fold", FEW, "S1_VV", ["seed"])
 
 

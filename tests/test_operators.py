@@ -14,6 +14,7 @@ from gridloom.operators import projections as p
 from gridloom.operators import ranking as w
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
+from gridloom.plans import modelling
 from gridloom.sources import tables
 
 
@@ -172,3 +173,9 @@ def test_checks_raise(spark):
     with pytest.raises(ValueError):
         x.bernoulli(df, ["split"], 0.0, 1)
     assert df.select(hash01("split", seed=1).alias("u")).filter("u >= 0 and u < 1").count() == 2
+
+
+def test_repeats_are_other_splits(spark, sf):
+    rows = modelling.m12_m14_repeated_grouped_cv(spark, sf).collect()
+    by_seed = [frozenset(round(r.rmse, 9) for r in rows if r.seed == seed) for seed in (42, 52, 62)]
+    assert len(rows) == 12 and len(set(by_seed)) == 3
