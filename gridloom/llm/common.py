@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,4 +91,78 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(_TOKEN_BYTES).split() if text else []
 
 
-LETTER = re.compile(r"[^\W\d_]")
+_TABLE = np.frombuffer(_WORD_BYTES, np.uint8)
+#: Texts hashed together at most.
+ROWS = 1 << 12
+_BASE = np.uint64(0x100000001B3)
+_powers = np.ones(1, np.uint64)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _hashed(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of ``raw`` (translated bytes); a word ends before each of ``starts``."""
+    global _powers
+    inside = raw != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = starts[starts < len(raw)]
+    first[starts] |= inside[starts]
+    at = np.flatnonzero(inside)
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    begin = np.flatnonzero(first[at])
+    size = np.diff(np.append(begin, len(at)))
+    if len(_powers) < (most := int(size.max())):
+        _powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(most, 64), _BASE))), dtype=np.uint64)
+    place = at - np.repeat(at[begin], size)
+    sums = np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * _powers[place], begin)
+    return at[begin], mix64(sums + size.astype(np.uint64))
+
+
+def word_hashes(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The :func:`words` of a column of texts as 64-bit hashes, all at once: (row, next row, row of each word, hash of each word).
+
+    Slices hold whole texts of about ``most`` bytes together; a longer text is hashed in pieces that end between words.
+    Null has no words.
+    """
+    column = column.cast(pa.binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    s = 0
+    while s < len(column):
+        e = min(s + ROWS, max(s + 1, int(np.searchsorted(offsets, offsets[s] + most, "right")) - 1))
+        rows, found = [], []
+        at, end = int(offsets[s]), int(offsets[e])
+        while at < end:
+            upto = end
+            if e == s + 1 and end - at > most:
+                gap = np.flatnonzero(_TABLE[data[at + most : at + 2 * most]] == 32)
+                upto = min(end, at + most + int(gap[0])) if len(gap) else end
+            start, value = _hashed(_TABLE[data[at:upto]], offsets[s:e] - at if upto == end and e > s + 1 else np.zeros(0, np.int64))
+            rows.append(np.searchsorted(offsets[s : e + 1], start + at, "right") - 1 if e > s + 1 else np.zeros(len(start), np.int64))
+            found.append(value)
+            at = upto
+        yield s, e, np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(found or [np.zeros(0, np.uint64)])
+        s = e
+
+
+def counted(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, high 52 bits of the value) in order, and how often each is there; for up to ``ROWS`` rows, which take the other 12 bits of one sort."""
+    key = np.sort((rows.astype(np.uint64) << np.uint64(52)) | (values >> np.uint64(12)))
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(first)
+    key = key[begin]
+    return (key >> np.uint64(52)).astype(np.int64), (key & np.uint64((1 << 52) - 1)).astype(np.int64), np.diff(np.append(begin, len(rows)))
+
+
+def lists_of(rows: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """One list for each of ``n`` rows from values in order of their rows."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=n)))), pa.int32()), values)

@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Every word of the examples is a term. Its inverse document frequency is counted over all
+Every word of the examples is a term; words are compared by 52-bit hashes. A term's inverse document frequency is counted over all
 documents; its tie to the label is counted over all labelled documents (equal texts once)
 and enters as a smooth factor: the log ratio of its frequencies under both labels, drawn to a
 small floor as far as its chi-square is small. So the cosine follows the label and not the topic,
@@ -13,6 +13,7 @@ calibrated by a logistic curve fitted on the examples themselves, each left out
 Examples are about ``per_label`` labelled documents of each label by the id's hash
 (a documented bound), weighted back to the labels' frequencies. Words that no example has
 match nothing but count in a text's length, as words without a tie and in no other document.
+A search's cost is that of the postings in blocks whose bound passes, whatever the table's size.
 
 A text without any term (null and empty texts too) has no neighbours; its vote is the
 share of label 1 among examples without a term. Equal cosines are ordered by example id.
@@ -22,8 +23,6 @@ Repeated rows agree. Without labels of both kinds the score is the known share,
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,32 +30,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns, durable, fold, id_and_text, words
+from gridloom.llm.common import counted, durable, fold, fresh, id_and_text, lists_of, word_hashes
 from gridloom.llm.quality import known_labels, labelled_sample
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
 
 
-def example_words(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and labels of the examples, all their words in order, and of each example from ``starts`` on its terms with their counts."""
+def example_words(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and labels of the examples, all their words' hashes in order, and of each example from ``starts`` on its terms with their counts."""
 
     def run(batches):
         for batch in batches:
-            held = [sorted(Counter(words(v)).items()) for v in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[w for w, _ in x] for x in held], pa.list_(pa.binary())), pa.array([[n for _, n in x] for x in held], pa.list_(pa.int32()))], names=["doc_id", "label", "word", "n"])
-
-    table = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, word array<binary>, n array<int>").orderBy("doc_id", "label").toArrow()
-    lists = table["word"].combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    terms = coded.dictionary.to_pylist()
-    order = sorted(range(len(terms)), key=terms.__getitem__)
-    place = np.empty(len(terms), np.int64)
-    place[order] = np.arange(len(terms))
-    counts = table["n"].combine_chunks()
-    counts = pa.concat_arrays(counts.chunks) if isinstance(counts, pa.ChunkedArray) else counts
-    return table["doc_id"].to_numpy(), table["label"].to_numpy(), [terms[i] for i in order], starts, place[coded.indices.to_numpy()], counts.flatten().to_numpy()
+            for s, e, rows, hashes in word_hashes(batch.column(1)):
+                row, word, n = counted(rows, hashes)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], batch.column(2)[s:e], lists_of(row, e - s, pa.array(word, pa.int64())), lists_of(row, e - s, pa.array(n, pa.int32()))], names=["doc_id", "label", "word", "n"])
+
+    table = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, word array<long>, n array<int>").toArrow()
+    table = table.take(np.lexsort((table["label"].to_numpy(), table["doc_id"].to_numpy())))
+    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *[x.flatten().to_numpy() for x in table[c].chunks]])
+    starts = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[np.diff(x.offsets.to_numpy()) for x in table["word"].chunks]]))]).astype(np.int64)
+    terms, term = np.unique(flat("word"), return_inverse=True)
+    return table["doc_id"].to_numpy(), table["label"].to_numpy(), terms, starts, term, flat("n")
+
+
+def found_terms(column: pa.Array, terms: np.ndarray):
+    """(row, next row, rows, terms) of slices of a column of texts: each distinct term of each row."""
+    for s, e, rows, hashes in word_hashes(column):
+        row, word, _ = counted(rows, hashes)
+        at = np.minimum(np.searchsorted(terms, word), len(terms) - 1)
+        held = terms[at] == word
+        yield s, e, row[held], at[held]
 
 
 def label_counts(docs: DataFrame, known: DataFrame, held) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -66,10 +69,9 @@ def label_counts(docs: DataFrame, known: DataFrame, held) -> tuple[np.ndarray, n
     """
 
     def run(batches):
-        get = held.value.get
-        for batch in (b.slice(s, 1000) for b in batches for s in range(0, b.num_rows, 1000)):
-            found = [[t for w in set(words(v)) if (t := get(w)) is not None] for v in batch.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "h", "terms"])
+        for batch in batches:
+            for s, e, row, term in found_terms(batch.column(2), held.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s:e], batch.column(1)[s:e], lists_of(row, e - s, pa.array(term, pa.int32()))], names=["doc_id", "h", "terms"])
 
     def add(batches):
         size = len(held.value)
@@ -108,12 +110,12 @@ def document_frequencies(docs: DataFrame, held) -> tuple[np.ndarray, int]:
     """How many of all documents hold each term of the broadcast ``held``, and how many documents there are."""
 
     def run(batches):
-        known, n = held.value, 0
-        counts = np.zeros(len(known), np.int64)
+        terms, n = held.value, 0
+        counts = np.zeros(len(terms), np.int64)
         for batch in batches:
             n += batch.num_rows
-            for value in batch.column(0).cast(pa.binary()).to_pylist():
-                counts[[t for w in set(words(value)) if (t := known.get(w)) is not None]] += 1
+            for _, _, _, term in found_terms(batch.column(0), terms):
+                counts += np.bincount(term, minlength=len(terms))
         at = np.nonzero(counts)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, len(counts)), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], names=["term", "n"])
 
@@ -132,16 +134,17 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Examples:
     """Unit TF-IDF vectors of the examples with at least one term, by blocks.
 
-    ``vectors`` are a matrix, or its rows as (starts, terms, values, number of terms).
-    Sorted by term, block and example, ``example`` and ``value`` are the postings; an entry is the
-    postings of one term in one block, with the highest value there.
+    ``vectors`` are a matrix, or its rows as (starts, terms, values, number of terms). The ``n_dense``
+    most frequent terms have a row of ``dense`` each, which many texts are multiplied with at once.
+    Of all others, sorted by term, block and example, ``example`` and ``value`` are the postings; an
+    entry is the postings of one term in one block, with the highest value there.
     """
 
-    def __init__(self, vectors, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, block: int = 64):
+    def __init__(self, vectors, ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, block: int = 64, n_dense: int = 256):
         if isinstance(vectors, np.ndarray):
             row, term = np.nonzero(vectors)
             vectors = np.searchsorted(row, np.arange(len(ids) + 1)), term, vectors[row, term], vectors.shape[1]
-        starts, term, value, self.n_terms = vectors
+        starts, term, value, n_terms = vectors
         row = np.repeat(np.arange(len(ids)), np.diff(starts))
         # Examples with the same strongest term side by side keep the bounds tight.
         strongest = np.lexsort((-term, value, row))[starts[1:] - 1] if len(term) else np.zeros(0, int)
@@ -149,48 +152,82 @@ class Examples:
         self.ids, self.labels, self.weights, self.block = ids[order], labels[order], weights[order], block
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        at = np.lexsort((place[row], term)) if len(term) else np.zeros(0, int)
-        self.example, self.value, term = place[row[at]].astype(np.int32), np.asarray(value, float)[at], np.asarray(term)[at]
+        row, term, value = place[row], np.asarray(term, np.int64), np.asarray(value, float)
+        at = np.lexsort((term, row))
+        self.rows, self.row_terms, self.row_values = np.searchsorted(row[at], np.arange(len(ids) + 1)), term[at], value[at]
+        often = np.argsort(-np.bincount(term, minlength=n_terms), kind="stable")[:n_dense]
         self.n_blocks = -(-len(ids) // block)
-        entry = term.astype(np.int64) * max(1, self.n_blocks) + self.example // block
+        self.dense_row = np.full(n_terms, -1, np.int32)
+        self.dense_row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n_blocks * block))
+        in_row = self.dense_row[term]
+        self.dense[in_row[in_row >= 0], row[in_row >= 0]] = value[in_row >= 0]
+        row, term, value = row[in_row < 0], term[in_row < 0], value[in_row < 0]
+        at = np.lexsort((row, term))
+        self.example, self.value, term = row[at].astype(np.int32), value[at], term[at]
+        entry = term * max(1, self.n_blocks) + self.example // block
         first = np.nonzero(np.diff(entry, prepend=-1))[0]
         self.entries = np.append(first, len(entry))
         self.entry_block = (self.example[first] // block).astype(np.int32)
         self.entry_most = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
-        self.term_entries = np.searchsorted(term[first], np.arange(self.n_terms + 1))
-        at = np.lexsort((term, self.example))
-        self.rows, self.row_terms, self.row_values = np.searchsorted(self.example[at], np.arange(len(ids) + 1)), term[at], self.value[at]
+        self.term_entries = np.searchsorted(term[first], np.arange(n_terms + 1))
 
-    def search(self, terms: np.ndarray, values: np.ndarray, k: int, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest, by cosine then example id; only cosines over 0."""
+        return next(self.search_many(np.array([0, len(terms)]), terms, values, k))
+
+    def search_many(self, starts: np.ndarray, terms: np.ndarray, values: np.ndarray, k: int, batch: int = 64):
+        """The same for each of the texts whose terms begin at ``starts``."""
+        for s in range(0, len(starts) - 1, batch):
+            of = starts[s : s + batch + 1]
+            t, v = terms[of[0] : of[-1]], values[of[0] : of[-1]]
+            row = np.repeat(np.arange(len(of) - 1), np.diff(of))
+            place = self.dense_row[t]
+            often = place >= 0
+            query = np.zeros((len(of) - 1, len(self.dense)))
+            query[row[often], place[often]] = v[often]
+            scores = query @ self.dense
+            bounds = scores.reshape(len(query), self.n_blocks, self.block).max(2)
+            rare, rare_values = t[~often], v[~often]
+            edge = np.searchsorted(row[~often], np.arange(len(of)))
+            for i in range(len(query)):
+                r = slice(edge[i], edge[i + 1])
+                yield self._nearest(scores[i], bounds[i], rare[r], rare_values[r], k)
+
+    def _nearest(self, score: np.ndarray, bound: np.ndarray, terms: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """From the scores by frequent terms and the blocks' highest: first the blocks of highest bound, then all that may still hold one of the k best."""
         sizes = self.term_entries[terms + 1] - self.term_entries[terms]
         entry, value = _ranges(self.term_entries[terms], sizes), np.repeat(values, sizes)
         blocks = self.entry_block[entry]
-        bound = np.bincount(blocks, value * self.entry_most[entry], self.n_blocks)
-        by_bound = np.argsort(-bound, kind="stable")
-        best_at, best = np.zeros(0, int), np.zeros(0)
-        s, step = 0, 8
-        while s < len(by_bound):
-            some = by_bound[s : s + step]
-            some = some[(bound[some] > 0) & (len(best) < k or bound[some] >= best[-1] - 1e-12)]
-            if not len(some):
-                break
-            s, step = s + step, len(by_bound)
-            wanted = np.zeros(self.n_blocks, bool)
-            wanted[some] = True
-            taken = wanted[blocks]
-            e = entry[taken]
-            sizes = self.entries[e + 1] - self.entries[e]
-            posting = _ranges(self.entries[e], sizes)
-            every = np.round(np.bincount(self.example[posting], np.repeat(value[taken], sizes) * self.value[posting], len(self.ids)), 12)
-            if leave_out is not None:
-                every[leave_out] = 0
-            at = np.nonzero(every > (0 if len(best) < k else max(0, best[-1] - 1e-12)))[0]
-            at, cosine = np.append(best_at, at), np.append(best, every[at])
-            top = np.lexsort((self.ids[at], -cosine))[:k]
-            best_at, best = at[top], cosine[top]
+        bound = bound + np.bincount(blocks, value * self.entry_most[entry], self.n_blocks)
+        first = np.argpartition(-bound, 7)[:8] if len(bound) > 8 else np.arange(len(bound))
+        wanted = np.zeros(self.n_blocks, bool)
+        wanted[first] = True
+        best_at, best = self._top(score, wanted, blocks, entry, value, k, 0.0)
+        least = best[-1] - 1e-11 if len(best) == k else 0.0
+        more = (bound > least) & ~wanted
+        if more.any():
+            at, cosine = self._top(score, more, blocks, entry, value, k, least)
+            best_at, best = np.append(best_at, at), np.append(best, cosine)
+            top = np.lexsort((self.ids[best_at], -best))[:k]
+            best_at, best = best_at[top], best[top]
         return best_at, best
 
+    def _top(self, score: np.ndarray, wanted: np.ndarray, blocks: np.ndarray, entry: np.ndarray, value: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best over ``least`` of the wanted blocks."""
+        taken = np.flatnonzero(wanted[blocks])
+        e = entry[taken]
+        sizes = self.entries[e + 1] - self.entries[e]
+        posting = _ranges(self.entries[e], sizes)
+        every = np.bincount(self.example[posting], np.repeat(value[taken], sizes) * self.value[posting], len(score)) + score
+        at = np.flatnonzero((every > max(least, 5e-13)) & np.repeat(wanted, self.block))
+        if len(at) > 4 * k:
+            # All that may tie with the k-th stay.
+            at = at[every[at] >= -np.partition(-every[at], k - 1)[k - 1] - 1e-11]
+        cosine = np.round(every[at], 12)
+        top = np.lexsort((self.ids[at], -cosine))[:k]
+        return at[top], cosine[top]
+
     def vote(self, at: np.ndarray, cosine: np.ndarray, prior: float, strength: float = 2.0) -> float:
         """Weighted share of label 1, drawn to ``prior`` as by ``strength`` neighbours of that share: a few copies of one example are little evidence."""
         power = cosine * self.weights[at]
@@ -210,38 +247,58 @@ def logistic(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return p
 
 
-def _vector(text: bytes | None, known: dict[bytes, int], weight: np.ndarray, unknown: float) -> tuple[bytes, np.ndarray, np.ndarray] | None:
-    """A key of the vector, its terms, and their values in the unit vector of all words; words that are no terms weigh ``unknown``."""
-    counts: dict[int, int] = {}
-    rest = 0.0
-    for w, n in sorted(Counter(words(text)).items()):
-        if (t := known.get(w)) is not None:
-            counts[t] = n
-        else:
-            rest += ((1 + math.log(n)) * unknown) ** 2
-    if not counts:
-        return None
-    terms, n = np.array(list(counts)), np.array(list(counts.values()))
-    values = (1 + np.log(n)) * weight[terms]
-    values = values / math.sqrt(values @ values + rest)
-    return hashlib.blake2b(terms.tobytes() + values.tobytes(), digest_size=16).digest(), terms, values
-
-
-def classify(docs: DataFrame, sample: DataFrame, totals: dict, labelled: DataFrame, *, k: int = 25, half_chi: float = 40.0, floor: float = 0.05) -> DataFrame:
-    """Columns of ``docs`` (doc_id, text, ...) plus score and evidence, the nearest examples with their cosines."""
+def unit_vectors(column: pa.Array, terms: np.ndarray, weight: np.ndarray, unknown: float):
+    """(row, next row, starts, terms, values) of slices of a column of texts: unit vectors over all words, of which words that are no terms weigh ``unknown`` and are left out."""
+    for s, e, rows, hashes in word_hashes(column):
+        row, word, n = counted(rows, hashes)
+        at = np.minimum(np.searchsorted(terms, word), len(terms) - 1)
+        held = terms[at] == word
+        value = (1 + np.log(n)) * np.where(held, weight[at], unknown)
+        value /= np.sqrt(np.bincount(row, value * value, e - s))[row]
+        yield s, e, np.searchsorted(row[held], np.arange(e - s + 1)), at[held], value[held]
+
+
+def leave_one_out(spark, held, k: int, share: float, empty_vote: float) -> np.ndarray:
+    """The vote on each example by the others, shared out over the cluster."""
+
+    def run(batches):
+        index = held.value
+        for batch in batches:
+            votes = []
+            i = batch.column(0).to_numpy()
+            of, at = index.rows[i], index.rows[i + 1]
+            every = _ranges(of, at - of)
+            starts = np.concatenate(([0], np.cumsum(at - of)))
+            for own, (near, cosine) in zip(i.tolist(), index.search_many(starts, index.row_terms[every], index.row_values[every], k + 1), strict=True):
+                others = near != own
+                near, cosine = near[others][:k], cosine[others][:k]
+                votes.append(index.vote(near, cosine, share) if len(near) else empty_vote)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["id", "vote"])
+
+    n = len(held.value.ids)
+    got = spark.range(0, n, 1, max(1, min(64, n // 50))).mapInArrow(run, "id long, vote double").toArrow()
+    out = np.zeros(n)
+    out[got["id"].to_numpy()] = got["vote"].to_numpy()
+    return out
+
+
+def classify(docs: DataFrame, sample: DataFrame, totals: dict, labelled: DataFrame, *, text: str = "text", name: str = "score", k: int = 25, half_chi: float = 40.0, floor: float = 0.05) -> DataFrame:
+    """Columns of ``docs`` (doc_id, text, ...) plus the score under ``name`` and ``<name>_evidence``, the nearest examples with their cosines; with an underscore in front where ``docs`` has such a column."""
+    spark = docs.sparkSession
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    terms: list[bytes] = []
+    terms = np.zeros(0, np.int64)
     if len(totals) == 2:
         ids, label, terms, starts, term, n = example_words(sample)
-        terms = terms if len(set(label.tolist())) == 2 else []
-    index, known, weight, unknown, curve, empty_vote = None, {}, np.zeros(0), 0.0, None, share
-    if terms:
-        known = {t: i for i, t in enumerate(terms)}
-        held_terms = docs.sparkSession.sparkContext.broadcast(known)
-        frequency, n_docs = document_frequencies(docs, held_terms)
-        a, b, n1, n0 = label_counts(docs, labelled, held_terms)
+        terms = terms if len(set(label.tolist())) == 2 else terms[:0]
+    index, weight, unknown, curve, empty_vote = None, np.zeros(0), 0.0, None, share
+    if len(terms):
+        held_terms = spark.sparkContext.broadcast(terms)
+        given = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
+        frequency, n_docs = document_frequencies(given, held_terms)
+        a, b, n1, n0 = label_counts(given, labelled, held_terms)
+        held_terms.unpersist()
         weight = (np.log((1 + n_docs) / (1 + frequency)) + 1) * tie(a, b, n1, n0, half_chi, floor)
-        unknown = (math.log(1 + n_docs) + 1) * floor
+        unknown = (np.log(1 + n_docs) + 1) * floor
         y = label.astype(float)
         taken = np.bincount(label, minlength=2)
         counts_for = np.array([totals[v] / taken[v] for v in label])
@@ -253,47 +310,54 @@ def classify(docs: DataFrame, sample: DataFrame, totals: dict, labelled: DataFra
         values = values / np.repeat(norm, np.diff(starts))
         # Examples without a term have no values, so the others' starts stay.
         index = Examples((np.append(starts[:-1][some], starts[-1]), term, values, len(terms)), ids[some], y[some], counts_for[some])
-        votes, cache = [], {}
-        for i in range(len(index.ids)):
-            of = slice(index.rows[i], index.rows[i + 1])
-            t, v = index.row_terms[of], index.row_values[of]
-            # Equal vectors differ only in who is left out, so they share the k + 1 nearest.
-            key = hashlib.blake2b(t.tobytes() + v.tobytes(), digest_size=16).digest()
-            if key not in cache:
-                cache[key] = index.search(t, v, k + 1)
-            at, cosine = cache[key]
-            others = at != i
-            at, cosine = at[others][:k], cosine[others][:k]
-            votes.append(index.vote(at, cosine, share) if len(at) else empty_vote)
+        held_index = spark.sparkContext.broadcast(index)
+        votes = leave_one_out(spark, held_index, k, share, empty_vote)
+        held_index.unpersist()
         curve = logistic(np.append(votes, np.full(none.sum(), empty_vote)), np.append(index.labels, y[none]), np.append(index.weights, counts_for[none]))
-    held = docs.sparkSession.sparkContext.broadcast((index, known, weight, unknown, curve, empty_vote, share))
+        index.rows = index.row_terms = index.row_values = None
+    held = spark.sparkContext.broadcast((index, terms, weight, unknown, curve, empty_vote, share))
+    taken_names = {c.lower() for c in docs.columns}
+    score_name, evidence_name = (fresh(docs, c) if c.lower() in taken_names else c for c in (name, f"{name}_evidence"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_name, T.DoubleType()), T.StructField(evidence_name, EVIDENCE)])
+    at_text = docs.columns.index(text)
 
-    def make():
-        index, known, weight, unknown, curve, empty_vote, share = held.value
+    def run(batches):
+        index, terms, weight, unknown, curve, empty_vote, share = held.value
         cache: dict = {}
 
-        def judged(value):
-            v = _vector(value, known, weight, unknown) if known else None
-            key = v[0] if v else None
-            if key not in cache:
-                at, cosine = index.search(v[1], v[2], k) if v else (np.zeros(0, int), np.zeros(0))
-                vote = index.vote(at, cosine, share) if len(at) else empty_vote
-                score = vote if curve is None else float(1 / (1 + np.exp(-(curve[0] * vote + curve[1]))))
-                if len(cache) > 20_000:
-                    cache.clear()
-                cache[key] = score, [{"doc_id": int(index.ids[i]), "similarity": float(c)} for i, c in zip(at[:3], cosine[:3], strict=True)]
-            return cache[key]
-
-        def work(values):
-            out = [judged(v) for v in values]
-            return [pa.array([s for s, _ in out], pa.float64()), pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))]
+        def judged(at, cosine):
+            vote = index.vote(at, cosine, share) if len(at) else empty_vote
+            score = vote if curve is None else float(1 / (1 + np.exp(-(curve[0] * vote + curve[1]))))
+            return score, [{"doc_id": int(index.ids[i]), "similarity": float(c)} for i, c in zip(at[:3], cosine[:3], strict=True)]
 
-        return work
-
-    return append_columns(docs, "text", make, [T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE)])
-
-
-def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 4000, **options) -> DataFrame:
+        for batch in batches:
+            if index is None:
+                slices = ((s, min(s + 1000, batch.num_rows), None, None, None) for s in range(0, batch.num_rows, 1000))
+            else:
+                slices = unit_vectors(batch.column(at_text), terms, weight, unknown)
+            for s, e, first, t, v in slices:
+                if index is None:
+                    out = [judged((), ())] * (e - s)
+                else:
+                    keys = [hashlib.blake2b(t[first[i] : first[i + 1]].tobytes() + v[first[i] : first[i + 1]].tobytes(), digest_size=16).digest() for i in range(e - s)]
+                    if len(cache) > 20_000:
+                        cache.clear()
+                    new = {key: i for i, key in enumerate(keys) if key not in cache}
+                    i = np.fromiter(new.values(), np.int64, len(new))
+                    sizes = first[i + 1] - first[i]
+                    every = _ranges(first[i], sizes)
+                    for key, near in zip(new, index.search_many(np.concatenate(([0], np.cumsum(sizes))), t[every], v[every], k), strict=True):
+                        cache[key] = judged(*near)
+                    out = [cache[key] for key in keys]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(s, e - s).columns, pa.array([x for x, _ in out], pa.float64()), pa.array([x for _, x in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())])))],
+                    names=schema.names,
+                )
+
+    return docs.mapInArrow(run, schema)
+
+
+def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, per_label: int = 2000, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every document."""
     out = classify(id_and_text(documents), *labelled_sample(documents, labels, "toxic", per_label, "toxicity"), known_labels(labels, "toxic"), **options)
-    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("score_evidence").alias("evidence"))

@@ -8,11 +8,13 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, html_text, langid, mixing, quality, toxicity
 from gridloom.llm import queries as q
+from gridloom.llm.common import counted, word_hashes, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -123,8 +125,54 @@ def test_toxicity_learns_words_of_few_examples(spark):
     factor = n(a, b, 43, 357, 40.0, 0.05)
     assert (factor > 0).all() and factor[2] > factor[1]
     # Statistics are over all labelled rows, whatever the sample is.
-    count = toxicity.label_counts(docs, labels.withColumnRenamed("toxic", "label"), spark.sparkContext.broadcast({b"oskolar": 0, b"slur": 1, b"w1": 2}))
-    assert [x.tolist() for x in count[:2]] == [[3, 40, sum("w1" in t.split() for t, y in zip(texts, toxic, strict=True) if y)], [0, 0, sum("w1" in t.split() for t, y in zip(texts, toxic, strict=True) if not y)]] and count[2:] == (43, 357)
+    hashed = [int(next(word_hashes(pa.array([w])))[3][0]) >> 12 for w in ("oskolar", "slur", "w1")]
+    order = np.argsort(hashed)
+    count = toxicity.label_counts(docs, labels.withColumnRenamed("toxic", "label"), spark.sparkContext.broadcast(np.array(hashed)[order]))
+    assert [x[np.argsort(order)].tolist() for x in count[:2]] == [[3, 40, sum("w1" in t.split() for t, y in zip(texts, toxic, strict=True) if y)], [0, 0, sum("w1" in t.split() for t, y in zip(texts, toxic, strict=True) if not y)]] and count[2:] == (43, 357)
+
+
+def test_words_by_hash_are_the_words():
+    texts = [None, "", "A", "a b" * 3, "É é x", "AbC abc", "x" * 3000, "word and " * 400, "...", " lead", "trail "] * 2
+    column = pa.array(["cut off", *texts])[1:]
+    for most in (1_000_000, 500, 7):
+        seen: dict = {}
+        for s, e, row, value in word_hashes(column, most):
+            for i in range(s, e):
+                want = words((texts[i] or "").encode())
+                got = value[row == i - s].tolist()
+                assert len(got) == len(want) and all(seen.setdefault(w, h) == h for w, h in zip(want, got, strict=True))
+            at, _, n = counted(row, value)
+            assert [Counter(n[at == i - s].tolist()) for i in range(s, e)] == [Counter(Counter(words((texts[i] or "").encode())).values()) for i in range(s, e)]
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_cosines_over_whole_vocabularies_equal_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    texts = {r.doc_id: Counter(words((r.text or "").encode())) for r in docs.collect()}
+    label = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 0 and r.doc_id in texts}
+    n = len(texts)
+    held = Counter(w for t in texts.values() for w in t)
+    first: dict = {}
+    for i in sorted(label):
+        first.setdefault((label[i], frozenset(texts[i].items())), i)
+    distinct = {1: [texts[i] for (y, _), i in first.items() if y == 1], 0: [texts[i] for (y, _), i in first.items() if y == 0]}
+    by = {y: Counter(w for t in of for w in t) for y, of in distinct.items()}
+    known = sorted({w for i in label for w in texts[i]})
+    factor = toxicity.tie(np.array([by[1][w] for w in known], float), np.array([by[0][w] for w in known], float), len(distinct[1]), len(distinct[0]), 40.0, 0.05)
+    weight = {w: (np.log((1 + n) / (1 + held[w])) + 1) * f for w, f in zip(known, factor, strict=True)}
+    vector = {}
+    for i, t in texts.items():
+        v = {w: (1 + np.log(c)) * weight.get(w, (np.log(1 + n) + 1) * 0.05) for w, c in t.items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        vector[i] = {w: x / size for w, x in v.items() if w in weight}
+    for i in list(texts)[:40]:
+        cosine = {j: round(sum(x * vector[j].get(w, 0) for w, x in vector[i].items()), 9) for j in label}
+        want = sorted(((c, -j) for j, c in cosine.items() if c > 0), reverse=True)[:3]
+        assert [round(e.similarity, 9) for e in out[i].evidence] == pytest.approx([c for c, _ in want], abs=1e-8)
+    clean = [r.score for i, r in out.items() if not r.predicted]
+    assert len(set(clean)) > 0.5 * len({frozenset(texts[i].items()) for i, r in out.items() if not r.predicted})
 
 
 def test_blocked_search_is_exact():
@@ -132,7 +180,7 @@ def test_blocked_search_is_exact():
     v = np.where(r.random((300, 12)) < 0.2, r.integers(1, 4, (300, 12)), 0).astype(float)
     v = v[v.any(1)]
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    index = toxicity.Examples(v, np.arange(len(v)) * 3, np.ones(len(v)), np.ones(len(v)), block=16)
+    index = toxicity.Examples(v, np.arange(len(v)) * 3, np.ones(len(v)), np.ones(len(v)), block=16, n_dense=3)
     for row in v[:40]:
         t = np.nonzero(row)[0]
         at, cosine = index.search(t, row[t], 7)
