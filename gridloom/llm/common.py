@@ -23,6 +23,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` itself if ``df`` has no such column, else one from :func:`fresh`."""
+    return fresh(df, name) if name.lower() in {c.lower() for c in df.columns} else name
+
+
 def append_columns(
     df: DataFrame, text: str, make: Callable[[], Callable[[list], list[pa.Array]]], fields: list[T.StructField]
 ) -> DataFrame:
@@ -61,18 +66,17 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(key.cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int, seed: str, strata: int = 200) -> tuple[DataFrame, dict]:
-    """About ``per_stratum`` rows of each value of ``stratum``, and the number of rows of each.
+def bounded_sample(df: DataFrame, key: str, stratum: str, per_stratum: int, seed: str, most: int = 30_000) -> DataFrame:
+    """About ``per_stratum`` rows of each value of ``stratum``, fewer of each where that would make more than ``most`` rows.
 
     Rows are taken by a threshold on the key's hash, so the choice needs no sort
-    and does not depend on partitioning. Of more than ``strata`` values the most
-    frequent are kept, which bounds the sample whatever the data holds.
+    and does not depend on partitioning. No value is left out. The table of rates has one row for each value.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(strata).collect()}
-    if not counts:
-        return df.limit(0), {}
-    rates = df.sparkSession.createDataFrame([(k, min(1.0, per_stratum / n)) for k, n in counts.items()], T.StructType([T.StructField(stratum, df.schema[stratum].dataType), T.StructField("_rate", T.DoubleType())]))
-    return df.join(F.broadcast(rates), stratum).filter(unit_hash(F.col(key), seed) < F.col("_rate")).drop("_rate"), counts
+    rate, value = fresh(df, "rate"), fresh(df, "value")
+    counts = durable(df.groupBy(F.col(stratum).alias(value)).agg(F.count("*").alias(rate)))
+    per = min(per_stratum, most / max(1, counts.count()))
+    rates = counts.withColumn(rate, F.least(F.lit(1.0), F.lit(float(per)) / F.col(rate)))
+    return df.join(rates, F.col(stratum) == F.col(value)).filter(unit_hash(F.col(key), seed) < F.col(rate)).drop(rate, value)
 
 
 #: Upper-case ASCII letters become lower-case, other ASCII that is no letter or digit becomes a space.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns, fresh
+from gridloom.llm.common import append_columns, unused
 
 #: A tag ends at the first > that is not in a quoted value, a cut-off one with the page. All repeats are possessive.
 _MARK = re.compile(r"""<!--[\s\S]*?(?:-->|\Z)|<!\[CDATA\[[\s\S]*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""")
@@ -324,8 +324,7 @@ def extract(pages: DataFrame, *, html_col: str = "html", name: str = "text") ->
 
         return work
 
-    taken = {c.lower() for c in pages.columns}
-    text, count = (fresh(pages, c) if c.lower() in taken else c for c in (name, f"{name}_blocks"))
+    text, count = unused(pages, name), unused(pages, f"{name}_blocks")
     return append_columns(pages, html_col, make, [T.StructField(text, T.StringType()), T.StructField(count, T.LongType())]).drop(html_col)
 
 

@@ -9,8 +9,8 @@ language. N-grams are hashed into ``DIM`` cells.
 The kernel is linear in a text's presence vector, so landmarks and regression fold
 into one matrix (cells by languages) and a batch of texts is scored by one product.
 
-Learning takes about ``per_language`` texts of each language (a documented bound,
-chosen by the id's hash) as bit vectors. Null texts and texts without a letter are
+Learning takes about ``per_language`` texts of each language, fewer where they would be more
+than 30,000 together (documented bounds; texts are chosen by the id's hash), as bit vectors. Null texts and texts without a letter are
 ``und`` with score 0. Rows are scored one by one, so repeated rows agree. Ties go to
 the first language in code-point order. With nothing to learn from, all is ``und``.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns, bounded_sample, fold, id_and_text
+from gridloom.llm.common import append_columns, bounded_sample, fold, id_and_text, unused
 
 BITS = 15
 DIM = 1 << BITS
@@ -38,7 +38,8 @@ def presence(text: bytes | None) -> np.ndarray | None:
     if not text:
         return None
     plain = _GAPS.sub(" ", text.decode("utf-8", "replace").lower()).strip()
-    if not plain:
+    # What is left beside letters are numbers such as ½ and ².
+    if not plain or not plain.isascii() and not any(map(str.isalpha, plain)):
         return None
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le"), np.uint32)
     seen = np.zeros(DIM, np.uint8)
@@ -80,9 +81,9 @@ def fit(packed: np.ndarray, labels: np.ndarray, languages: list, landmarks: int,
 
 
 def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", label: str = "lang", per_language: int = 600, landmarks: int = 256, ridge: float = 1.0, sharpness: float = 4.0) -> DataFrame:
-    """Columns of ``docs`` plus lang_pred and score. ``training`` has ``doc_id``, ``text`` and ``label``."""
+    """Columns of ``docs`` plus lang_pred and score, with an underscore in front where ``docs`` has such a column. ``training`` has ``doc_id``, ``text`` and ``label``."""
     labelled = training.select("doc_id", "text", F.col(label).alias("label")).filter("text is not null and label is not null")
-    sample, _ = bounded_sample(labelled, "doc_id", "label", per_language, "langid")
+    sample = bounded_sample(labelled, "doc_id", "label", per_language, "langid")
     bits = T.StructField("bits", T.BinaryType())
 
     def make_bits():
@@ -117,7 +118,7 @@ def identify(docs: DataFrame, training: DataFrame, *, text: str = "text", label:
 
         return work
 
-    return append_columns(docs, text, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return append_columns(docs, text, make, [T.StructField(unused(docs, "lang_pred"), T.StringType()), T.StructField(unused(docs, "score"), T.DoubleType())])
 
 
 def predict_documents(documents: DataFrame, **options) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Each document has a hash of its id. A source takes the documents whose hash is
+Each document has a hash of its id and text. A source takes the documents whose hash is
 under its threshold; thresholds for growing budgets are nested. To find one, word
 counts are summed by source and hash bucket, the bucket in which the budget runs
 out is refined into ever finer buckets, and everything is then one filter. Only
@@ -11,8 +11,9 @@ pass and the remainder by threshold. Targets share all words by the weights 1, 2
 3 over the sources in code-point order (null last); a target stops at ``cap`` times
 its source's size and what it leaves is shared by the others.
 
-Null and empty texts have size 0 and take 0 words. Rows that repeat an id share
-their hash and go in or stay out together. An empty table gives an empty result.
+Null and empty texts have size 0 and take 0 words. Rows without an id, or that repeat
+one, are told apart by their texts; rows equal in both go in or stay out together. An empty
+table gives an empty result. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import durable
+from gridloom.llm.common import durable, fresh, unused
 
 BITS = 60
 STEP = 10
@@ -32,9 +33,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
-def mix_hash(key: Column, seed: str = "mix") -> Column:
-    """60 bits of md5 over the seed and the id."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+def mix_hash(key: Column, text: Column, seed: str = "mix") -> Column:
+    """60 bits of md5 over the seed, the id and the text."""
+    whole = F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
@@ -108,7 +110,7 @@ def mix_cuts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     Joins with the second carry no broadcast hint: the planner broadcasts it by its
     measured size, and past the threshold AQE splits a hot source's partition.
     """
-    sized = durable(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), mix_hash(F.col(f"`{doc_id}`"), seed).alias("h")))
+    sized = durable(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), mix_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), seed).alias("h")))
     return sized, durable(thresholds(sized, source_targets(sized, cap)).withColumnRenamed("source", "s"))
 
 
@@ -126,10 +128,11 @@ def mix(docs: DataFrame, *, cap: int = 3, **options) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", cap: int = 3, seed: str = "mix", **options) -> DataFrame:
-    """The documents that the mix takes, all columns of ``docs``, each as one row with its number of copies in ``mix_copies``."""
-    _, cuts = mix_cuts(docs, doc_id=doc_id, source=source, cap=cap, seed=seed, **options)
-    cuts = cuts.select(F.col("s").alias("_mix_s"), F.struct("passes", "cut").alias("_mix_cut"))
-    extra = F.least(F.col("_mix_cut.passes") + (mix_hash(F.col(f"`{doc_id}`"), seed) <= F.col("_mix_cut.cut")).cast("long"), F.lit(cap).cast("long"))
-    joined = docs.join(cuts, F.col(f"`{source}`").eqNullSafe(F.col("_mix_s")))
-    return joined.withColumn("mix_copies", extra).filter("mix_copies > 0").drop("_mix_s", "_mix_cut")
+def mixed_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", cap: int = 3, seed: str = "mix") -> DataFrame:
+    """The documents that the mix takes, all columns of ``docs``, each as one row with its number of copies in ``mix_copies`` (``_mix_copies`` where that is taken)."""
+    _, cuts = mix_cuts(docs, doc_id=doc_id, text=text, source=source, cap=cap, seed=seed)
+    own, cut, copies = fresh(docs, "mix_source"), fresh(docs, "mix_cut"), unused(docs, "mix_copies")
+    cuts = cuts.select(F.col("s").alias(own), F.struct("passes", "cut").alias(cut))
+    extra = (mix_hash(F.col(f"`{doc_id}`"), F.col(f"`{text}`"), seed) <= F.col(f"{cut}.cut")).cast("long")
+    joined = docs.join(cuts, F.col(f"`{source}`").eqNullSafe(F.col(own)))
+    return joined.withColumn(copies, F.least(F.col(f"{cut}.passes") + extra, F.lit(cap).cast("long"))).filter(F.col(copies) > 0).drop(own, cut)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _WORD_BYTES, durable
+from gridloom.llm.common import _WORD_BYTES, durable, fresh
 
 SHINGLE = 5
 TABLES, PICK = 40, 5
@@ -425,11 +425,13 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each class: that with the class's id, or of rows that repeat it the first text. Same columns as ``docs``; rows with a null id stay."""
-    found = classes(docs, doc_id=doc_id, text=text, **options).filter("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
+    """One row of each class: that with the class's id, or of rows that repeat it the first text. Same columns as ``docs``, whatever their names; rows with a null id stay."""
+    keep = fresh(docs, "keep")
+    again, times = fresh(docs, "again"), fresh(docs, "times")
+    found = classes(docs, doc_id=doc_id, text=text, **options).filter("doc_id = class_id").select(F.col("doc_id").alias(keep)).distinct()
     key = F.col(f"`{doc_id}`")
-    kept = docs.join(found, key.cast("long") == F.col("_keep"), "left_semi")
-    first = kept.groupBy(key.alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1")
-    repeated = kept.join(first, key == F.col("_id"), "left_semi")
-    single = kept.join(first, key == F.col("_id"), "left_anti")
+    kept = docs.join(found, key.cast("long") == F.col(keep), "left_semi")
+    more = kept.groupBy(key.alias(again)).agg(F.count("*").alias(times)).filter(F.col(times) > 1)
+    repeated = kept.join(more, key == F.col(again), "left_semi")
+    single = kept.join(more, key == F.col(again), "left_anti")
     return single.unionByName(repeated.dropDuplicates([doc_id])).unionByName(docs.filter(key.isNull()))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import append_columns, bounded_sample, fold, id_and_text, unit_hash
+from gridloom.llm.common import append_columns, bounded_sample, fold, id_and_text, unit_hash, unused
 
 PASSAGE = 1000
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:", b"!?", b"#$%&*@^~=+<>", b"|", b"'\"()[]{}-_/\\"]
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Network | float, *, text: str = "text", name:
 
         return work
 
-    return append_columns(docs, text, make, [T.StructField(name, T.DoubleType()), T.StructField(f"{name}_passages", T.LongType()), T.StructField(f"{name}_attention", T.DoubleType())])
+    return append_columns(docs, text, make, [T.StructField(unused(docs, name), T.DoubleType()), T.StructField(unused(docs, f"{name}_passages"), T.LongType()), T.StructField(unused(docs, f"{name}_attention"), T.DoubleType())])
 
 
 def known_labels(labels: DataFrame, label: str) -> DataFrame:
@@ -175,7 +175,9 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, per_lab
     The sample is drawn from the labels, so that what is broadcast to the documents
     has a bounded number of rows and no text is shuffled.
     """
-    drawn, counts = bounded_sample(known_labels(labels, label), "doc_id", "label", per_label, seed)
+    known = known_labels(labels, label)
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
+    drawn = bounded_sample(known, "doc_id", "label", per_label, seed)
     return id_and_text(documents).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label"), counts
 
 

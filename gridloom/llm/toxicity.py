@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import counted, durable, fold, fresh, id_and_text, lists_of, word_hashes
+from gridloom.llm.common import counted, durable, fold, id_and_text, lists_of, unused, word_hashes
 from gridloom.llm.quality import known_labels, labelled_sample
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("similarity", T.DoubleType())]))
@@ -316,8 +316,7 @@ def classify(docs: DataFrame, sample: DataFrame, totals: dict, labelled: DataFra
         curve = logistic(np.append(votes, np.full(none.sum(), empty_vote)), np.append(index.labels, y[none]), np.append(index.weights, counts_for[none]))
         index.rows = index.row_terms = index.row_values = None
     held = spark.sparkContext.broadcast((index, terms, weight, unknown, curve, empty_vote, share))
-    taken_names = {c.lower() for c in docs.columns}
-    score_name, evidence_name = (fresh(docs, c) if c.lower() in taken_names else c for c in (name, f"{name}_evidence"))
+    score_name, evidence_name = unused(docs, name), unused(docs, f"{name}_evidence")
     schema = T.StructType([*docs.schema.fields, T.StructField(score_name, T.DoubleType()), T.StructField(evidence_name, EVIDENCE)])
     at_text = docs.columns.index(text)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gridloom.llm.queries import queries
 
-CLASHES = ["size", "score", "row", "n", "word", "label", "digest", "id", "s", "h", "copies", "found", "_found", "bits", "taken", "_mix_s_", "lang_pred", "text_", "part", "u", "t", "base", "rest", "doc_ID2"]
+CLASHES = ["size", "score", "row", "n", "word", "label", "digest", "id", "s", "h", "copies", "found", "_found", "bits", "taken", "_mix_s_", "lang_pred", "text_", "part", "u", "t", "base", "rest", "doc_ID2", "_id", "_keep", "keep", "again", "times", "_n", "_mix_s", "_mix_cut", "mix_source", "mix_copies", "rate", "value", "_rate", "score_evidence", "score_passages", "left", "about"]
 
 
 @pytest.fixture(scope="module")

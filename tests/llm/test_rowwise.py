@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import decontam, html_text, langid, mixing, quality, toxicity
 from gridloom.llm import queries as q
-from gridloom.llm.common import counted, word_hashes, words
+from gridloom.llm.common import bounded_sample, counted, word_hashes, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
@@ -69,11 +69,27 @@ def test_mix_meets_targets(spark, sf):
     assert (kept["mix_copies"] > 0).all() and list(kept.columns) == [*docs.columns, "mix_copies"] and 0 < len(kept) < docs.count()
 
 
+def test_mix_splits_rows_without_an_id(spark):
+    rows = [(None, f"{'w ' * (1 + i % 7)}t{i}", "a") for i in range(200)] + [(i, "x " * 40, "b") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_copies", F.lit("old"))
+    out = mixing.mix(docs).toPandas()
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
+    kept = mixing.mixed_documents(docs)
+    assert kept.columns == [*docs.columns, "_mix_copies"] and kept.filter("mix_copies <> 'old'").isEmpty()
+
+
+def test_sample_leaves_no_stratum_out(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 400).alias("lang"))
+    got = bounded_sample(df, "doc_id", "lang", 600, "s", most=2000)
+    assert got.columns == df.columns and got.select("lang").distinct().count() > 380 and 1700 < got.count() < 2300
+
+
 def test_language(spark, sf):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    odd = spark.createDataFrame([(9001, None, None, "s", 0), (9002, "", "en", "s", 0), (9003, "123 -- !!", "fr", "s", 9)], docs.schema)
+    odd = spark.createDataFrame([(9001, None, None, "s", 0), (9002, "", "en", "s", 0), (9003, "123 -- !!", "fr", "s", 9), (9004, "² ½ ① ٣", "fr", "s", 9)], docs.schema)
     out = langid.predict_documents(docs.unionByName(odd)).toPandas().set_index("doc_id")
-    assert {out.loc[i].lang_pred for i in (9001, 9002, 9003)} == {"und"}
+    assert {out.loc[i].lang_pred for i in (9001, 9002, 9003, 9004)} == {"und"}
     truth = docs.toPandas().set_index("doc_id")["lang"]
     held = out[out.held_out].index.intersection(truth.index)
     assert (out.loc[held].lang_pred == truth[held]).mean() > 0.97 and out.score.between(0, 1).all()
