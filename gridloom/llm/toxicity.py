@@ -88,7 +88,7 @@ def label_counts(docs: DataFrame, known: DataFrame, held) -> tuple[np.ndarray, n
     # Of equal texts with one label the least id stands for all.
     one = durable(keyed.select("doc_id", "h").join(known, "doc_id").groupBy("h", "label").agg(F.min("doc_id").alias("doc_id")))
     sizes = {r[0]: r[1] for r in one.groupBy("label").count().collect()}
-    labelled = keyed.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType()))])).join(one, ["doc_id", "h"]).select("label", "terms")
+    labelled = keyed.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("h", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType()))])).join(one.hint("merge"), ["doc_id", "h"]).select("label", "terms")
     got = labelled.mapInArrow(add, "term int, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     a, b = np.zeros(len(held.value)), np.zeros(len(held.value))
     a[got["term"].to_numpy()], b[got["term"].to_numpy()] = got["a"].to_numpy(), got["b"].to_numpy()
