@@ -124,13 +124,13 @@ def s11_all_valid_pixels(spark, d):
     return rounded(tables.pixels(spark, d).filter(p.valid_pixel(["S1_VV", "S1_VH"])).select("pixel_id", "image_row", "image_col", "S1_VV", "S1_VH"), 8)
 
 
-@query(over("pixels", """SELECT c.pixel_id AS query, a AS d_row, b AS d_col, round(q.S1_VH, 6) AS S1_VH FROM (SELECT * FROM pixels WHERE pixel_id % 500 = 0) c,
+@query(over("pixels", """SELECT c.pixel_id AS query, a AS d_row, b AS d_col, round(q.S1_VH, 6) AS S1_VH FROM (SELECT * FROM pixels WHERE pixel_id % 50 = 0) c,
   LATERAL (SELECT unnest(range(-4, 4)) AS a), LATERAL (SELECT unnest(range(-4, 4)) AS b) LEFT JOIN pixels q ON q.image_row = c.image_row + a AND q.image_col = c.image_col + b"""))
 def s12_chips(spark, d):
     from gridloom.operators.similarity import chips
 
     px = tables.pixels(spark, d)
-    centres = px.filter("pixel_id % 500 = 0").select(F.col("pixel_id").alias("query"), "image_row", "image_col")
+    centres = px.filter("pixel_id % 50 = 0").select(F.col("pixel_id").alias("query"), "image_row", "image_col")
     return rounded(chips(px, centres, 8, ["S1_VH"]).select("query", "d_row", "d_col", "S1_VH"))
 
 

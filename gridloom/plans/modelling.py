@@ -73,26 +73,26 @@ def m4_m5_m6_ridge_log_and_structural(spark, d):
 @query()
 def m7_random_search(spark, d):
     data = p.feature_vector(p.spread_embedding(folded(spark, d)), FEW).cache()
-    return o.random_search(data.filter("fold < 2"), "S1_VV", "fold", {"maxDepth": [2, 3], "maxIter": [5, 8], "stepSize": [0.1, 0.3]}, 2)
+    return o.random_search(data, "S1_VV", "fold", {"maxDepth": [2, 3], "maxIter": [5, 8], "stepSize": [0.1, 0.3]}, 2)
 
 
 @query()
 def m8_early_stopping(spark, d):
-    data = split_samples(spark, d, FEW).withColumn("held", F.col("split") == "test")
+    data = split_samples(spark, d, FEATURES).withColumn("held", F.col("split") == "test")
     model = o.boosted_trees("S1_VV", "hat", validation="held", maxIter=20, stepSize=0.3, maxDepth=3).fit(data)
     return model.transform(data.filter("held")).agg(*regression_metrics(F.col("S1_VV"), F.col("hat"))).withColumn("trees", F.lit(len(model.trees)))
 
 
 @query()
 def m9_a23_linear_attribution(spark, d):
-    data = split_samples(spark, d, FEW)
-    return o.linear_attribution(data.filter("split = 'test'"), o.ridge(data.filter("split = 'train'"), "S1_VV", "hat"), FEW, "S1_VV")
+    data = split_samples(spark, d, FEATURES)
+    return o.linear_attribution(data.filter("split = 'test'"), o.ridge(data.filter("split = 'train'"), "S1_VV", "hat"), FEATURES, "S1_VV")
 
 
 @query()
 def m10_gain_and_split_importance(spark, d):
-    data = split_samples(spark, d, FEW)
-    return o.gain_importance(data, o.boosted_trees("S1_VV", "hat", **QUICK).fit(data.filter("split = 'train'")), FEW)
+    data = split_samples(spark, d, FEATURES)
+    return o.gain_importance(data, o.boosted_trees("S1_VV", "hat", **QUICK).fit(data.filter("split = 'train'")), FEATURES)
 
 
 @query()
@@ -126,7 +126,7 @@ def m13_learning_curve(spark, d):
 
 @query()
 def m15_best_refit_by_group(spark, d):
-    data = split_samples(spark, d, FEW)
+    data = split_samples(spark, d, FEATURES)
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
     models = {"ridge": o.ridge(train, "S1_VV", "hat"), "trees": o.boosted_trees("S1_VV", "hat", **QUICK).fit(train)}
     runs = None
