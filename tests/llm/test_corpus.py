@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import brown, fingerprint, neardup, pii
-from gridloom.llm.common import durable
+from gridloom.llm.common import durable, tokens
 
 
 def docs_of(spark, texts, start=0):
@@ -212,6 +212,62 @@ def test_base_scores_equal_brute_force(spark, sf):
     assert held.score.sum() > held.base_score.sum()
 
 
+def test_every_word_has_its_likeliest_class(spark, sf):
+    """Classes of words beyond the exchanged ones, and scores, against plain loops over the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.substring("text", 1, 600).alias("text")).limit(120)
+    docs = durable(docs.unionByName(docs_of(spark, [None, "", "never seeninanytext ² zz"], 90_000)))
+    train = F.col("doc_id") % 3 > 0
+    options = {"n_words": 60, "n_classes": 8, "rounds": 2, "pull": 20.0, "n_lookup": 150}
+    texts = {r.doc_id: tokens((r.text or "").encode()) for r in docs.collect()}
+    learned = [[*w, brown.END] for i, w in texts.items() if i % 3 > 0]
+    counts = Counter(w for t in learned for w in t)
+    m = brown.learn(docs.filter(train).select("text"), *options.values())
+    assert m.words == sorted((w for w in counts if w != brown.END), key=lambda w: (-counts[w], w))[:150]
+    of = {bytes(r.word): r.cls for r in m.placed.collect()}
+    first = dict(zip(m.words[:60], m.of[:60].tolist(), strict=True))
+    assert set(of) == set(counts) - set(first) - {brown.END} and all(of[w] == c for w, c in zip(m.words[60:], m.of[60:].tolist(), strict=True))
+    # Transitions of the exchanged words, any other word (8) and the end (9).
+    kind = {**dict.fromkeys(of, 8), **first, brown.END: 9}
+    pairs = Counter((kind[a], kind[b]) for t in learned for a, b in zip([brown.END, *t], t, strict=False))
+    own = [sum(counts[w] for w in first if first[w] == c) for c in range(8)]
+
+    def chances(pairs, size):
+        n = [[pairs[a, b] for b in range(size)] for a in range(size)]
+        alone = [(sum(r[b] for r in n) + 1) / (sum(map(sum, n)) + size) for b in range(size)]
+        return [[math.log10((n[a][b] + 20 * alone[b]) / (sum(n[a]) + 20)) for b in range(size)] for a in range(size)]
+
+    t10 = chances(pairs, 10)
+    gain = {w: [-counts[w] * math.log10(own[c] + counts[w]) for c in range(8)] for w in of}
+    for t in learned:
+        for a, w, b in zip([brown.END, *t], t, t[1:], strict=False):
+            if w in gain:
+                for c in range(8):
+                    gain[w][c] += t10[kind[a]][c] + t10[c][kind[b]]
+    assert all(g[of[w]] == pytest.approx(max(g), abs=1e-5) for w, g in gain.items())
+    # Scores with every word in its class.
+    of |= first | {brown.END: 8}
+    usual = Counter((zlib.crc32(w[-2:]) % brown.ENDINGS, c) for w, c in of.items() if w not in first and w != brown.END)
+    types, sums = Counter(of[w] for w in counts), Counter()
+    for w, n in counts.items():
+        sums[of[w]] += n
+    most = max(range(8), key=lambda c: (types[c], -c))
+
+    def guess(w):
+        here = [(n, -c) for (cell, c), n in usual.items() if cell == zlib.crc32(w[-2:]) % brown.ENDINGS]
+        return -max(here)[1] if here else most
+
+    final = chances(Counter((of[a], of[b]) for t in learned for a, b in zip([brown.END, *t], t, strict=False)), 9)
+    out = {r.doc_id: r.score for r in brown.score(docs, train, **options).collect()}
+    for i, t in texts.items():
+        want, last = 0.0, 8
+        for w in [*t, brown.END]:
+            c = of[w] if w in of else guess(w)
+            n = counts[w] - 0.5 if w in counts else max(0.5 * types[c] / (types[c] + 1), 0.25)
+            want += final[last][c] + (0 if w == brown.END else math.log10(n / sums[c]))
+            last = c
+        assert out[i] == pytest.approx(want)
+
+
 def test_classes_make_a_distribution():
     r = np.random.default_rng(0)
     n = r.integers(0, 9, (45, 45)).astype(float)
