@@ -18,8 +18,8 @@ document proposes, in each of its buckets, its likeliest partner in another comp
 one-permutation codes; proposals are verified and components joined. A last round verifies
 all pairs left in a bucket that lie in different components and whose codes do not rule out
 the threshold by more than ``SURE`` standard deviations. Buckets over ``block`` members are dealt
-over blocks; members outside a bucket's largest component go to all of its blocks, so the
-last round still meets every pair of different components.
+over pairs of blocks, so the last round still meets every pair of different components, and
+no task holds more than about two blocks of a bucket.
 
 Null texts are never copies of anything. Texts without a word are copies only of equal texts.
 Texts of fewer than ``SHINGLE`` words are one shingle. Rows that repeat an id are copies of
@@ -32,7 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import _WORD_BYTES, durable, fresh
@@ -384,6 +384,32 @@ def joined_components(comps: DataFrame | None, found: DataFrame) -> DataFrame:
     return durable(moved.union(more.join(moved.select("id"), "id", "left_anti")))
 
 
+def group_of(size: Column, block: int) -> Column:
+    """A number below the blocks that ``size`` members fill, by the id's hash."""
+    return F.pmod(F.xxhash64("id"), F.ceil(size / block).cast("long"))
+
+
+def dealt(large: DataFrame, block: int) -> DataFrame:
+    """Members of large buckets with a ``part`` for each meeting, so that all pairs of different components meet in parts of about two blocks.
+
+    Those of the bucket's largest component (insiders) never meet one another. Few others (outsiders) go to all blocks of
+    insiders. Where they are more than a block, each block of them meets each block of insiders and of outsiders once.
+    """
+    by = large.groupBy("bucket", "comp").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.max("k").alias("n_in"), F.sum("k").alias("n_all"))
+    placed = large.join(by, "bucket")
+    inside, n_out = F.col("comp") == F.col("largest"), F.col("n_all") - F.col("n_in")
+    ins, outs = F.ceil(F.col("n_in") / block).cast("long"), F.ceil(n_out / block).cast("long")
+    mine = F.when(inside, group_of(F.col("n_in"), block)).otherwise(group_of(F.greatest(n_out, F.lit(1)), block))
+    placed = placed.withColumns({"ins": ins, "outs": outs, "mine": mine})
+    # Meetings with insiders are numbered by (outsiders' block, insiders' block), those of outsiders come after them.
+    with_out = F.when(F.col("outs") > 0, F.expr("transform(sequence(0L, outs - 1), o -> o * ins + mine)")).otherwise(F.expr("array(mine)"))
+    with_in = F.expr("transform(sequence(0L, ins - 1), i -> mine * ins + i)")
+    among = F.expr("transform(sequence(0L, outs - 1), o -> outs * ins + least(o, mine) * outs + greatest(o, mine))")
+    # With one block of outsiders, they meet each other wherever they meet insiders.
+    parts = F.when(inside, with_out).when(F.col("outs") == 1, with_in).otherwise(F.concat(with_in, among))
+    return placed.withColumn("part", F.explode(parts)).drop("largest", "n_in", "n_all", "ins", "outs", "mine")
+
+
 def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, rounds: int = 2, block: int = 2048) -> DataFrame:
     """doc_id, class_id and copy_of (the first document with the same text), one row per row of ``docs``."""
     given = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -404,16 +430,11 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thre
         last = number == rounds
         state = about.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")) if comps is not None else about.withColumn("comp", F.col("id"))
         members = kept.join(state, "id")
-        parts = F.ceil(F.col("size") / block).cast("int")
-        own = F.pmod(F.xxhash64("id"), parts).cast("int")
         if last:
-            large = members.filter(F.col("size") > block)
-            largest = large.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
-            everywhere = F.when(F.col("comp") == F.col("largest"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
-            large = large.join(largest, "bucket").withColumn("part", F.explode(everywhere)).drop("largest")
-            members = members.filter(F.col("size") <= block).withColumn("part", F.lit(0)).unionByName(large)
+            large = dealt(members.filter(F.col("size") > block), block)
+            members = members.filter(F.col("size") <= block).withColumn("part", F.lit(0).cast("long")).unionByName(large)
         else:
-            members = members.withColumn("part", own)
+            members = members.withColumn("part", group_of(F.col("size"), block))
         pairs = pairs_in_buckets(members.select("bucket", "part", "id", "n", "code", "comp", *(["frags"] if last else [])), threshold, last)
         pairs = durable(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         found = durable(verify(pairs, table, threshold))

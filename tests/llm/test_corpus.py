@@ -268,6 +268,33 @@ def test_every_word_has_its_likeliest_class(spark, sf):
         assert out[i] == pytest.approx(want)
 
 
+def test_large_buckets_without_a_large_component(spark):
+    """Many texts share a passage and few are copies: whatever the block size, the classes are those of a plain comparison of all pairs."""
+    r = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{i}" for i in r.integers(0, 5000, n))
+    shared, texts = words(60), []
+    for i in range(40):
+        texts.append(f"{shared} {words(35)}")
+        if i % 4 == 0:
+            texts.append(texts[-1] + " " + words(3))
+    seq = [neardup.labelled(neardup.shingles(t.encode())) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.similar(seq[j], seq[i], 0.8) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    assert len(set(group)) == 40
+    for block in (4, 16, 2048):
+        got = {x.doc_id: x.class_id for x in neardup.classes(docs_of(spark, texts), block=block).collect()}
+        assert [got[i] for i in range(len(texts))] == group
+    rows = spark.createDataFrame([(1, i, 0 if i < 9 else i, 30) for i in range(30)], "bucket long, id long, comp long, size long")
+    parts: dict = {}
+    for x in neardup.dealt(rows, 4).collect():
+        parts.setdefault(x.part, []).append(x.id)
+    met = {(a, b) for ids in parts.values() for a in ids for b in ids if a < b}
+    assert all((a, b) in met for a in range(30) for b in range(max(9, a + 1), 30)) and max(map(len, parts.values())) < 24
+
+
 def test_classes_make_a_distribution():
     r = np.random.default_rng(0)
     n = r.integers(0, 9, (45, 45)).astype(float)
