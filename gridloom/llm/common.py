@@ -95,6 +95,22 @@ def tokens(text: bytes | None) -> list[bytes]:
     return text.translate(_TOKEN_BYTES).split() if text else []
 
 
+def word_pieces(text: bytes | None, overlap: int = 0, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes], int]]:
+    """(number of the first word, words, how many of them are new here): the :func:`words` of a text in lists of bounded length.
+
+    Each list but the last ends with ``overlap`` words that come again in the next one.
+    """
+    raw = (text or b"").translate(_WORD_BYTES)
+    at, number, carried = 0, 0, []
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        found = carried + raw[at:end].split()
+        new = len(found) if end == len(raw) else max(0, len(found) - overlap)
+        yield number, found, new
+        carried, number, at = found[new:], number + new, end
+
+
 _TABLE = np.frombuffer(_WORD_BYTES, np.uint8)
 #: Texts hashed together at most.
 ROWS = 1 << 12

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import brown, decontam, fingerprint, html_text, langid, mixing, neardup, pii, quality, toxicity
+from gridloom.llm import brown, decontam, fingerprint, html_text, langid, lexical, licenses, mixing, neardup, negatives, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_documents(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -124,9 +136,9 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 
 
 def queries() -> dict:
-    named = (op1_personal_data, op2_order_minhash_dedup, op3_quality_mil, op4_order_minhash_fingerprints, op5_language_kernel, op6_mix_sources, op7_brown_lm, op8_html_text, op9_decontaminate, op10_toxicity_knn)
+    named = (op1_personal_data, op2_order_minhash_dedup, op3_quality_mil, op4_order_minhash_fingerprints, op5_language_kernel, op6_mix_sources, op7_brown_lm, op8_html_text, op9_decontaminate, op10_toxicity_knn, op11_license_templates, op12_hard_negatives, op13_lexical_search)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": OP6_SQL, "op9_decontaminate": OP9_SQL}
+    return {"op6_mix_sources": OP6_SQL, "op9_decontaminate": OP9_SQL, "op11_license_templates": licenses.scan_sql(), "op12_hard_negatives": negatives.SQL, "op13_lexical_search": lexical.SQL}
