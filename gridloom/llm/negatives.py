@@ -333,9 +333,9 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, *, positives: int = 5, ne
     rows of other labels that score between ``low`` and ``high`` hundredths of it.
     """
     whole = lambda x: F.greatest(F.least(x.cast("long"), F.lit(MOST)), F.lit(-MOST))
-    used = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform("v", whole).alias("v"))
-    used = used.filter("id is not null and label is not null and v is not null").filter(F.forall("v", lambda x: x.isNotNull())).dropDuplicates(["id", "label", "v"])
-    index = build_index(used, sample)
+    full = rows.filter("id is not null and label is not null and v is not null").filter(F.forall("v", lambda x: x.isNotNull()))
+    used = full.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform("v", whole).alias("v"))
+    index = build_index(used.dropDuplicates(["id", "label", "v"]), sample)
     anchors = durable(index.rows.filter(is_anchor).select(F.monotonically_increasing_id().alias("anchor"), "id", "label", "v"))
     nothing = F.lit(None).cast("long")
     own = anchors.withColumn("windows", F.array(F.struct(F.lit(0).alias("window"), F.lit(True).alias("same"), nothing.alias("low"), nothing.alias("high"))))
@@ -362,7 +362,7 @@ def mine_embeddings(embeddings: DataFrame) -> DataFrame:
 
 SQL = """
 WITH rows AS (
-  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 pairs AS (
   SELECT a.id AS anchor_id, b.id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM rows a JOIN rows b ON a.id <> b.id WHERE a.id % 50 = 0),
