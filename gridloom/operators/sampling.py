@@ -135,19 +135,63 @@ def capped(df: DataFrame, group: list[str], key: str, cap: int, seed: int) -> Da
     return stratified_sample(df, group, key, cap, seed)
 
 
-def pair_sample(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
-    """About ``target`` unordered pairs of keys, drawn as pairs of positions, not from a full cross join."""
-    numbered = consecutive_ids(df.select(key), [key], "_at")
-    n = numbered.count()
-    total = n * (n - 1) // 2
-    if total <= 0:
-        return numbered.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
-    spark = df.sparkSession
-    draw = lambda s: F.floor(hash01("id", seed=s) * n).cast("long")
-    pairs = spark.range(min(target, 4 * total)).select(draw(seed).alias("_x"), draw(seed + 1).alias("_y")).filter("_x <> _y")
-    pairs = pairs.select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y")).distinct()
-    one, two = numbered.select(F.col("_at").alias("_x"), F.col(key).alias("a")), numbered.select(F.col("_at").alias("_y"), F.col(key).alias("b"))
-    return pairs.join(one, "_x").join(two, "_y").select("a", "b")
+def nested_bins(df: DataFrame, strata: list[str], key: str, quotas: list[Column], seed: int, name: str) -> DataFrame:
+    """Column ``name``: the number of the first quota that takes the row, ``len(quotas)`` if none does.
+
+    A quota takes that many rows of each stratum by the order of their draws; quotas rise and may use ``_n``, the
+    stratum's size, so the samples are nested. Only keys and draws are ranked; each stratum's last
+    draw within each quota, one row for a stratum, then tells where its rows belong, which move at most once.
+    """
+    u = hash01(key, seed=seed)
+    place = F.struct(u.alias("u"), F.col(key).alias("k"))
+    ranked = ranks_within(df.select(*strata, key).withColumn("_u", u), strata, ["_u", key], "_rank", "_n")
+    cuts = ranked.groupBy(*strata).agg(F.array(*[F.max(F.when(F.col("_rank") <= q, F.struct(F.col("_u").alias("u"), F.col(key).alias("k")))) for q in quotas]).alias("_cuts"))
+    if strata:
+        same = F.lit(True)
+        for i, g in enumerate(strata):
+            cuts = cuts.withColumnRenamed(g, f"_g{i}")
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        out = df.join(cuts, same, "left").drop(*[f"_g{i}" for i in range(len(strata))])
+    else:
+        out = df.crossJoin(F.broadcast(cuts))
+    beyond = F.size(F.filter("_cuts", lambda c: c.isNull() | (c < place)))
+    return out.withColumn(name, beyond).drop("_cuts")
+
+
+def pair_draw(df: DataFrame, key: str, m: int, seed: int, group: list[str] = ()) -> DataFrame:
+    """(group, a, b): exactly min(m, all) distinct unordered pairs of keys of each group, without replacement; a stands before b by key.
+
+    All n (n - 1) / 2 pairs are numbered by l and r as in a round-robin tournament, with n of l and (n - 1) / 2 of r where n is odd,
+    n / 2 and n - 1 where it is even. Adding, by turns, a hash of the one to the other is a bijection of
+    these numbers, so the images of 0 to m - 1 are m different pairs, each made by itself.
+    """
+    group = list(group)
+    numbered = durable(ranks_within(df.select(*group, key), group, [key], "_at", "_n").withColumn("_at", F.col("_at") - 1))
+    n, odd = F.col("_n"), F.col("_n") % 2 == 1
+    sizes = numbered.select(*group, "_n").distinct().filter("_n > 1")
+    sizes = sizes.withColumn("_a", F.when(odd, n).otherwise(F.expr("_n div 2"))).withColumn("_b", F.when(odd, F.expr("(_n - 1) div 2")).otherwise(n - 1))
+    last = F.least(F.lit(m), F.col("_a") * F.col("_b")) - 1
+    step = 1000
+    chunks = sizes.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")))).repartition(*group, "_s")
+    drawn = chunks.withColumn("_j", F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + step - 1, last))))
+    drawn = drawn.withColumn("_l", F.col("_j") % F.col("_a")).withColumn("_r", F.expr("_j div _a"))
+    for turn in range(PAIR_TURNS):
+        to, by, of = ("_l", "_r", "_a") if turn % 2 == 0 else ("_r", "_l", "_b")
+        drawn = drawn.withColumn(to, (F.col(to) + F.floor(hash01(by, F.lit(turn), seed=seed) * F.col(of)).cast("long")) % F.col(of))
+    one = F.when(odd, F.col("_l")).when(F.col("_l") == 0, n - 1).otherwise((F.col("_r") + F.col("_l")) % (n - 1))
+    two = F.when(odd, (F.col("_l") + F.col("_r") + 1) % n).when(F.col("_l") == 0, F.col("_r")).otherwise((F.col("_r") - F.col("_l") + n - 1) % (n - 1))
+    pairs = drawn.select(*group, one.alias("_x"), two.alias("_y")).select(*group, F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
+    for at, name in (("_x", "a"), ("_y", "b")):
+        side = numbered.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_at").alias("_to"), F.col(key).alias(name))
+        same = F.col(at) == F.col("_to")
+        for i, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        pairs = pairs.join(side, same).drop(at, "_to", *[f"_g{i}" for i in range(len(group))])
+    return pairs
+
+
+#: Turns of the bijection of :func:`pair_draw`.
+PAIR_TURNS = 6
 
 
 def quantile_bin(df: DataFrame, group: list[str], value: str, key: str, bins: int, name: str) -> DataFrame:
@@ -163,37 +207,36 @@ def spatial_blocks(df: DataFrame, key: str, region: str = "region", lat: str = "
     return out.withColumn("spatial_block", F.concat(F.col(region), F.lit("__"), F.col("lat_bin"), F.lit("_"), F.col("lon_bin")))
 
 
-def grouped_folds(df: DataFrame, block: str, stratum: str, folds: int, seed: int, most_cells: int = 100_000) -> DataFrame:
-    """``fold``: whole blocks in one fold, with the strata balanced.
+def block_folds(df: DataFrame, block: str, stratum: str, folds: int, seeds: list[int]) -> DataFrame:
+    """(block, fold_<seed>, ...): a fold for every block and seed, with rows and strata balanced.
 
-    Blocks by strata are counted; up to ``most_cells`` counts the fold of each block
-    is chosen greedily, the largest first, where it leaves the strata most even. Beyond
-    that, folds follow the block's draw, which balances them by itself.
+    Blocks stand in order of their main stratum, that of most rows, and their draw, and are dealt in rounds of ``folds``:
+    in a round each fold gets one block, the largest first, from the first fold on in even rounds and from the last in odd
+    ones. Only one row for each block is ranked, whatever the rows and however many blocks there are.
+    A null block is one block, a null stratum one stratum.
     """
-    counts = df.groupBy(block, stratum).count()
-    if counts.count() > most_cells:
-        return df.withColumn("fold", F.floor(hash01(block, seed=seed) * folds).cast("int"))
-    by_block: dict = {}
-    for r in counts.withColumn("_u", hash01(block, seed=seed)).orderBy("_u", block, stratum).collect():
-        by_block.setdefault(r[0], (r["_u"], {}))[1][r[1]] = r["count"]
-    totals: dict = {}
-    for _, c in by_block.values():
-        for s, n in c.items():
-            totals[s] = totals.get(s, 0) + n
-    held = [dict.fromkeys(totals, 0) for _ in range(folds)]
-    chosen = []
-    for name, (_, c) in sorted(by_block.items(), key=lambda x: (-sum(x[1][1].values()), x[1][0], str(x[0]))):
-        def unevenness(f: int, c: dict = c) -> tuple:
-            after = [{s: held[g][s] + (c.get(s, 0) if g == f else 0) for s in c} for g in range(folds)]
-            spread = sum(sum((a[s] / totals[s] - sum(x[s] for x in after) / folds / totals[s]) ** 2 for a in after) for s in c)
-            return round(spread, 12), sum(held[f].values()), f
-
-        f = min(range(folds), key=unevenness)
-        for s, n in c.items():
-            held[f][s] += n
-        chosen.append((name, f))
-    fold = df.sparkSession.createDataFrame(chosen, f"`{block}` string, fold int") if chosen else df.sparkSession.createDataFrame([], f"`{block}` string, fold int")
-    return df.join(F.broadcast(fold), block)
+    counts = df.groupBy(F.col(block).alias("_b"), F.col(stratum).alias("_s")).count()
+    totals = counts.groupBy("_b").agg(F.sum("count").alias("_rows"), F.min(F.struct((-F.col("count")).alias("c"), F.col("_s").alias("s")))["s"].alias("_main"))
+    each = totals.withColumn("_seed", F.explode(F.array(*map(F.lit, seeds))))
+    draws = F.lit(None)
+    for seed in seeds:
+        draws = F.when(F.col("_seed") == seed, hash01("_b", seed=seed)).otherwise(draws)
+    ranked = ranks_within(each.withColumn("_u", draws), ["_seed"], ["_main", "_u", "_b"], "_at")
+    ranked = ranked.withColumn("_round", F.floor((F.col("_at") - 1) / folds))
+    nth = F.row_number().over(Window.partitionBy("_seed", "_round").orderBy(F.desc("_rows"), "_u", "_b")) - 1
+    ranked = ranked.withColumn("_nth", nth).withColumn("_fold", F.when(F.col("_round") % 2 == 0, F.col("_nth")).otherwise(folds - 1 - F.col("_nth")).cast("int"))
+    return ranked.groupBy(F.col("_b").alias(block)).agg(*[F.max(F.when(F.col("_seed") == seed, F.col("_fold"))).alias(f"fold_{seed}") for seed in seeds])
+
+
+def repeated_folds(df: DataFrame, block: str, stratum: str, folds: int, seeds: list[int]) -> DataFrame:
+    """``fold_<seed>`` for each seed: whole blocks in one fold, drawn anew for each seed."""
+    found = block_folds(df, block, stratum, folds, seeds).withColumnRenamed(block, "_block")
+    return df.join(found, F.col(block).eqNullSafe(F.col("_block")), "left").drop("_block")
+
+
+def grouped_folds(df: DataFrame, block: str, stratum: str, folds: int, seed: int) -> DataFrame:
+    """``fold``: whole blocks in one fold, with rows and strata balanced."""
+    return repeated_folds(df, block, stratum, folds, [seed]).withColumnRenamed(f"fold_{seed}", "fold")
 
 
 def repeated(df: DataFrame, seeds: list[int]) -> DataFrame:

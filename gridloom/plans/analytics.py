@@ -102,19 +102,39 @@ def x14_w4_spatial_blocks(spark, d):
     return x.spatial_blocks(tables.samples(spark, d), "sample_id").select("sample_id", "lat_bin", "lon_bin", "spatial_block")
 
 
+def repeated_folds(spark, d, seeds):
+    """(sample_id, spatial_block, fold_<seed>, ...): only what blocks and strata need is moved."""
+    narrow = tables.samples(spark, d).select("sample_id", "region", "latitude", "longitude", "dw_label_name")
+    blocks = x.spatial_blocks(narrow, "sample_id").select("sample_id", "spatial_block", "dw_label_name")
+    return x.repeated_folds(blocks, "spatial_block", "dw_label_name", 4, seeds).drop("dw_label_name")
+
+
 def folded(spark, d, seed=42):
-    blocks = x.spatial_blocks(tables.samples(spark, d), "sample_id")
-    return x.grouped_folds(blocks, "spatial_block", "dw_label_name", 4, seed)
+    """Samples with their block and fold."""
+    return repeated_folds(spark, d, [seed]).withColumnRenamed(f"fold_{seed}", "fold").join(tables.samples(spark, d), "sample_id")
+
+
+#: Folds of three seeds in SQL, by ``operators.sampling.block_folds``.
+FOLD_STEPS = BLOCKS | {
+    "placed": "SELECT sample_id, dw_label_name, region || '__' || lat_bin || '_' || lon_bin AS spatial_block FROM blocks",
+    "counted": "SELECT spatial_block, dw_label_name, count(*) AS c FROM placed GROUP BY ALL",
+    "mains": "SELECT spatial_block, sum(c) AS n, first(dw_label_name ORDER BY c DESC, dw_label_name NULLS FIRST) AS main FROM counted GROUP BY spatial_block",
+    "drawn": "SELECT *, CAST(('0x' || substr(md5(concat_ws('|', spatial_block, seed)), 1, 8)) AS BIGINT) AS u FROM mains, (SELECT unnest([42, 52, 62]) AS seed)",
+    "rounds": "SELECT *, (row_number() OVER (PARTITION BY seed ORDER BY main NULLS FIRST, u, spatial_block) - 1) // 4 AS round FROM drawn",
+    "turns": "SELECT *, row_number() OVER (PARTITION BY seed, round ORDER BY n DESC, u, spatial_block) - 1 AS nth FROM rounds",
+    "folds": "SELECT sample_id, seed, spatial_block, CAST(CASE WHEN round % 2 = 0 THEN nth ELSE 3 - nth END AS INTEGER) AS fold FROM placed JOIN turns USING (spatial_block)",
+}
 
 
-@query()
+@query(over("samples", "SELECT sample_id, spatial_block, fold FROM folds WHERE seed = 42", **FOLD_STEPS))
 def x15_grouped_folds(spark, d):
-    return folded(spark, d).select("sample_id", "spatial_block", "fold")
+    return repeated_folds(spark, d, [42]).select("sample_id", "spatial_block", F.col("fold_42").alias("fold"))
 
 
-@query(over("samples", "SELECT sample_id, seed FROM samples, (SELECT unnest([42, 52, 62]) AS seed)"))
+@query(over("samples", "SELECT sample_id, seed, fold FROM folds", **FOLD_STEPS))
 def x16_repeated_seeds(spark, d):
-    return x.repeated(tables.samples(spark, d).select("sample_id"), [42, 52, 62])
+    each = repeated_folds(spark, d, [42, 52, 62])
+    return each.select("sample_id", F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"fold_{s}").alias("fold")) for s in (42, 52, 62)])).alias("x")).select("sample_id", "x.*")
 
 
 # ---- joins ----

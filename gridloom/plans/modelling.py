@@ -10,10 +10,12 @@ from gridloom.operators import metrics as m
 from gridloom.operators import models as o
 from gridloom.operators import projections as p
 from gridloom.operators import sampling as x
+from gridloom.operators import studies
 from gridloom.operators.ranking import best_per_group
-from gridloom.plans.analytics import FEATURES, folded
+from gridloom.plans import solver
+from gridloom.plans.analytics import FEATURES, FOLD_STEPS, folded, repeated_folds
 from gridloom.plans.imagery import BANDS, filled_pixels
-from gridloom.plans.registry import VIEWS, over, query, rounded
+from gridloom.plans.registry import VIEWS, draw, over, query, rounded
 from gridloom.sources import sinks, tables
 from gridloom.sources.scratch import scratch_path
 from gridloom.streaming.running import run_available
@@ -103,25 +105,61 @@ def m11_permutation_importance(spark, d):
     return o.permutation_importance(test, model, lambda df: p.feature_vector(df, FEW), ["A00", "A04"], "sample_id", "S1_VV", "hat", repeats=2)
 
 
-@query()
-def m12_m14_repeated_grouped_cv(spark, d):
-    parts = [p.spread_embedding(folded(spark, d, seed)).withColumn("seed", F.lit(seed)) for seed in (42, 52, 62)]
-    data = parts[0]
-    for part in parts[1:]:
-        data = data.unionByName(part)
-    return o.cross_validated(data, "fold", FEW, "S1_VV", ["seed"])
+CONTEXT = [*FEATURES, *tables.LABELS, *[f"region_{r}" for r in tables.REGIONS]]
+SETS = {"embedding_only": FEATURES, "embedding_plus_context": CONTEXT}
+SEEDS = [42, 52, 62]
+FRACTIONS, FRACTION_SEEDS = [0.1, 0.2, 0.4, 0.6, 0.8, 1.0], [13, 23, 33]
+PERCENTS = [0.0, 0.001, 0.0025, 0.005, 0.01, 0.02, 0.05, 0.075, 0.1, 0.2, 1.0]
 
 
-@query()
+def study_rows(spark, d):
+    """Samples with all features of both sets and the targets as columns."""
+    return p.one_hot(p.spread_embedding(tables.samples(spark, d)), "region", list(tables.REGIONS))
+
+
+_TARGETS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(tables.TARGETS, 1))
+_FLAGS = ", ".join(f"CAST(region = '{r}' AS DOUBLE)" for r in tables.REGIONS)
+STUDY_STEPS = {
+    "vec": f"SELECT sample_id AS id, [1.0::DOUBLE] || list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [{', '.join(tables.LABELS)}, {_FLAGS}] || [{', '.join(tables.TARGETS)}] AS v FROM samples",
+    "targets": f"SELECT * FROM (VALUES {_TARGETS}) x(t, target)",
+}
+STUDY_SETS = {k: len(v) for k, v in SETS.items()}
+recursive = lambda sql: "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+CV_SQL = recursive(over(
+    "samples",
+    f"""SELECT s AS feature_set, target, seed, fold, count(*) AS n_valid, {solver.selected("r2", "rmse", "mae", "bias", "pearson_r")} FROM (
+  SELECT s, target, seed, fold, v[78 + t] AS a, {solver.PREDICTION} AS q FROM folds JOIN vec ON id = sample_id JOIN weights ON c = seed * 10 + fold JOIN targets USING (t)) GROUP BY ALL""",
+    **FOLD_STEPS, **STUDY_STEPS, member="SELECT seed * 10 + x.fold AS c, sample_id AS id FROM folds f, (SELECT unnest(range(0, 4)) AS fold) x WHERE f.fold <> x.fold", **solver.ridge_steps(STUDY_SETS, len(CONTEXT)),
+))
+
+
+@query(CV_SQL)
+def m12_m14_repeated_grouped_cv(spark, d):
+    data = repeated_folds(spark, d, SEEDS).join(study_rows(spark, d), "sample_id")
+    return rounded(studies.repeated_cv(data, {s: f"fold_{s}" for s in SEEDS}, SETS, list(tables.TARGETS)))
+
+
+CURVE_SQL = recursive(over(
+    "samples",
+    f"""SELECT * FROM (
+  SELECT s AS feature_set, target, fraction, seed, count(*) AS n_train, {solver.selected("r2", "rmse", prefix="train_")} FROM (
+    SELECT s, target, fraction, seed, v[78 + t] AS a, {solver.PREDICTION} AS q FROM cases JOIN member USING (c) JOIN vec USING (id) JOIN weights USING (c) JOIN targets USING (t)) GROUP BY ALL)
+JOIN (SELECT s AS feature_set, target, fraction, seed, {solver.selected("r2", "rmse", prefix="valid_")} FROM (
+    SELECT s, target, fraction, seed, v[78 + t] AS a, {solver.PREDICTION} AS q FROM cases JOIN weights USING (c) JOIN targets USING (t), split JOIN vec ON id = sample_id WHERE held) GROUP BY ALL) USING (feature_set, target, fraction, seed)""",
+    **STUDY_STEPS,
+    split=f"SELECT *, row_number() OVER (PARTITION BY region, dw_label ORDER BY {draw('sample_id', seed=42)}, sample_id) <= round_even(count(*) OVER (PARTITION BY region, dw_label) * CAST(0.3 AS DOUBLE), 0) AS held FROM samples",
+    seeds="SELECT unnest([13, 23, 33]) AS seed", fractions=f"SELECT CAST(unnest({FRACTIONS}) AS DOUBLE) AS fraction",
+    cases="SELECT seed, fraction, seed * 100 + CAST(fraction * 10 AS INTEGER) AS c FROM seeds, fractions",
+    pool="SELECT sample_id, seed, count(*) OVER (PARTITION BY region, dw_label, seed) AS n, row_number() OVER (PARTITION BY region, dw_label, seed ORDER BY CAST(('0x' || substr(md5(concat_ws('|', sample_id, seed)), 1, 8)) AS BIGINT), sample_id) AS r FROM split, seeds WHERE NOT held",
+    member="SELECT c, sample_id AS id FROM pool JOIN cases USING (seed) WHERE r <= CASE WHEN fraction >= 1 THEN n ELSE greatest(1, round_even(n * fraction, 0)) END",
+    **solver.ridge_steps(STUDY_SETS, len(CONTEXT)),
+))
+
+
+@query(CURVE_SQL)
 def m13_learning_curve(spark, d):
-    data = split_samples(spark, d, FEW).drop("features")
-    train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
-    parts = [x.stratified_fraction(train, ["region"], "sample_id", f, seed).withColumns({"fraction": F.lit(f), "seed": F.lit(seed)}) for f in (0.1, 0.4, 0.8, 1.0) for seed in (13, 23)]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    fits = o.ridge_fits(every, ["fraction", "seed"], FEW, "S1_VV")
-    return o.ridge_predict(test.crossJoin(F.broadcast(fits)), FEW, "hat").groupBy("fraction", "seed").agg(*regression_metrics(F.col("S1_VV"), F.col("hat")))
+    return rounded(studies.learning_curve(study_rows(spark, d), "sample_id", ["region", "dw_label"], SETS, list(tables.TARGETS), FRACTIONS, FRACTION_SEEDS))
 
 
 @query()
@@ -138,20 +176,26 @@ def m15_best_refit_by_group(spark, d):
     return m.metrics_by_sets(runs.join(F.broadcast(best), ["target", "model"]), [["region"], ["dw_label_name"]])
 
 
-@query()
+SWEEP_SQL = recursive(over(
+    "pixels",
+    f"""SELECT percent, CAST(rows AS BIGINT) AS train_rows, target AS band, {solver.selected("r2", "rmse", "mae", "bias", "pearson_r")} FROM (
+  SELECT percent, rows, target, v[65 + t] AS a, {solver.PREDICTION} AS q FROM sizes JOIN weights ON c = rows JOIN targets USING (t), ranked JOIN vec USING (id) WHERE r <= held AND rows > 0
+  UNION ALL SELECT percent, rows, target, x.v[65 + t], y.v[65 + t] FROM sizes, picked JOIN vec x ON x.id = picked.id JOIN ranked z ON z.r = picked.partner JOIN vec y ON y.id = z.id, targets WHERE rows = 0) GROUP BY ALL""",
+    valid="SELECT pixel_id AS id, S1_VV, S1_VH, S1_VV_div_VH, embedding FROM pixels JOIN embeddings ON vec_id = pixel_id % (SELECT count(*) FROM embeddings) WHERE S1_VV IS NOT NULL",
+    vec="SELECT id, [1.0::DOUBLE] || list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [S1_VV, S1_VH, S1_VV_div_VH] AS v FROM valid",
+    targets=STUDY_STEPS["targets"], total="SELECT count(*) AS n, CAST(round_even(count(*) * CAST(0.2 AS DOUBLE), 0) AS BIGINT) AS held FROM valid",
+    ranked=f"SELECT id, n, held, row_number() OVER (ORDER BY {draw('id', seed=42)}, id) AS r FROM valid, total",
+    sizes=f"SELECT percent, least(round_even(percent / 100 * n, 0), n - held) AS rows FROM (SELECT CAST(unnest({PERCENTS}) AS DOUBLE) AS percent), total",
+    member="SELECT DISTINCT rows AS c, id FROM ranked, sizes WHERE r > held AND r <= held + rows",
+    picked=f"SELECT id, held + 1 + CAST(floor({draw('id', seed=43)} * (n - held)) AS BIGINT) AS partner FROM ranked WHERE r <= held",
+    **solver.ridge_steps({"all": 64}, 64),
+))
+
+
+@query(SWEEP_SQL)
 def m16_sample_sweep(spark, d):
-    px = tables.pixels(spark, d).filter("S1_VV is not null").select("pixel_id", "S1_VV", "S1_VH", (F.col("S1_VH") * F.col("S1_VH")).alias("sq"))
-    split = x.validation_and_pool(px, "pixel_id", 0.2, 42).cache()
-    n = split.count()
-    pool, held = split.filter("part = 'pool'"), split.filter("part = 'validation'")
-    out = x.random_baseline(split, "pixel_id", "S1_VV", 42).agg(*regression_metrics(F.col("S1_VV"), F.col("predicted"))).select(F.lit(0.0).alias("percent"), F.lit(0).alias("train_rows"), "r2", "rmse", "mae")
-    size = pool.count()
-    for percent in (0.5, 2.0, 10.0):
-        rows = x.sweep_rows(percent, n, size)
-        fit = o.ridge_fits(x.draw_exactly(pool, "pixel_id", rows, 42).withColumn("all", F.lit(1)), ["all"], ["S1_VH", "sq"], "S1_VV")
-        run = o.ridge_predict(held.crossJoin(F.broadcast(fit)), ["S1_VH", "sq"], "hat").agg(*regression_metrics(F.col("S1_VV"), F.col("hat")))
-        out = out.unionByName(run.select(F.lit(percent).alias("percent"), F.lit(rows).alias("train_rows"), "r2", "rmse", "mae"))
-    return out
+    px = tables.pixels(spark, d, with_embedding=True).filter("S1_VV is not null")
+    return rounded(studies.sample_sweep(p.spread_embedding(px).drop("embedding"), "pixel_id", FEATURES, list(tables.TARGETS), PERCENTS))
 
 
 @query()
