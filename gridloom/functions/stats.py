@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def hash01(*keys: Column | str, seed: int) -> Column:
@@ -69,36 +67,48 @@ def standardised(x: Column, mean: Column, std_pop: Column) -> Column:
     return (x - mean) / F.when(std_pop > 0, std_pop).otherwise(1.0)
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1 / (d or tiny)
-    h = d
-    for m in range(1, 300):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + top * d, 1 + top / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h
-
-
-def correlation_p_value(r: float | None, n: int) -> float | None:
-    """Two-sided p-value of a correlation under the t distribution with n - 2 degrees of freedom."""
-    if r is None or n is None or math.isnan(r) or n < 3:
-        return None
-    if abs(r) >= 1:
-        return 0.0
-    a, b, x = (n - 2) / 2, 0.5, 1 - r * r
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if x < 1 else 0.0
-    if x >= 1:
-        return 1.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-@F.pandas_udf(T.DoubleType())
-def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
-    """The same over columns; meant for small result tables."""
-    return pd.Series([correlation_p_value(None if pd.isna(x) else float(x), int(k)) for x, k in zip(r, n, strict=True)], dtype="float64")
+#: Lanczos's coefficients of the gamma function for g = 7.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x >= 1/2."""
+    series = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:]):
+        series = series + F.lit(c) / (x + i)
+    t = x + 6.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (x - 0.5) * F.ln(t) - t + F.ln(series)
+
+
+def beta_fraction(a: Column, b: Column, x: Column, steps: int = 400) -> Column:
+    """The continued fraction of the incomplete beta function by Lentz's method, folded over ``steps`` pairs of terms.
+
+    It has converged where x < (a + 1) / (a + b + 2); later terms then change nothing.
+    """
+    away = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    d0 = 1 / away(1 - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+
+    def term(s: Column, top: Column) -> Column:
+        return F.transform(F.array(s), lambda s: F.struct(away(1 + top / s["c"]).alias("c"), (1 / away(1 + top * s["d"])).alias("d"), s["h"].alias("h")))[0]
+
+    def turn(s: Column) -> Column:
+        return F.transform(F.array(s), lambda s: F.struct(s["c"].alias("c"), s["d"].alias("d"), (s["h"] * s["c"] * s["d"]).alias("h")))[0]
+
+    def step(s: Column, m: Column) -> Column:
+        s = turn(term(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))))
+        return turn(term(s, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))))
+
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda m: m.cast("double")), start, step, lambda s: s["h"])
+
+
+def p_value(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation under the t distribution with n - 2 degrees of freedom; NULL under three rows."""
+    a, half, square = (n.cast("double") - 2) / 2, F.lit(0.5), r * r
+    # Beyond a = 100 the difference of two large logarithms would lose digits that its series keeps.
+    ratio = F.when(a < 100, log_gamma(a + 0.5) - log_gamma(a)).otherwise(0.5 * F.ln(a) - 1 / (8 * a) + 1 / (192 * a * a * a) - 1 / (640 * F.pow(a, 5)))
+    front = F.exp(ratio - 0.5 * math.log(math.pi) + a * F.log1p(-square) + 0.5 * F.ln(square))
+    swapped = 1 - square >= (a + 1) / (a + 2.5)
+    one, two, x = F.when(swapped, half).otherwise(a), F.when(swapped, a).otherwise(half), F.when(swapped, square).otherwise(1 - square)
+    tail = front * beta_fraction(one, two, x) / one
+    return F.when(r.isNull() | F.isnan(r) | (n < 3), None).when(F.abs(r) >= 1, 0.0).when(r == 0, 1.0).when(swapped, 1 - tail).otherwise(tail)

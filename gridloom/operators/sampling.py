@@ -174,10 +174,12 @@ def pair_draw(df: DataFrame, key: str, m: int, seed: int, group: list[str] = ())
     step = 1000
     chunks = sizes.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(step).cast("long")))).repartition(*group, "_s")
     drawn = chunks.withColumn("_j", F.explode(F.sequence(F.col("_s"), F.least(F.col("_s") + step - 1, last))))
-    drawn = drawn.withColumn("_l", F.col("_j") % F.col("_a")).withColumn("_r", F.expr("_j div _a"))
-    for turn in range(PAIR_TURNS):
-        to, by, of = ("_l", "_r", "_a") if turn % 2 == 0 else ("_r", "_l", "_b")
-        drawn = drawn.withColumn(to, (F.col(to) + F.floor(hash01(by, F.lit(turn), seed=seed) * F.col(of)).cast("long")) % F.col(of))
+    turned = lambda to, by, turn, of: (to + F.floor(hash01(by, turn, seed=seed) * of).cast("long")) % of
+    even = lambda turn: turn % 2 == 0
+    start = F.struct((F.col("_j") % F.col("_a")).alias("l"), F.expr("_j div _a").alias("r"))
+    turn = lambda s, t: F.struct(F.when(even(t), turned(s["l"], s["r"], t, F.col("_a"))).otherwise(s["l"]).alias("l"), F.when(even(t), s["r"]).otherwise(turned(s["r"], s["l"], t, F.col("_b"))).alias("r"))
+    # A fold, as six nested columns would make the expression grow with every turn.
+    drawn = drawn.withColumn("_p", F.aggregate(F.sequence(F.lit(0), F.lit(PAIR_TURNS - 1)), start, turn)).withColumns({"_l": F.col("_p")["l"], "_r": F.col("_p")["r"]})
     one = F.when(odd, F.col("_l")).when(F.col("_l") == 0, n - 1).otherwise((F.col("_r") + F.col("_l")) % (n - 1))
     two = F.when(odd, (F.col("_l") + F.col("_r") + 1) % n).when(F.col("_l") == 0, F.col("_r")).otherwise((F.col("_r") - F.col("_l") + n - 1) % (n - 1))
     pairs = drawn.select(*group, one.alias("_x"), two.alias("_y")).select(*group, F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
@@ -237,8 +239,3 @@ def repeated_folds(df: DataFrame, block: str, stratum: str, folds: int, seeds: l
 def grouped_folds(df: DataFrame, block: str, stratum: str, folds: int, seed: int) -> DataFrame:
     """``fold``: whole blocks in one fold, with rows and strata balanced."""
     return repeated_folds(df, block, stratum, folds, [seed]).withColumnRenamed(f"fold_{seed}", "fold")
-
-
-def repeated(df: DataFrame, seeds: list[int]) -> DataFrame:
-    """One copy of the rows for each seed, in column ``seed``."""
-    return df.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.stats import hash01, safe_r
-from gridloom.functions.vectors import unit
+from gridloom.functions.stats import hash01, p_value, safe_r
+from gridloom.functions.vectors import cosine_distance, unit
 from gridloom.operators.sampling import ranks_within
 from gridloom.sources.scratch import durable
 
@@ -132,25 +132,41 @@ def neighbour_overlap(a: DataFrame, b: DataFrame, ks: list[int]) -> DataFrame:
     return queries.join(common, ["query", "k"], "left").select("query", "k", (F.coalesce("n", F.lit(0)) / F.col("k")).alias("overlap"))
 
 
-def pairs_within(df: DataFrame, key: str, group: list[str]) -> DataFrame:
-    """All unordered pairs inside each group, columns suffixed _a and _b; meant for groups of a bounded size."""
-    rest = [c for c in df.columns if c not in group]
-    a, b = df.withColumnsRenamed({c: f"{c}_a" for c in rest}), df.withColumnsRenamed({c: f"{c}_b" for c in rest})
-    return a.join(b, group).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
+def pair_differences(df: DataFrame, key: str, value: str, group: list[str]) -> DataFrame:
+    """(group, n_pairs, total): the sum of |x - y| over all unordered pairs of a group, without making the pairs.
 
+    The value of rank i of n is the larger one in i - 1 pairs and the smaller one in n - i.
+    """
+    ranked = ranks_within(df.filter(F.col(value).isNotNull()).select(*group, key, value), group, [value, key], "_i", "_n")
+    share = (2 * F.col("_i") - F.col("_n") - 1) * F.col(value)
+    return ranked.groupBy(*group).agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("n_pairs"), F.sum(share).alias("total"))
+
+
+def average_ranks(df: DataFrame, value: str, name: str, group: list[str] = (), keys: list[str] = ()) -> DataFrame:
+    """Ranks with ties at their mean. Rows are ranked in range partitions, ``keys`` spreading ties, and each value takes the mean of its ranks."""
+    group = list(group)
+    ranked = durable(ranks_within(df, group, [value, *keys], "_rank"))
+    means = ranked.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col(value).alias("_value")).agg(F.avg("_rank").alias(name))
+    same = F.col(value).eqNullSafe(F.col("_value"))
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return ranked.join(means, same).drop("_rank", "_value", *[f"_g{i}" for i in range(len(group))])
 
-def average_ranks(df: DataFrame, value: str, name: str, group: list[str] = ()) -> DataFrame:
-    """Ranks with ties at their mean. Values are counted first, so that windows run over distinct values."""
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn(name, before + (F.col("_c") + 1) / 2).drop("_c")
-    return df.join(ranks, [*group, value])
 
+def distance_correlation(pairs: DataFrame, x: str, y: str, group: list[str] = (), keys: list[str] = ()) -> DataFrame:
+    """n_pairs, and Pearson and Spearman correlation of two distances with their p-values."""
+    ranked = average_ranks(average_ranks(pairs, x, "_rx", group, keys), y, "_ry", group, keys)
+    found = ranked.groupBy(*group).agg(F.count("*").alias("n_pairs"), safe_r(F.col(x), F.col(y)).alias("pearson_r"), safe_r(F.col("_rx"), F.col("_ry")).alias("spearman_rho"))
+    return found.withColumn("pearson_p", p_value(F.col("pearson_r"), F.col("n_pairs"))).withColumn("spearman_p", p_value(F.col("spearman_rho"), F.col("n_pairs")))
 
-def distance_correlation(pairs: DataFrame, x: str, y: str, group: list[str] = ()) -> DataFrame:
-    """n_pairs, Pearson and Spearman correlation of two distances."""
-    ranked = average_ranks(average_ranks(pairs, x, "_rx", group), y, "_ry", group)
-    return ranked.groupBy(*group).agg(F.count("*").alias("n_pairs"), safe_r(F.col(x), F.col(y)).alias("pearson_r"), safe_r(F.col("_rx"), F.col("_ry")).alias("spearman_rho"))
+
+def pair_distances(df: DataFrame, pairs: DataFrame, key: str, vector: str, values: list[str]) -> DataFrame:
+    """(group, a, b, cosine, euclidean) of pairs of keys: cosine distance of vectors, and Euclidean distance of values."""
+    one = df.select(F.col(key).alias("a"), F.col(vector).alias("_va"), F.array(*values).alias("_xa"))
+    two = df.select(F.col(key).alias("b"), F.col(vector).alias("_vb"), F.array(*values).alias("_xb"))
+    met = pairs.join(one, "a").join(two, "b")
+    square = F.aggregate(F.zip_with("_xa", "_xb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    return met.withColumn("cosine", F.round(cosine_distance(F.col("_va"), F.col("_vb")), 9)).withColumn("euclidean", F.round(F.sqrt(square), 9)).drop("_va", "_vb", "_xa", "_xb")
 
 
 def mean_pairwise_cosine(df: DataFrame, group: list[str], vector: str = "embedding") -> DataFrame:
@@ -173,13 +189,6 @@ def duplicate_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.groupBy(vector).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 
-def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of all column pairs a before b, from one pass of sums."""
-    aggs = [safe_r(F.col(a), F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), g.alias("r")) for g, (a, b) in zip(aggs, [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]], strict=True)]).alias("c"))
-    return one.select(F.explode("c").alias("c")).select("c.*")
-
-
 def feature_target_correlation(df: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
     """(feature, target, n, pearson_r, abs_r): values are spread to rows and summed by pair."""
     f = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in features])).alias("f")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions.stats import p_value
+from gridloom.functions.stats import p_value, standardised
 from gridloom.operators import metrics as m
 from gridloom.operators import projections as p
 from gridloom.operators import ranking as w
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
-from gridloom.plans.registry import METRIC_COLUMNS, METRICS, draw, e, over, query, rounded
+from gridloom.operators.gramian import correlation_pairs
+from gridloom.plans.registry import METRIC_COLUMNS, METRICS, draw, e, over, p_value_sql, pair_steps, query, rounded
 from gridloom.sources import tables
 
 # ---- sampling ----
@@ -86,9 +87,9 @@ def x11_capped_blocks(spark, d):
     return x.capped(tables.table(spark, d, "orders"), ["o_orderstatus"], "o_orderkey", 800, 3).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(over("samples", "SELECT a, b FROM pairs", **pair_steps("samples", "sample_id", 20_000, 42)))
 def x12_pair_sample(spark, d):
-    return x.pair_sample(tables.samples(spark, d).select("sample_id"), "sample_id", 20_000, 42)
+    return x.pair_draw(tables.samples(spark, d).select("sample_id"), "sample_id", 20_000, 42)
 
 
 BLOCKS = {
@@ -164,9 +165,9 @@ def a15_feature_target_correlation(spark, d):
     return rounded(correlations(spark, d))
 
 
-@query()
+@query(over("samples", f"SELECT feature, target, n, round(pearson_r, 6) AS pearson_r, round(abs_r, 6) AS abs_r, round({p_value_sql('pearson_r', 'n')}, 6) AS p_value FROM (SELECT *, abs(pearson_r) AS abs_r FROM corr)", **CORR))
 def a15_p_values(spark, d):
-    return correlations(spark, d).withColumn("p_value", p_value("pearson_r", "n"))
+    return rounded(correlations(spark, d).withColumn("p_value", p_value(F.col("pearson_r"), F.col("n"))))
 
 
 RANKED = CORR | {
@@ -316,8 +317,7 @@ def j11_nearest_other_embedding(spark, d):
 
 @query(over("samples", "SELECT a.region, count(*) AS n_pairs, round(sum(abs(a.S1_VV - b.S1_VV)), 4) AS total FROM samples a JOIN samples b ON a.region = b.region AND a.sample_id < b.sample_id GROUP BY a.region"))
 def j12_pairs_within_groups(spark, d):
-    pairs = s.pairs_within(tables.samples(spark, d).select("region", "sample_id", "S1_VV"), "sample_id", ["region"])
-    return pairs.groupBy("region").agg(F.count("*").alias("n_pairs"), F.round(F.sum(F.abs(F.col("S1_VV_a") - F.col("S1_VV_b"))), 4).alias("total"))
+    return rounded(s.pair_differences(tables.samples(spark, d), "sample_id", "S1_VV", ["region"]), 4)
 
 
 OVERLAP = COSINE | Z | {}
@@ -413,18 +413,55 @@ def a13_dataset_audit(spark, d):
     return rounded(m.audit(blocks, key_columns=["region", "dw_label", "lat_bin"], region="region", label="dw_label", block="spatial_block", features=FEATURES, targets=list(tables.TARGETS), flat=1e-2))
 
 
-@query(over("samples", "SELECT a, b, round(corr(u, v), 6) AS r FROM (SELECT x.i AS a, y.i AS b, x.v AS u, y.v AS v FROM l x JOIN l y ON x.sample_id = y.sample_id AND x.i < y.i) GROUP BY a, b", l="SELECT sample_id, 'A' || lpad(CAST(i AS VARCHAR), 2, '0') AS i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM samples, LATERAL (SELECT unnest(range(0, 16)) AS i)"))
+PAIRS = {"l": "SELECT sample_id, 'A' || lpad(CAST(i AS VARCHAR), 2, '0') AS i, CAST(embedding[i + 1] AS DOUBLE) AS v FROM samples, LATERAL (SELECT unnest(range(0, 64)) AS i)", "cor": "SELECT x.i AS a, y.i AS b, corr(x.v, y.v) AS r FROM l x JOIN l y ON x.sample_id = y.sample_id AND x.i < y.i GROUP BY a, b"}
+
+
+@query(over("samples", "SELECT a, b, round(r, 6) AS r FROM cor", **PAIRS))
 def a14_embedding_correlation(spark, d):
-    return rounded(s.correlation_pairs(p.spread_embedding(tables.samples(spark, d), 16), FEATURES[:16]))
+    return rounded(correlation_pairs(p.spread_embedding(tables.samples(spark, d)), FEATURES))
+
+
+@query(over("samples", "SELECT l AS above, count(r) FILTER (WHERE abs(r) > l) AS n_pairs FROM cor, (SELECT CAST(unnest([0.05, 0.1, 0.5, 0.95]) AS DOUBLE) AS l) GROUP BY l", **PAIRS))
+def a14_strong_pairs(spark, d):
+    """How many pairs of dimensions have a correlation beyond a limit, 0.95 in the audit."""
+    found = correlation_pairs(p.spread_embedding(tables.samples(spark, d)), FEATURES)
+    limits = F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.5, 0.95)))).alias("above")
+    return found.select("r", limits).groupBy("above").agg(F.count_if(F.abs("r") > F.col("above")).alias("n_pairs"))
+
+
+_UNITS = ", ".join(f"({t} - (SELECT avg({t}) FROM samples)) / (SELECT stddev_pop({t}) FROM samples) AS z{i}" for i, t in enumerate(tables.TARGETS))
+_COSINE = "1 - list_inner_product(x.v, y.v) / (sqrt(list_inner_product(x.v, x.v)) * sqrt(list_inner_product(y.v, y.v)))"
+DISTANCES = {
+    "placed": f"SELECT sample_id, region, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v, {_UNITS} FROM samples",
+    "met": f"SELECT g, round({_COSINE}, 9) AS u, round(sqrt((x.z0 - y.z0) ** 2 + (x.z1 - y.z1) ** 2 + (x.z2 - y.z2) ** 2), 9) AS w FROM pairs JOIN placed x ON x.sample_id = a JOIN placed y ON y.sample_id = b",
+    "ranked": "SELECT *, rank() OVER (PARTITION BY g ORDER BY u) + (count(*) OVER (PARTITION BY g, u) - 1) / 2 AS ru, rank() OVER (PARTITION BY g ORDER BY w) + (count(*) OVER (PARTITION BY g, w) - 1) / 2 AS rw FROM met",
+    "found": "SELECT g, count(*) AS n_pairs, corr(u, w) AS pearson_r, corr(ru, rw) AS spearman_rho FROM ranked GROUP BY g",
+}
+
+
+def standard_samples(spark, d):
+    """Samples with the three targets standardised over all rows."""
+    rows = tables.samples(spark, d).select("sample_id", "region", "embedding", *tables.TARGETS)
+    sums = rows.agg(*[f(t).alias(f"_{k}{i}") for i, t in enumerate(tables.TARGETS) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return rows.crossJoin(F.broadcast(sums)).select("sample_id", "region", "embedding", *[standardised(F.col(t), F.col(f"_m{i}"), F.col(f"_s{i}")).alias(t) for i, t in enumerate(tables.TARGETS)])
+
+
+def distance_study(spark, d, group):
+    """Correlation of embedding and radar distances over up to 200,000 drawn pairs of each group."""
+    rows = standard_samples(spark, d)
+    pairs = x.pair_draw(rows.select(*group, "sample_id"), "sample_id", 200_000, 42, group)
+    met = s.pair_distances(rows, pairs, "sample_id", "embedding", list(tables.TARGETS))
+    return rounded(s.distance_correlation(met, "cosine", "euclidean", group, ["a", "b"]))
+
+
+@query(over("samples", "SELECT n_pairs, round(pearson_r, 6) AS pearson_r, round(spearman_rho, 6) AS spearman_rho FROM found", **pair_steps("samples", "sample_id", 200_000, 42), **DISTANCES))
+def a16_overall_distance_correlation(spark, d):
+    return distance_study(spark, d, []).drop("pearson_p", "spearman_p")
 
 
-@query(over("samples", "SELECT region, count(*) AS n_pairs, round(corr(u, v), 6) AS pearson_r, round(corr(ru, rv), 6) AS spearman_rho FROM ranked GROUP BY region",
-            pairs="SELECT a.region, abs(a.S1_VV - b.S1_VV) AS u, abs(a.S1_VH - b.S1_VH) AS v FROM samples a JOIN samples b ON a.region = b.region AND a.sample_id < b.sample_id",
-            ranked="SELECT *, rank() OVER (PARTITION BY region ORDER BY u) + (count(*) OVER (PARTITION BY region, u) - 1) / 2 AS ru, rank() OVER (PARTITION BY region ORDER BY v) + (count(*) OVER (PARTITION BY region, v) - 1) / 2 AS rv FROM pairs"))
+@query(over("samples", f"SELECT g AS region, n_pairs, round(pearson_r, 6) AS pearson_r, round(spearman_rho, 6) AS spearman_rho, round({p_value_sql('pearson_r', 'n_pairs')}, 6) AS pearson_p, round({p_value_sql('spearman_rho', 'n_pairs')}, 6) AS spearman_p FROM found", **pair_steps("samples", "sample_id", 200_000, 42, "region"), **DISTANCES))
 def a16_w5_distance_correlation(spark, d):
-    pairs = s.pairs_within(tables.samples(spark, d).select("region", "sample_id", "S1_VV", "S1_VH"), "sample_id", ["region"])
-    pairs = pairs.select("region", F.abs(F.col("S1_VV_a") - F.col("S1_VV_b")).alias("u"), F.abs(F.col("S1_VH_a") - F.col("S1_VH_b")).alias("v"))
-    return rounded(s.distance_correlation(pairs, "u", "v", ["region"]))
+    return distance_study(spark, d, ["region"])
 
 
 @query(over("samples", "SELECT region, n, round((1 - avg_d), 6) AS mean_cosine FROM (SELECT region, avg(distance) AS avg_d FROM dist JOIN samples a ON query = a.sample_id JOIN (SELECT sample_id, region AS r2 FROM samples) b ON neighbour = b.sample_id AND region = r2 GROUP BY region) JOIN (SELECT region, count(*) AS n FROM samples GROUP BY region) USING (region)", **COSINE))

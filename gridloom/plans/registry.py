@@ -69,6 +69,30 @@ def draw(*keys: str, seed: int) -> str:
     return f"(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(keys)}, '{seed}')), 1, 8)) AS BIGINT)::DOUBLE / 4294967296)"
 
 
+def pair_steps(source: str, key: str, m: int, seed: int, group: str = "'all'", turns: int = 6) -> dict[str, str]:
+    """``operators.sampling.pair_draw`` in SQL: the step ``pairs`` (g, a, b)."""
+    steps = {
+        "numbered": f"SELECT {group} AS g, {key} AS k, row_number() OVER (PARTITION BY {group} ORDER BY {key}) - 1 AS at, count(*) OVER (PARTITION BY {group}) AS n FROM {source}",
+        "tournament": "SELECT g, n, CASE WHEN n % 2 = 1 THEN n ELSE n // 2 END AS x, CASE WHEN n % 2 = 1 THEN (n - 1) // 2 ELSE n - 1 END AS y FROM (SELECT DISTINCT g, n FROM numbered WHERE n > 1)",
+        "turn0": f"SELECT *, j % x AS l, j // x AS r FROM (SELECT *, unnest(range(0, least({m}, x * y))) AS j FROM tournament)",
+    }
+    for t in range(turns):
+        to, by, of = ("l", "r", "x") if t % 2 == 0 else ("r", "l", "y")
+        steps[f"turn{t + 1}"] = f"SELECT * REPLACE (({to} + CAST(floor({draw(by, str(t), seed=seed)} * {of}) AS BIGINT)) % {of} AS {to}) FROM turn{t}"
+    one = "CASE WHEN n % 2 = 1 THEN l WHEN l = 0 THEN n - 1 ELSE (r + l) % (n - 1) END"
+    two = "CASE WHEN n % 2 = 1 THEN (l + r + 1) % n WHEN l = 0 THEN r ELSE (r - l + n - 1) % (n - 1) END"
+    steps["drawn"] = f"SELECT g, least({one}, {two}) AS x, greatest({one}, {two}) AS y FROM turn{turns}"
+    steps["pairs"] = "SELECT d.g, p.k AS a, q.k AS b FROM drawn d JOIN numbered p ON p.g = d.g AND p.at = d.x JOIN numbered q ON q.g = d.g AND q.at = d.y"
+    return steps
+
+
+def p_value_sql(r: str, n: str) -> str:
+    """The two-sided p-value of a correlation as the finite sum that it is for whole degrees of freedom."""
+    even = f"1 - abs({r}) * list_sum(list_transform(range(0, ({n} - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * pow(1 - {r} * {r}, k)))"
+    odd = f"1 - 2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * coalesce(list_sum(list_transform(range(0, ({n} - 3) // 2), lambda k: exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - {r} * {r}, k))), 0))"
+    return f"CASE WHEN {r} IS NULL OR {n} < 3 THEN NULL WHEN abs({r}) >= 1 THEN 0 WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
 #: Aggregates of ``functions.stats.regression_metrics`` in SQL.
 METRICS = """count(predicted - actual) AS n, 1 - sum((predicted - actual) * (predicted - actual)) / nullif(var_pop(actual) * count(predicted - actual), 0) AS r2,
   sqrt(avg((predicted - actual) * (predicted - actual))) AS rmse, avg(abs(predicted - actual)) AS mae, avg(predicted - actual) AS bias, covar_pop(predicted, actual) / nullif(sqrt(var_pop(actual) * var_pop(predicted)), 0) AS pearson_r"""
