@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import corrected_kurtosis, corrected_skewness, regression_metrics
+from gridloom.operators.quantiles import exact_quantiles, in_sets, with_quantiles
 
 
 def long_bands(df: DataFrame, bands: dict[str, tuple[str, str]], keep: list[str] = ()) -> DataFrame:
@@ -29,26 +30,20 @@ def metrics_by_sets(df: DataFrame, sets: list[list[str]], actual: str = "actual"
     return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(name.alias("grouping"), *regression_metrics(F.col(actual), F.col(predicted)))
 
 
-def residual_aggregates(residual: Column) -> list[Column]:
-    size = F.abs(residual)
-    return [
-        F.count(residual).alias("n"), F.avg(size).alias("mae"), F.sqrt(F.avg(residual * residual)).alias("rmse"), F.avg(residual).alias("bias"),
-        F.median(size).alias("median_abs"), F.percentile(size, 0.9).alias("p90_abs"), F.max(size).alias("max_abs"),
-    ]
-
-
 def residual_summary(df: DataFrame, sets: list[list[str]], residual: str = "residual") -> DataFrame:
-    """n, mae, rmse, bias, and median, 90th percentile and greatest absolute residual, for several grouping keys in one pass."""
+    """n, mae, rmse, bias, and median, 90th percentile and greatest absolute residual, for several grouping keys in one pass and one selection."""
     keys = list(dict.fromkeys(k for s in sets for k in s))
-    return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.grouping_id().alias("grouping"), *residual_aggregates(F.col(residual)))
+    r = F.col(residual)
+    sums = df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(
+        F.grouping_id().alias("grouping"), F.count(r).alias("n"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(r).alias("bias"), F.max(F.abs(r)).alias("max_abs")
+    )
+    return with_quantiles(sums, in_sets(df, sets, F.abs(r)), ["grouping", *keys], "_value", {"median_abs": 0.5, "p90_abs": 0.9})
 
 
 def residual_distribution(df: DataFrame, *keys: str, residual: str = "residual") -> DataFrame:
     r = F.col(residual)
-    return df.groupBy(*keys).agg(
-        F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), corrected_skewness(r).alias("skew"), corrected_kurtosis(r).alias("kurtosis"),
-        F.percentile(F.abs(r), 0.9).alias("p90_abs"), F.percentile(F.abs(r), 0.95).alias("p95_abs"), F.max(F.abs(r)).alias("max_abs"),
-    )
+    sums = df.groupBy(*keys).agg(F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), corrected_skewness(r).alias("skew"), corrected_kurtosis(r).alias("kurtosis"), F.max(F.abs(r)).alias("max_abs"))
+    return with_quantiles(sums, df.withColumn("_size", F.abs(r)), list(keys), "_size", {"p90_abs": 0.9, "p95_abs": 0.95})
 
 
 def mean_and_std(df: DataFrame, keys: list[str], columns: list[str], population: bool = True, fill: float | None = None) -> DataFrame:
@@ -67,9 +62,8 @@ def coverage(df: DataFrame, region: str = "region", label: str = "dw_label_name"
 def overlap_summary(df: DataFrame, sets: list[list[str]], value: str = "overlap") -> DataFrame:
     keys = list(dict.fromkeys(k for s in sets for k in s))
     v = F.col(value)
-    return df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(
-        F.grouping_id().alias("grouping"), F.count(v).alias("n"), F.avg(v).alias("mean_overlap"), F.median(v).alias("median_overlap"), F.percentile(v, 0.1).alias("p10"), F.percentile(v, 0.9).alias("p90")
-    )
+    sums = df.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.grouping_id().alias("grouping"), F.count(v).alias("n"), F.avg(v).alias("mean_overlap"))
+    return with_quantiles(sums, in_sets(df, sets, v), ["grouping", *keys], "_value", {"median_overlap": 0.5, "p10": 0.1, "p90": 0.9})
 
 
 def audit(df: DataFrame, *, key_columns: list[str], region: str, label: str, block: str, features: list[str], targets: list[str], flat: float = 1e-4) -> DataFrame:
@@ -104,12 +98,13 @@ def family_shares(importance: DataFrame, families: list[str]) -> DataFrame:
 
 def residual_by_region(df: DataFrame, region: str = "region", residual: str = "residual") -> DataFrame:
     r = F.col(residual)
-    return df.groupBy(region).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.median(r).alias("median"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"))
+    sums = df.groupBy(region).agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"))
+    return with_quantiles(sums, df, [region], residual, {"median": 0.5})
 
 
 def failure_by_value(df: DataFrame, value: str = "actual", residual: str = "residual", bins: int = 5) -> DataFrame:
     """Errors by quantile bin of the true value: right-closed bins, the lowest edge included, equal edges merged."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("_edges"))
+    edges = exact_quantiles(df, [], value, [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("_edges"))
     at = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(1))
     r = F.col(residual)
     out = df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).withColumn("_at", at)
@@ -123,7 +118,7 @@ def pixel_rmse(df: DataFrame, pairs: list[tuple[str, str]], name: str = "rmse")
 
 
 def display_limit(df: DataFrame, value: str, p: float = 0.98) -> DataFrame:
-    return df.agg(F.percentile(value, p).alias("limit"))
+    return exact_quantiles(df, [], value, [p]).select(F.col("q")[0].alias("limit"))
 
 
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -137,7 +132,7 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 def stretch_limits(long: DataFrame, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Per band the limits over truth and prediction together."""
     both = long.select("band", F.explode(F.array("actual", "predicted")).alias("v"))
-    return both.groupBy("band").agg(F.percentile("v", F.array(F.lit(low), F.lit(high))).alias("p")).select("band", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return exact_quantiles(both, ["band"], "v", [low, high]).select("band", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def stretched(long: DataFrame, limits: DataFrame) -> DataFrame:
@@ -159,8 +154,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, and whiskers at the extreme values inside 1.5 interquartile ranges."""
-    q = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_quantiles(df, [group], value, [0.25, 0.5, 0.75]).select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return df.join(q, group).groupBy(group, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.functions.stats import hash01, regression_metrics
+from gridloom.operators.quantiles import exact_quantiles
 from gridloom.operators.sampling import consecutive_ids
 
 #: The boosted trees of the study, as far as level-wise trees have the same knobs.
@@ -190,7 +191,9 @@ def rgb_projection(df: DataFrame, vector: str = "features", low: float = 0.02, h
 
     projected = PCA(k=3, inputCol=vector, outputCol="_pc").fit(df).transform(df).withColumn("_pc", vector_to_array("_pc"))
     projected = projected.withColumns({f"_{i}": F.col("_pc")[i] for i in range(3)})
-    limits = projected.agg(*[F.percentile(f"_{i}", F.array(F.lit(low), F.lit(high))).alias(f"_l{i}") for i in range(3)])
+    long = projected.select(F.posexplode(F.array(*[f"_{i}" for i in range(3)])).alias("i", "v"))
+    found = exact_quantiles(long, ["i"], "v", [low, high])
+    limits = found.agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"_l{i}") for i in range(3)])
     out = projected.crossJoin(F.broadcast(limits))
     scaled = {f"c{i + 1}": F.least(F.greatest((F.col(f"_{i}") - F.col(f"_l{i}")[0]) / F.when(F.col(f"_l{i}")[1] > F.col(f"_l{i}")[0], F.col(f"_l{i}")[1] - F.col(f"_l{i}")[0]).otherwise(1.0), F.lit(0.0)), F.lit(1.0)) for i in range(3)}
     return out.withColumns(scaled).drop("_pc", *[f"_{i}" for i in range(3)], *[f"_l{i}" for i in range(3)])

@@ -477,7 +477,7 @@ def a18_effective_size(spark, d):
 @query(over("", "SELECT round(avg(1 - distance), 6) AS mean_cosine, round(quantile_cont(1 - distance, 0.95), 6) AS p95_cosine FROM knn WHERE r = 1", **COSINE))
 def a19_nearest_cosine(spark, d):
     near = embedding_knn(spark, d, 1, 0).withColumn("c", 1 - F.col("distance"))
-    return rounded(near.agg(F.avg("c").alias("mean_cosine"), F.percentile("c", 0.95).alias("p95_cosine")))
+    return rounded(m.with_quantiles(near.agg(F.avg("c").alias("mean_cosine")), near, [], "c", {"p95_cosine": 0.95}))
 
 
 @query("SELECT count(*) - count(DISTINCT embedding) AS duplicates FROM (SELECT embedding FROM embeddings UNION ALL SELECT embedding FROM embeddings WHERE vec_id % 10 = 0)")
