@@ -9,8 +9,8 @@ are compared row by row, so results are exact whatever the tree looks like.
 
 A search has two rounds. In the first every anchor visits the one leaf nearest to its annulus; the k-th score
 found there is the new lower end of its window. In the second it visits all leaves that the tree cannot rule out.
-Visits are packed, rows of a leaf are dealt to blocks, both of bounded size, and a pack meets the
-blocks of its leaf by an equality join; each meeting is one matrix product that keeps k rows of a window.
+Anchors near each other are packed, rows of a leaf are dealt to blocks, both of bounded size, and a pack meets the
+blocks of a leaf that it visits by an equality join; each meeting is one matrix product that keeps k rows of a window.
 
 The tree is fitted on at most ``sample`` rows, and every row is indexed. What the driver holds is the tree and its
 ranges: at most ``sample`` split points, with a fan-out of 16.
@@ -61,7 +61,7 @@ class Tree:
         self.width, self.nodes, self.leaves = width, [], 0
 
     @classmethod
-    def fit(cls, sample: np.ndarray, rows: int, leaf_rows: int = BLOCK // 2) -> Tree:
+    def fit(cls, sample: np.ndarray, rows: int, leaf_rows: int = BLOCK) -> Tree:
         """A tree whose leaves hold about ``leaf_rows`` of ``rows`` rows, as far as the sample has points to split by."""
         tree = cls(sample.shape[1])
         tree._grow(sample.astype(np.float64), rows / max(1, len(sample)), leaf_rows)
@@ -123,39 +123,50 @@ class Tree:
             else:
                 node.low[i, j], node.high[i, j] = lo, hi
 
-    def visits(self, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[int, list[int]]:
-        """The leaf nearest to the first window's annulus, and all leaves that may hold a row whose score with ``q`` is in some window.
+    def visits(self, q: np.ndarray, of: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The leaf nearest to the annulus of each row's first window; and (row, leaf) of all leaves that may hold a row whose score is in some window.
 
-        ``low`` and ``high`` are the windows' ends, infinite where open. Comparisons leave room for rounding.
+        Window w belongs to row ``of[w]`` of ``q``, in order of rows; ``low`` and ``high`` are its ends, infinite
+        where open. Comparisons leave room for rounding.
         """
+        first = np.zeros(len(q), np.int32)
         if not self.nodes:
-            return 0, [0]
-        size, leaves, todo, first = float(q @ q), [], [0], 0
-        down: int | None = 0
+            return first, np.arange(len(q)), first
+        sizes, head = (q * q).sum(1), np.searchsorted(of, np.arange(len(q)))
+        rows, leaves = [], []
+        todo = [(0, np.arange(len(q)), np.arange(len(q)))]
         while todo:
-            at = todo.pop()
+            at, own, down = todo.pop()
             node = self.nodes[at]
-            c = np.sqrt(node.squares(q[None])[0])
+            every = np.union1d(own, down)
+            c = np.sqrt(node.squares(q[every]))
             full = np.isfinite(node.norm_low)
-            with np.errstate(invalid="ignore"):
-                inner = np.sqrt(np.maximum(size + np.where(full, node.norm_low, 0) - 2 * high[:, None], 0))
-                outer = size + np.where(full, node.norm_high, 0) - 2 * low[:, None]
-            near = np.maximum(np.maximum(c[:, None] - node.high, node.low - c[:, None]).max(0), 0)
-            far = (c[:, None] + node.high).min(0)
-            room = 1e-6 * (1 + np.sqrt(size) + c.max())
-            with np.errstate(invalid="ignore"):
-                may = full & (outer >= -room * room) & (near <= np.sqrt(np.maximum(outer, 0)) + room) & (far >= inner - room)
-            if down == at:
-                best = int(np.argmin(np.where(full, np.abs(c - inner[0]), np.inf)))
-                down = node.child[best] if node.child[best] >= 0 else None
-                first = first if down is not None else -1 - node.child[best]
-                may[:, best] = True
-            for j in np.flatnonzero(may.any(0)):
-                if node.child[j] >= 0:
-                    todo.append(node.child[j])
+            norm_low, norm_high = np.where(full, node.norm_low, 0), np.where(full, node.norm_high, 0)
+            nearest = np.sqrt(np.maximum(sizes[down, None] + norm_low - 2 * high[head[down], None], 0))
+            best = np.where(full, np.abs(c[np.searchsorted(every, down)] - nearest), np.inf).argmin(1)
+            near, far = np.zeros(c.shape), np.full(c.shape, np.inf)
+            for i in range(len(node.points)):
+                near = np.maximum(near, np.maximum(c[:, i, None] - node.high[i], node.low[i] - c[:, i, None]))
+                far = np.minimum(far, c[:, i, None] + node.high[i])
+            room = 1e-6 * (1 + np.sqrt(sizes[every]) + c.max(1))
+            w = np.flatnonzero(np.isin(of, own))
+            k = np.searchsorted(every, of[w])
+            inner = np.sqrt(np.maximum(sizes[of[w], None] + norm_low - 2 * high[w, None], 0))
+            outer = sizes[of[w], None] + norm_high - 2 * low[w, None]
+            slack = room[k, None]
+            good = full & (outer >= -slack * slack) & (near[k] <= np.sqrt(np.maximum(outer, 0)) + slack) & (far[k] >= inner - slack)
+            may = np.zeros(c.shape, bool)
+            np.logical_or.at(may, k, good)
+            for j, child in enumerate(node.child):
+                on, to = every[may[:, j]], down[best == j]
+                if child >= 0:
+                    if len(on) or len(to):
+                        todo.append((child, on, to))
                 else:
-                    leaves.append(-1 - node.child[j])
-        return first, leaves
+                    rows.append(on)
+                    leaves.append(np.full(len(on), -1 - child, np.int32))
+                    first[to] = -1 - child
+        return first, np.concatenate(rows), np.concatenate(leaves)
 
 
 def spread_points(x: np.ndarray, want: int) -> np.ndarray:
@@ -220,32 +231,38 @@ def build_index(rows: DataFrame, sample: int = 20_000) -> Index:
 
 
 WINDOWS = "array<struct<window:int,same:boolean,low:long,high:long>>"
+_VISITORS = f"array<struct<anchor:long,id:long,label:long,v:array<long>,windows:{WINDOWS}>>"
 
 
 def _plan(index: Index, anchors: DataFrame, first: bool) -> DataFrame:
-    """A row of ``anchors`` for each leaf that it visits: the first one, or all others that the tree cannot rule out."""
+    """(leaf, visitors): packs of the anchors (anchor, id, label, v, windows) that visit a leaf, the first one or all others that the tree cannot rule out.
+
+    Anchors that follow one another in a task are packed together.
+    """
     held = anchors.sparkSession.sparkContext.broadcast(index.tree)
-    at = anchors.columns.index("v")
-    names = [*anchors.columns, "leaf"]
 
     def run(batches):
         tree = held.value
-        for b in batches:
-            vectors = matrix(b.column(at), tree.width).astype(np.float64)
-            rows, leaves = [], []
-            for i, windows in enumerate(b.column(names.index("windows")).to_pylist()):
-                low = np.array([-np.inf if w["low"] is None else w["low"] for w in windows])
-                high = np.array([np.inf if w["high"] is None else w["high"] for w in windows])
-                if (open_ := low <= high).any():
-                    one, every = tree.visits(vectors[i], low[open_], high[open_])
-                    chosen = [one] if first else [x for x in every if x != one]
-                    rows += [i] * len(chosen)
-                    leaves += chosen
-            yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(leaves, pa.int32())], names=names)
-
-    kinds = {"anchor": "long", "id": "long", "label": "long", "v": "array<long>", "windows": WINDOWS}
-    # Larger slices of anchors would plan too many visits at once.
-    return anchors.mapInArrow(lambda batches: run(b.slice(s, 200) for b in batches for s in range(0, b.num_rows, 200)), ", ".join(f"{c} {kinds[c]}" for c in anchors.columns) + ", leaf int")
+        for b in (b.slice(s, PACK) for b in batches for s in range(0, b.num_rows, PACK)):
+            windows = b.column(4)
+            flat, sizes = windows.flatten(), np.asarray(windows.value_lengths())
+            low = np.asarray(flat.field("low").cast(pa.float64()).fill_null(-np.inf))
+            high = np.asarray(flat.field("high").cast(pa.float64()).fill_null(np.inf))
+            of, open_ = np.repeat(np.arange(len(b)), sizes), low <= high
+            some = np.unique(of[open_])
+            one, rows, leaves = tree.visits(matrix(b.column(3), tree.width)[some].astype(np.float64), np.searchsorted(some, of[open_]), low[open_], high[open_])
+            if first:
+                rows, leaves = np.arange(len(some)), one
+            else:
+                other = leaves != one[rows]
+                rows, leaves = rows[other], leaves[other]
+            order = np.argsort(leaves, kind="stable")
+            rows, leaves = some[rows[order]], leaves[order]
+            begin = np.flatnonzero(np.append(True, leaves[1:] != leaves[:-1])) if len(leaves) else np.zeros(0, int)
+            packs = pa.StructArray.from_arrays(b.take(pa.array(rows, pa.int64())).columns, names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(leaves[begin], pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(begin, len(rows)), pa.int32()), packs)], names=["leaf", "visitors"])
+
+    return anchors.select("anchor", "id", "label", "v", "windows").mapInArrow(run, f"leaf int, visitors {_VISITORS}")
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -283,8 +300,6 @@ def _best(own: np.ndarray, anchors: dict, other: np.ndarray, ids: np.ndarray, la
 def _meet(index: Index, visits: DataFrame, k: int) -> DataFrame:
     """(anchor, window, found, score): up to k rows for each window and block."""
     width = index.tree.width
-    counts = visits.groupBy("leaf").agg(F.ceil(F.count("*") / PACK).alias("packs"))
-    packed = visits.join(counts, "leaf").groupBy("leaf", F.pmod(F.xxhash64("anchor"), F.col("packs")).alias("pack")).agg(F.collect_list(F.struct("anchor", "id", "label", "v", "windows")).alias("visitors"))
 
     def run(batches):
         for b in (b.slice(s, 1) for b in batches for s in range(b.num_rows)):
@@ -299,7 +314,8 @@ def _meet(index: Index, visits: DataFrame, k: int) -> DataFrame:
             key = np.asarray(visitors.field("anchor"))[row[at]]
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.asarray(flat.field("window"))[at], pa.int32()), pa.array(found, pa.int64()), pa.array(score, pa.int64())], names=["anchor", "window", "found", "score"])
 
-    met = packed.join(index.blocks, "leaf").select("visitors", "ids", "labels", "vectors")
+    # Both sides are large beside what their compressed size says: neither is broadcast.
+    met = visits.join(index.blocks.hint("merge"), "leaf").select("visitors", "ids", "labels", "vectors")
     return met.mapInArrow(run, "anchor long, window int, found long, score long")
 
 
@@ -321,7 +337,7 @@ def window_search(index: Index, anchors: DataFrame, k: int) -> DataFrame:
         at = F.try_element_at(F.coalesce("reached", F.create_map().cast("map<int,long>")), w["window"])
         return F.struct(w["window"].alias("window"), w["same"].alias("same"), F.greatest(w["low"], at).alias("low"), w["high"].alias("high"))
 
-    wide = anchors.join(reached, "anchor", "left").withColumn("windows", F.transform("windows", raised)).drop("reached")
+    wide = anchors.join(reached, "anchor", "left").withColumn("windows", F.transform("windows", raised)).drop("reached").sort("leaf", "anchor")
     two = _meet(index, _plan(index, wide, False), k)
     return _top(one.drop("rank").unionByName(two), k)
 
@@ -336,7 +352,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, *, positives: int = 5, ne
     full = rows.filter("id is not null and label is not null and v is not null").filter(F.forall("v", lambda x: x.isNotNull()))
     used = full.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform("v", whole).alias("v"))
     index = build_index(used.dropDuplicates(["id", "label", "v"]), sample)
-    anchors = durable(index.rows.filter(is_anchor).select(F.monotonically_increasing_id().alias("anchor"), "id", "label", "v"))
+    anchors = durable(index.rows.filter(is_anchor).select(F.monotonically_increasing_id().alias("anchor"), "id", "label", "v", "leaf").sort("leaf", "id"))
     nothing = F.lit(None).cast("long")
     own = anchors.withColumn("windows", F.array(F.struct(F.lit(0).alias("window"), F.lit(True).alias("same"), nothing.alias("low"), nothing.alias("high"))))
     best = durable(window_search(index, own, positives).select("anchor", F.col("rank").alias("window"), F.col("found").alias("positive_id"), F.col("score").alias("positive_score")))

@@ -132,23 +132,28 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch):
     assert got == plain_negatives(held) and len(got) > 100
 
 
-def test_the_tree_rules_leaves_out(spark):
+def test_the_tree_rules_leaves_out(spark, monkeypatch):
     r = np.random.default_rng(4)
     x = np.concatenate([c + r.integers(-10, 10, (300, 16)) for c in r.integers(-200, 200, (20, 16))]).astype(np.int64)
     rows = spark.createDataFrame([(i, i % 5, v.tolist()) for i, v in enumerate(x)], "id long, label long, v array<long>")
+    monkeypatch.setattr(negatives.Tree.fit.__func__, "__defaults__", (256,))
     index = negatives.build_index(rows)
     assert index.tree.leaves > 8 and index.rows.count() == len(x) and index.rows.select("leaf").distinct().count() <= index.tree.leaves
     leaf = {v.id: v.leaf for v in index.rows.select("id", "leaf").collect()}
-    visited = []
-    for q in x[::97]:
-        score = x @ q
-        top = int(np.sort(score)[-20])
-        first, found = index.tree.visits(q.astype(float), np.array([float(top)]), np.array([np.inf]))
-        assert {leaf[i] for i in np.flatnonzero(score >= top)} <= {first, *found}
-        inside = np.flatnonzero((score >= top * 0.5) & (score <= top * 0.6))
-        assert {leaf[i] for i in inside} <= set(index.tree.visits(q.astype(float), np.array([top * 0.5]), np.array([top * 0.6]))[1])
-        visited.append(len(found))
-    assert np.mean(visited) < 0.3 * index.tree.leaves
+    q = x[::97].astype(float)
+    score = q @ x.T
+    top = np.sort(score, 1)[:, -20]
+    # Two windows for each row: its best rows, and a band further out.
+    of = np.repeat(np.arange(len(q)), 2)
+    low, high = np.stack([top, top * 0.5], 1).ravel(), np.stack([np.full(len(q), np.inf), top * 0.6], 1).ravel()
+    first, rows, leaves = index.tree.visits(q, of, low, high)
+    for i, s in enumerate(score):
+        inside = np.flatnonzero((s >= top[i]) | ((s >= top[i] * 0.5) & (s <= top[i] * 0.6)))
+        assert {leaf[k] for k in inside} <= set(leaves[rows == i])
+        assert first[i] in set(leaf.values())
+    best = index.tree.visits(q, np.arange(len(q)), top, np.full(len(q), np.inf))
+    assert len(best[1]) < 0.3 * index.tree.leaves * len(q) and len(set(zip(rows.tolist(), leaves.tolist(), strict=True))) == len(rows)
+    assert np.mean(first == [leaf[97 * i] for i in range(len(q))]) > 0.9 or len(q) == 0
 
 
 def plain_ranks(docs, items, k=10):
