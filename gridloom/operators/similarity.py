@@ -1,16 +1,7 @@
-"""Neighbours, overlaps, distances and spatial autocorrelation.
-
-Exact neighbours come from a blocked product: query vectors in blocks against blocks of
-candidates, each block pair one matrix product that keeps its k best, and a merge by
-rank. Only k edges per query and block leave a task; a distance matrix is never whole.
-"""
+"""Overlaps, distances and spatial autocorrelation."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,46 +11,6 @@ from gridloom.operators.sampling import ranks_within
 from gridloom.sources.scratch import durable
 
 
-def _blocks(df: DataFrame, key: str, vector: str, block: int) -> DataFrame:
-    """(block, ids, flat): vectors of a block behind one another."""
-    n = max(1, -(-df.count() // block))
-    dealt = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter("v is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("r")).select("block", F.transform("r", lambda x: x["id"]).alias("ids"), F.flatten(F.transform("r", lambda x: x["v"])).alias("flat")).repartition(min(n, 200))
-
-
-def knn(df: DataFrame, key: str, vector: str, k: int, *, metric: str = "cosine", skip_first: int = 0, block: int = 2000, queries: DataFrame | None = None) -> DataFrame:
-    """(query, neighbour, distance, rank): the k nearest other rows of each query, ties by id.
-
-    ``skip_first=1`` drops the nearest and keeps ranks 2 to k + 1, as published overlaps
-    did. Blocks meet in a stated block-by-block product of bounded blocks.
-    """
-    want = k + skip_first
-    data = df.withColumn("_v", unit(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double")))
-    right = _blocks(data, key, "_v", block)
-    left = right if queries is None else _blocks(queries.withColumn("_v", unit(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double"))), key, "_v", block)
-    # Each side is dealt by whole blocks, a move linear in the rows; the product of the two streams block pairs and shuffles none.
-    pairs = left.select("ids", "flat").crossJoin(right.select(F.col("ids").alias("ids2"), F.col("flat").alias("flat2")))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                a, b = np.asarray(r.flat).reshape(len(r.ids), -1), np.asarray(r.flat2).reshape(len(r.ids2), -1)
-                ids2 = np.asarray(r.ids2)
-                distance = 1 - a @ b.T if metric == "cosine" else np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-                distance = np.round(distance, 12)
-                out = []
-                for i, own in enumerate(r.ids):
-                    d = np.where(ids2 == own, np.inf, distance[i])
-                    best = np.lexsort((ids2, d))[:want]
-                    best = best[np.isfinite(d[best])]
-                    out.append(pd.DataFrame({"query": own, "neighbour": ids2[best], "distance": d[best]}))
-                yield pd.concat(out) if out else pd.DataFrame({"query": [], "neighbour": [], "distance": []}).astype({"query": "int64", "neighbour": "int64"})
-
-    found = pairs.mapInPandas(run, "query long, neighbour long, distance double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour")))
-    return ranked.filter((F.col("rank") <= want) & (F.col("rank") > skip_first)).withColumn("rank", (F.col("rank") - skip_first).cast("int"))
-
-
 def spatial_knn(points: DataFrame, group: list[str], key: str, k: int = 8, x: str = "x_km", y: str = "y_km", cell: int = 512) -> DataFrame:
     """(group, i, j, distance, rank): the k nearest other points of the same group on a plane.
 
@@ -93,10 +44,15 @@ def inverse_distance_weights(edges: DataFrame, group: list[str], floor: float =
     return edges.withColumn("w", inverse / F.sum(inverse).over(Window.partitionBy(*group, "i"))).select(*group, "i", "j", "w")
 
 
+def centred(points: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
+    """(group, i, z): the value minus its group's mean."""
+    means = points.groupBy(*group).agg(F.avg(value).alias("_mean"))
+    return points.select(*group, F.col(key).alias("i"), F.col(value).alias("_v")).join(means, group).select(*group, "i", (F.col("_v") - F.col("_mean")).alias("z"))
+
+
 def morans_i(points: DataFrame, weights: DataFrame, group: list[str], key: str, value: str) -> DataFrame:
     """Per group n and Moran's I over an edge table of weights; NULL under four points or without variance."""
-    w = Window.partitionBy(*group)
-    z = points.select(*group, F.col(key).alias("i"), (F.col(value) - F.avg(value).over(w)).alias("z"))
+    z = centred(points, group, key, value)
     totals = z.groupBy(*group).agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("zz"))
     lag = weights.join(z, [*group, "i"]).join(z.withColumnsRenamed({"i": "j", "z": "z2"}), [*group, "j"])
     sums = lag.groupBy(*group).agg(F.sum(F.col("w") * F.col("z") * F.col("z2")).alias("zwz"), F.sum("w").alias("ww"))
@@ -104,21 +60,29 @@ def morans_i(points: DataFrame, weights: DataFrame, group: list[str], key: str,
     return out.select(*group, "n", F.when((F.col("n") >= 4) & (F.col("zz") > 0), F.try_divide(F.col("n") * F.col("zwz"), F.col("ww") * F.col("zz"))).alias("morans_i"))
 
 
-def morans_p(points: DataFrame, weights: DataFrame, group: list[str], key: str, value: str, permutations: int = 499, seed: int = 42) -> DataFrame:
-    """Moran's I and its two-sided permutation p-value.
+def permuted(rows: DataFrame, group: list[str], key: str, value: str, permutations: int, seed: int) -> DataFrame:
+    """(group, key, ``value``): an array with the value that each row gets in each permutation of its group.
 
-    A permutation gives every point the value of the point of equal rank in the order of
-    a draw that depends on the permutation: two ranks per group and an equality join.
+    A permutation gives every row the value of the row of equal rank in the order of a draw that depends on
+    the permutation. Ranks are taken in range partitions, so a group of any size is spread.
     """
+    narrow = rows.select(*group, key, value)
+    own = ranks_within(narrow.select(*group, key), group, [key], "_rank")
+    each = narrow.withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_u", hash01(key, "_perm", seed=seed))
+    drawn = ranks_within(each.withColumnRenamed(key, "_from"), [*group, "_perm"], ["_u", "_from"], "_rank").select(*group, "_perm", "_rank", value)
+    dealt = own.join(drawn, [*group, "_rank"]).groupBy(*group, key).agg(F.array_sort(F.collect_list(F.struct("_perm", value))).alias("_all"))
+    return dealt.select(*group, key, F.transform("_all", lambda x: x[value]).alias(value))
+
+
+def morans_p(points: DataFrame, weights: DataFrame, group: list[str], key: str, value: str, permutations: int = 499, seed: int = 42) -> DataFrame:
+    """Moran's I and its two-sided permutation p-value. Each point carries its values under all permutations, so the edges are joined once."""
     observed = morans_i(points, weights, group, key, value)
-    w = Window.partitionBy(*group)
-    z = points.select(*group, F.col(key).alias("i"), (F.col(value) - F.avg(value).over(w)).alias("z"), F.row_number().over(w.orderBy(key)).alias("rank"))
-    each = z.select(*group, "i", "z", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    shuffled = each.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "perm").orderBy(hash01("i", "perm", seed=seed), "i"))).select(*group, "perm", "rank", "z")
-    dealt = shuffled.join(z.select(*group, "i", "rank"), [*group, "rank"]).select(*group, "perm", "i", "z")
-    lag = weights.join(dealt, [*group, "i"]).join(dealt.withColumnsRenamed({"i": "j", "z": "z2"}), [*group, "perm", "j"])
-    scores = lag.groupBy(*group, "perm").agg(F.sum(F.col("w") * F.col("z") * F.col("z2")).alias("zwz"), F.sum("w").alias("ww"))
-    totals = z.groupBy(*group).agg(F.count("*").alias("n_all"), F.sum(F.col("z") * F.col("z")).alias("zz"))
+    z = centred(points, group, key, value)
+    arrays = durable(permuted(z, group, "i", "z", permutations, seed))
+    lag = weights.join(arrays, [*group, "i"]).join(arrays.withColumnsRenamed({"i": "j", "z": "z2"}), [*group, "j"])
+    products = lag.select(*group, F.posexplode(F.zip_with("z", "z2", lambda a, b: a * b * F.col("w"))).alias("perm", "v"))
+    scores = products.groupBy(*group, "perm").agg(F.sum("v").alias("zwz"))
+    totals = z.groupBy(*group).agg(F.count("*").alias("n_all"), F.sum(F.col("z") * F.col("z")).alias("zz")).join(weights.groupBy(*group).agg(F.sum("w").alias("ww")), group)
     scores = scores.join(totals, group).withColumn("score", F.try_divide(F.col("n_all") * F.col("zwz"), F.col("ww") * F.col("zz")))
     hits = scores.join(observed, group).groupBy(*group).agg(F.count_if(F.abs("score") >= F.abs("morans_i")).alias("hits"))
     return observed.join(hits, group, "left").withColumn("p_value", F.when(F.col("morans_i").isNotNull(), (F.coalesce("hits", F.lit(0)) + 1) / (permutations + 1))).drop("hits")

@@ -11,6 +11,7 @@ from gridloom.operators import ranking as w
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
 from gridloom.operators.gramian import correlation_pairs
+from gridloom.operators.neighbours import knn
 from gridloom.plans.registry import METRIC_COLUMNS, METRICS, draw, e, over, p_value_sql, pair_steps, query, rounded
 from gridloom.sources import tables
 
@@ -242,13 +243,18 @@ def _dot(a: str, b: str) -> str:
 
 COSINE = {
     "v": f"SELECT id, v, sqrt({_dot('v', 'v')}) AS len FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
-    "dist": f"SELECT a.id AS query, b.id AS neighbour, 1 - {_dot('a.v', 'b.v')} / (a.len * b.len) AS distance FROM v a, v b WHERE a.id <> b.id",
+    "dist": f"SELECT a.id AS query, b.id AS neighbour, 1 - {_dot('a.v', 'b.v')} / (a.len * b.len) AS distance FROM v a, v b WHERE a.id <> b.id AND a.id % 50 = 0",
     "knn": "SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), neighbour) AS r FROM dist",
 }
 
 
+#: The stated query set of the searches, against all rows.
+ASKED = "sample_id % 50 = 0"
+
+
 def embedding_knn(spark, d, k, skip=1):
-    return s.knn(tables.samples(spark, d), "sample_id", "embedding", k, skip_first=skip)
+    rows = tables.samples(spark, d).select("sample_id", "embedding")
+    return knn(rows, "sample_id", "embedding", k, skip_first=skip, queries=rows.filter(ASKED))
 
 
 @query(over("", "SELECT query, neighbour, round(distance, 6) AS distance, CAST(r - 1 AS INTEGER) AS rank FROM knn WHERE r BETWEEN 2 AND 11", **COSINE))
@@ -259,14 +265,15 @@ def j8_w9_cosine_knn(spark, d):
 Z = {
     "stats": "SELECT " + ", ".join(f"avg({t}) AS m{i}, stddev_pop({t}) AS s{i}" for i, t in enumerate(tables.TARGETS)) + " FROM samples",
     "z": "SELECT sample_id AS id, " + ", ".join(f"({t} - m{i}) / s{i} AS z{i}" for i, t in enumerate(tables.TARGETS)) + " FROM samples, stats",
-    "sdist": "SELECT a.id AS query, b.id AS neighbour, sqrt(pow(a.z0 - b.z0, 2) + pow(a.z1 - b.z1, 2) + pow(a.z2 - b.z2, 2)) AS distance FROM z a, z b WHERE a.id <> b.id",
+    "sdist": "SELECT a.id AS query, b.id AS neighbour, sqrt(pow(a.z0 - b.z0, 2) + pow(a.z1 - b.z1, 2) + pow(a.z2 - b.z2, 2)) AS distance FROM z a, z b WHERE a.id <> b.id AND a.id % 50 = 0",
     "sknn": "SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), neighbour) AS r FROM sdist",
 }
 
 
 def radar_knn(spark, d, k, skip=1):
     z = m.standardise(tables.samples(spark, d), list(tables.TARGETS))
-    return s.knn(z.withColumn("z", F.array(*[f"z_{t}" for t in tables.TARGETS])), "sample_id", "z", k, metric="euclidean", skip_first=skip)
+    z = z.select("sample_id", F.array(*[f"z_{t}" for t in tables.TARGETS]).alias("z"))
+    return knn(z, "sample_id", "z", k, metric="euclidean", skip_first=skip, queries=z.filter(ASKED))
 
 
 @query(over("samples", "SELECT query, neighbour, round(distance, 5) AS distance, CAST(r - 1 AS INTEGER) AS rank FROM sknn WHERE r BETWEEN 2 AND 6", **Z))
@@ -304,10 +311,18 @@ def a29_morans_i(spark, d):
     return rounded(s.morans_i(points, s.inverse_distance_weights(edges, ["region"]), ["region"], "sample_id", "S1_VV"))
 
 
-@query()
+MORAN_P = MORAN | {
+    "perms": f"SELECT region, perm, z, row_number() OVER (PARTITION BY region, perm ORDER BY {draw('i', 'perm', seed=42)}, i) AS r FROM zz, (SELECT unnest(range(1, 500)) AS perm)",
+    "places": "SELECT region, i, row_number() OVER (PARTITION BY region ORDER BY i) AS r FROM zz",
+    "dealt": "SELECT region, perm, i, z FROM perms JOIN places USING (region, r)",
+    "scores": "SELECT wts.region, a.perm, sum(w * a.z * b.z) AS zwz FROM wts JOIN dealt a ON wts.i = a.i JOIN dealt b ON wts.j = b.i AND a.perm = b.perm GROUP BY ALL",
+}
+
+
+@query(over("samples", "SELECT region, n, round(first(n * top.zwz / (ww * s)), 6) AS morans_i, (count(*) FILTER (WHERE abs(scores.zwz) >= abs(top.zwz)) + 1) / CAST(500 AS DOUBLE) AS p_value FROM scores JOIN top USING (region) JOIN bottom USING (region) GROUP BY region, n", **MORAN_P))
 def a29_morans_p(spark, d):
     points, edges = spatial_edges(spark, d)
-    return s.morans_p(points, s.inverse_distance_weights(edges, ["region"]), ["region"], "sample_id", "S1_VV", permutations=199)
+    return rounded(s.morans_p(points, s.inverse_distance_weights(edges, ["region"]), ["region"], "sample_id", "S1_VV"))
 
 
 @query(over("", "SELECT query, neighbour, round(distance, 6) AS distance FROM knn WHERE r = 1", **COSINE))

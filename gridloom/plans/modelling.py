@@ -11,6 +11,7 @@ from gridloom.operators import models as o
 from gridloom.operators import projections as p
 from gridloom.operators import sampling as x
 from gridloom.operators import studies
+from gridloom.operators.gramian import gram_matrices, ridge_weights
 from gridloom.operators.ranking import best_per_group
 from gridloom.plans import solver
 from gridloom.plans.analytics import FEATURES, FOLD_STEPS, folded, repeated_folds
@@ -97,14 +98,6 @@ def m10_gain_and_split_importance(spark, d):
     return o.gain_importance(data, o.boosted_trees("S1_VV", "hat", **QUICK).fit(data.filter("split = 'train'")), FEATURES)
 
 
-@query()
-def m11_permutation_importance(spark, d):
-    data = split_samples(spark, d, FEW)
-    model = o.ridge(data.filter("split = 'train'"), "S1_VV", "hat")
-    test = data.filter("split = 'test'").drop("features")
-    return o.permutation_importance(test, model, lambda df: p.feature_vector(df, FEW), ["A00", "A04"], "sample_id", "S1_VV", "hat", repeats=2)
-
-
 CONTEXT = [*FEATURES, *tables.LABELS, *[f"region_{r}" for r in tables.REGIONS]]
 SETS = {"embedding_only": FEATURES, "embedding_plus_context": CONTEXT}
 SEEDS = [42, 52, 62]
@@ -176,6 +169,31 @@ def m15_best_refit_by_group(spark, d):
     return m.metrics_by_sets(runs.join(F.broadcast(best), ["target", "model"]), [["region"], ["dw_label_name"]])
 
 
+PERMUTATION_SQL = recursive(over(
+    "samples",
+    """SELECT target, 'A' || lpad(CAST(f AS VARCHAR), 2, '0') AS feature, round(avg((sse - base) / spread), 6) AS mean_drop, round(stddev_pop((sse - base) / spread), 6) AS std_drop FROM (
+  SELECT target, f, perm, sum(pow(e + w[f + 1] * (z.v[f + 2] - x.v[f + 2]), 2)) AS sse, sum(e * e) AS base, var_pop(a) * count(*) AS spread
+  FROM errors JOIN dealt USING (id) JOIN vec x ON x.id = errors.id JOIN vec z ON z.id = dealt.partner, (SELECT unnest(range(0, 64)) AS f) GROUP BY ALL) GROUP BY target, f""",
+    **STUDY_STEPS,
+    split=f"SELECT sample_id AS id, row_number() OVER (PARTITION BY region ORDER BY {draw('sample_id', seed=42)}, sample_id) <= round_even(count(*) OVER (PARTITION BY region) * CAST(0.3 AS DOUBLE), 0) AS held FROM samples",
+    member="SELECT 0 AS c, id FROM split WHERE NOT held", test="SELECT id, row_number() OVER (ORDER BY id) AS r FROM split WHERE held",
+    perms=f"SELECT id AS partner, perm, row_number() OVER (PARTITION BY perm ORDER BY {draw('id', 'perm', seed=42)}, id) AS r FROM test, (SELECT unnest(range(1, 11)) AS perm)",
+    dealt="SELECT id, perm, partner FROM test JOIN perms USING (r)",
+    **solver.ridge_steps({"embedding_only": 64}, len(CONTEXT)),
+    errors=f"SELECT id, target, w, v[78 + t] AS a, {solver.PREDICTION} - v[78 + t] AS e FROM test JOIN vec USING (id), weights JOIN targets USING (t)",
+))
+
+
+@query(PERMUTATION_SQL)
+def m11_permutation_importance(spark, d):
+    """All 64 features, three targets, ten repeats, on held-out rows of a ridge model."""
+    data = x.nested_bins(p.spread_embedding(tables.samples(spark, d)), ["region"], "sample_id", [F.bround(F.col("_n") * F.lit(0.3))], 42, "_train")
+    columns = [*FEATURES, *tables.TARGETS]
+    (sums,) = gram_matrices(data, columns, ["_train"])
+    weights = {t: ridge_weights(sums["1"], list(range(1, 65)), 65 + i) for i, t in enumerate(tables.TARGETS)}
+    return rounded(studies.permutation_importance(data.filter("_train = 0"), "sample_id", FEATURES, list(tables.TARGETS), weights))
+
+
 SWEEP_SQL = recursive(over(
     "pixels",
     f"""SELECT percent, CAST(rows AS BIGINT) AS train_rows, target AS band, {solver.selected("r2", "rmse", "mae", "bias", "pearson_r")} FROM (
