@@ -18,9 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.stats import hash01, regression_metrics
 from gridloom.operators.quantiles import exact_quantiles
-from gridloom.operators.sampling import consecutive_ids
 
 #: The boosted trees of the study, as far as level-wise trees have the same knobs.
 TREES = {"maxIter": 700, "stepSize": 0.03, "maxDepth": 5, "subsamplingRate": 0.85, "minInstancesPerNode": 20, "featureSubsetStrategy": "0.85"}
@@ -97,24 +95,6 @@ def ridge_predict(df: DataFrame, features: list[str], name: str, coefficients: s
     return df.withColumn(name, F.aggregate(F.zip_with(x, F.col(coefficients), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
 
 
-def cross_validated(df: DataFrame, fold: str, features: list[str], target: str, keys: list[str] = (), alpha: float = 1.0) -> DataFrame:
-    """Ridge metrics on each fold, fitted on the others. The sums of all folds are taken once; a fold's training sums are the total less its own."""
-    sums = gramian(df, [*keys, fold], features, target)
-    total = sums.select(*keys, F.posexplode("sums").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("t"))
-    rest = sums.select(*keys, fold, F.posexplode("sums").alias("i", "v")).join(total, [*keys, "i"]).withColumn("d", F.col("t") - F.col("v"))
-    rest = rest.groupBy(*keys, fold).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]).alias("sums"))
-    fields = [df.schema[k] for k in [*keys, fold]] + [T.StructField("coefficients", T.ArrayType(T.DoubleType()))]
-
-    def run(frames):
-        for frame in frames:
-            frame["coefficients"] = [ridge_from_gramian(list(s), len(features), alpha).tolist() for s in frame["sums"]]
-            yield frame.drop(columns="sums")
-
-    fits = rest.mapInPandas(run, T.StructType(fields))
-    scored = ridge_predict(df.join(F.broadcast(fits), [*keys, fold]), features, "_p")
-    return scored.groupBy(*keys, fold).agg(*regression_metrics(F.col(target), F.col("_p")))
-
-
 def reconstruct(pixels: DataFrame, train_keys: DataFrame, model: PipelineModel, targets: list[str], keys: tuple[str, ...] = ("tile", "image_row", "image_col"), predict_all: bool = False) -> DataFrame:
     """Every valid pixel with ``is_train`` and, per band, ``<band>_filled``: observed at training pixels, predicted elsewhere."""
     flagged = pixels.join(train_keys.select(*keys).distinct().withColumn("is_train", F.lit(True)), list(keys), "left").withColumn("is_train", F.coalesce("is_train", F.lit(False)))
@@ -142,14 +122,6 @@ def random_search(df: DataFrame, target: str, fold: str, space: dict[str, list],
     return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_rmse double, std_rmse double").orderBy("mean_rmse", "trial")
 
 
-def linear_attribution(df: DataFrame, model, features: list[str], target: str) -> DataFrame:
-    """(feature, target, mean_abs, mean_signed): w_j * (x_j - mean x_j), summed over the rows."""
-    means = df.agg(*[F.avg(f).alias(f) for f in features])
-    held = df.select(*[F.col(f).alias(f"_x_{f}") for f in features]).crossJoin(F.broadcast(means))
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.lit(float(w)) * (F.col(f"_x_{f}") - F.col(f))).alias("c")) for f, w in zip(features, model.coefficients, strict=True)])).alias("x")
-    return held.select(cells).select("x.*").groupBy("feature").agg(F.avg(F.abs("c")).alias("mean_abs"), F.avg("c").alias("mean_signed")).withColumn("target", F.lit(target))
-
-
 def gain_importance(df: DataFrame, model, features: list[str]) -> DataFrame:
     """(feature, gain, splits): the trees' gain shares, and how often each feature splits."""
     splits = dict.fromkeys(range(len(features)), 0)
@@ -166,25 +138,6 @@ def gain_importance(df: DataFrame, model, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(f, float(gain[i]), splits[i]) for i, f in enumerate(features)], "feature string, gain double, splits int")
 
 
-def permutation_importance(df: DataFrame, model, assemble, features: list[str], key: str, target: str, prediction: str, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """(feature, mean_drop, std_drop) of R² when a feature's column is shuffled.
-
-    A shuffle gives each row the value of the row of the same rank in another order,
-    so it is an equality join on ranks; each feature and repeat is scored by one ``transform``.
-    """
-    spark = df.sparkSession
-    base = model.transform(assemble(df)).agg(*regression_metrics(F.col(target), F.col(prediction))).first().r2
-    numbered = consecutive_ids(df, [key], "_at").cache()
-    rows = []
-    for f in features:
-        for r in range(repeats):
-            order = consecutive_ids(numbered.select(F.col(f).alias("_v"), "_at").withColumn("_u", hash01("_at", F.lit(f), seed=seed + r)), ["_u", "_at"], "_rank").select("_v", F.col("_rank").alias("_at"))
-            scored = model.transform(assemble(numbered.join(order, "_at").withColumn(f, F.col("_v")).drop("_v")))
-            rows.append((f, r, base - scored.agg(*regression_metrics(F.col(target), F.col(prediction))).first().r2))
-    numbered.unpersist()
-    return spark.createDataFrame(rows, "feature string, repeat int, drop double").groupBy("feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("std_drop"))
-
-
 def rgb_projection(df: DataFrame, vector: str = "features", low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Three principal components, each stretched between two percentiles to [0, 1]: columns c1, c2, c3."""
     from pyspark.ml.functions import vector_to_array

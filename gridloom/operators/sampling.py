@@ -212,9 +212,10 @@ def spatial_blocks(df: DataFrame, key: str, region: str = "region", lat: str = "
 def block_folds(df: DataFrame, block: str, stratum: str, folds: int, seeds: list[int]) -> DataFrame:
     """(block, fold_<seed>, ...): a fold for every block and seed, with rows and strata balanced.
 
-    Blocks stand in order of their main stratum, that of most rows, and their draw, and are dealt in rounds of ``folds``:
-    in a round each fold gets one block, the largest first, from the first fold on in even rounds and from the last in odd
-    ones. Only one row for each block is ranked, whatever the rows and however many blocks there are.
+    The blocks of a main stratum, that of most rows, stand in order of their size and are dealt in rounds of ``folds``.
+    Of two rounds the largest of the first and the smallest of the second are one fold's, and so on; which fold's is drawn
+    anew for each two rounds. What is left of the strata, fewer than ``folds`` small blocks of each, is dealt in the
+    same way together. Only one row for each block is ranked, whatever the rows and however many blocks there are.
     A null block is one block, a null stratum one stratum.
     """
     counts = df.groupBy(F.col(block).alias("_b"), F.col(stratum).alias("_s")).count()
@@ -223,10 +224,21 @@ def block_folds(df: DataFrame, block: str, stratum: str, folds: int, seeds: list
     draws = F.lit(None)
     for seed in seeds:
         draws = F.when(F.col("_seed") == seed, hash01("_b", seed=seed)).otherwise(draws)
-    ranked = ranks_within(each.withColumn("_u", draws), ["_seed"], ["_main", "_u", "_b"], "_at")
-    ranked = ranked.withColumn("_round", F.floor((F.col("_at") - 1) / folds))
-    nth = F.row_number().over(Window.partitionBy("_seed", "_round").orderBy(F.desc("_rows"), "_u", "_b")) - 1
-    ranked = ranked.withColumn("_nth", nth).withColumn("_fold", F.when(F.col("_round") % 2 == 0, F.col("_nth")).otherwise(folds - 1 - F.col("_nth")).cast("int"))
+    size_order = [F.desc("_rows"), "_u", "_b"]
+    ranked = durable(ranks_within(each.withColumn("_u", draws), ["_seed", "_main"], size_order, "_at", "_n"))
+    whole = F.col("_at") <= F.floor(F.col("_n") / folds) * folds
+    rest = ranks_within(ranked.filter(~whole).drop("_at", "_n"), ["_seed"], ["_main", *size_order], "_at").withColumn("_deal", F.lit("rest"))
+    ranked = ranked.filter(whole).drop("_n").withColumn("_deal", F.coalesce(F.col("_main").cast("string"), F.lit(""))).unionByName(rest)
+    place = (F.col("_at") - 1) % (2 * folds)
+    ranked = ranked.withColumn("_round", F.floor((F.col("_at") - 1) / (2 * folds))).withColumn("_slot", F.when(place < folds, place).otherwise(2 * folds - 1 - place))
+
+    def slots_before(seed: int) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda t: hash01("_deal", "_round", t, seed=seed) < hash01("_deal", "_round", "_slot", seed=seed)))
+
+    order = F.lit(None)
+    for seed in seeds:
+        order = F.when(F.col("_seed") == seed, slots_before(seed)).otherwise(order)
+    ranked = ranked.withColumn("_fold", order)
     return ranked.groupBy(F.col("_b").alias(block)).agg(*[F.max(F.when(F.col("_seed") == seed, F.col("_fold"))).alias(f"fold_{seed}") for seed in seeds])
 
 

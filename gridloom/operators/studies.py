@@ -127,6 +127,18 @@ def random_draws(binned: DataFrame, key: str, targets: list[str], pool: int, see
     return long.groupBy("band").agg(*regression_metrics(F.col("actual"), F.col("predicted")))
 
 
+def linear_attribution(df: DataFrame, features: list[str], weights: dict[str, np.ndarray]) -> DataFrame:
+    """(target, feature, mean_abs, mean_signed) of w (x - mean x) over the rows, for linear models given as (intercept, features, ...).
+
+    A feature's mean deviation serves all targets, so the rows are spread once.
+    """
+    means = df.agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f) - F.col(f"_m_{f}")).alias("c")) for f in features])).alias("x")
+    spread = df.select(*features).crossJoin(F.broadcast(means)).select(cells).select("x.*").groupBy("feature").agg(F.avg(F.abs("c")).alias("mad"), F.avg("c").alias("shift"))
+    table = df.sparkSession.createDataFrame([(t, f, float(w[i])) for t, w in weights.items() for i, f in enumerate(features, 1)], "target string, feature string, w double")
+    return spread.join(table, "feature").select("target", "feature", (F.abs("w") * F.col("mad")).alias("mean_abs"), (F.col("w") * F.col("shift")).alias("mean_signed"))
+
+
 def permutation_importance(df: DataFrame, key: str, features: list[str], targets: list[str], weights: dict[str, np.ndarray], repeats: int = 10, seed: int = 42) -> DataFrame:
     """(target, feature, mean_drop, std_drop): how much R² falls when a feature is shuffled, over ``repeats`` permutations of the rows.
 

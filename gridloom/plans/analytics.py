@@ -10,9 +10,11 @@ from gridloom.operators import projections as p
 from gridloom.operators import ranking as w
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
-from gridloom.operators.gramian import correlation_pairs
+from gridloom.operators import studies
+from gridloom.operators.gramian import correlation_pairs, gram_matrices, ridge_weights
 from gridloom.operators.neighbours import knn
 from gridloom.plans.registry import METRIC_COLUMNS, METRICS, draw, e, over, p_value_sql, pair_steps, query, rounded
+from gridloom.plans.solver import CONTEXT, FEATURES, STUDY_STEPS, recursive, ridge_steps
 from gridloom.sources import tables
 
 # ---- sampling ----
@@ -122,9 +124,11 @@ FOLD_STEPS = BLOCKS | {
     "counted": "SELECT spatial_block, dw_label_name, count(*) AS c FROM placed GROUP BY ALL",
     "mains": "SELECT spatial_block, sum(c) AS n, first(dw_label_name ORDER BY c DESC, dw_label_name NULLS FIRST) AS main FROM counted GROUP BY spatial_block",
     "drawn": "SELECT *, CAST(('0x' || substr(md5(concat_ws('|', spatial_block, seed)), 1, 8)) AS BIGINT) AS u FROM mains, (SELECT unnest([42, 52, 62]) AS seed)",
-    "rounds": "SELECT *, (row_number() OVER (PARTITION BY seed ORDER BY main NULLS FIRST, u, spatial_block) - 1) // 4 AS round FROM drawn",
-    "turns": "SELECT *, row_number() OVER (PARTITION BY seed, round ORDER BY n DESC, u, spatial_block) - 1 AS nth FROM rounds",
-    "folds": "SELECT sample_id, seed, spatial_block, CAST(CASE WHEN round % 2 = 0 THEN nth ELSE 3 - nth END AS INTEGER) AS fold FROM placed JOIN turns USING (spatial_block)",
+    "ordered": "SELECT *, row_number() OVER (PARTITION BY seed, main ORDER BY n DESC, u, spatial_block) - 1 AS pos, count(*) OVER (PARTITION BY seed, main) AS size FROM drawn",
+    "dealt": "SELECT * REPLACE (CASE WHEN pos < size // 4 * 4 THEN pos ELSE row_number() OVER (PARTITION BY seed, pos < size // 4 * 4 ORDER BY main NULLS FIRST, n DESC, u, spatial_block) - 1 END AS pos), CASE WHEN pos < size // 4 * 4 THEN coalesce(main, '') ELSE 'rest' END AS deal FROM ordered",
+    "rounds": "SELECT *, pos // 8 AS round, CASE WHEN pos % 8 < 4 THEN pos % 8 ELSE 7 - pos % 8 END AS slot FROM dealt",
+    "turns": "SELECT *, len(list_filter(range(4), lambda t: substr(md5(concat_ws('|', deal, round, t, seed)), 1, 8) < substr(md5(concat_ws('|', deal, round, slot, seed)), 1, 8))) AS fold FROM rounds",
+    "folds": "SELECT sample_id, seed, spatial_block, CAST(fold AS INTEGER) AS fold FROM placed JOIN turns USING (spatial_block)",
 }
 
 
@@ -151,7 +155,6 @@ def j1_predictions_to_source(spark, d):
     return o.join(tables.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("o_orderkey", "c_mktsegment", "n_name")
 
 
-FEATURES = [f"A{i:02d}" for i in range(64)]
 _corr = lambda t: "SELECT feature, target, n, c / nullif(s, 0) AS pearson_r FROM (SELECT feature, target, count(*) AS n, covar_pop(v, y) AS c, sqrt(var_pop(v) * var_pop(y)) AS s FROM " + t + " GROUP BY feature, target)"
 LONG_FEATURES = "SELECT 'A' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature, CAST(embedding[i + 1] AS DOUBLE) AS v, target, y FROM samples, LATERAL (SELECT unnest(range(0, 64)) AS i), LATERAL (SELECT unnest(['S1_VV', 'S1_VH', 'S1_VV_div_VH']) AS target, unnest([S1_VV, S1_VH, S1_VV_div_VH]) AS y)"
 CORR = {"long": LONG_FEATURES, "corr": _corr("long")}
@@ -171,29 +174,42 @@ def a15_p_values(spark, d):
     return rounded(correlations(spark, d).withColumn("p_value", p_value(F.col("pearson_r"), F.col("n"))))
 
 
-RANKED = CORR | {
-    "spread": "SELECT feature, target, avg(abs(v)) AS mean_abs FROM long GROUP BY ALL",
-    "paired": "SELECT feature, target, mean_abs, abs(pearson_r) AS abs_r FROM spread JOIN corr USING (feature, target)",
+#: A ridge model of each target on the embedding, fitted on the training rows of a holdout by region, and its attributions on the others, in SQL.
+RIDGE_STEPS = STUDY_STEPS | {
+    "split": f"SELECT sample_id AS id, row_number() OVER (PARTITION BY region ORDER BY {draw('sample_id', seed=42)}, sample_id) <= round_even(count(*) OVER (PARTITION BY region) * CAST(0.3 AS DOUBLE), 0) AS held FROM samples",
+    "member": "SELECT 0 AS c, id FROM split WHERE NOT held",
+    "test": "SELECT id, row_number() OVER (ORDER BY id) AS r FROM split WHERE held",
+    **ridge_steps({"embedding_only": 64}, len(CONTEXT)),
+    "deviation": "SELECT f, avg(abs(x - m)) AS mad, avg(x - m) AS shift FROM (SELECT f, v[f + 2] AS x, avg(v[f + 2]) OVER (PARTITION BY f) AS m FROM test JOIN vec USING (id), (SELECT unnest(range(0, 64)) AS f)) GROUP BY f",
+    "attribution": "SELECT target, 'A' || lpad(CAST(f AS VARCHAR), 2, '0') AS feature, abs(w[f + 1]) * mad AS mean_abs, w[f + 1] * shift AS mean_signed FROM weights JOIN targets USING (t), deviation",
 }
+RANKED = RIDGE_STEPS | CORR | {"paired": "SELECT feature, target, mean_abs, abs(pearson_r) AS abs_r FROM attribution JOIN corr USING (feature, target)"}
+
+
+def held_out_ridge(spark, d):
+    """(rows with ``_train``, weights by target): ridge on the embedding, fitted on seven tenths of each region's samples."""
+    data = x.nested_bins(p.spread_embedding(tables.samples(spark, d)), ["region"], "sample_id", [F.bround(F.col("_n") * F.lit(0.3))], 42, "_train")
+    (sums,) = gram_matrices(data, [*FEATURES, *tables.TARGETS], ["_train"])
+    return data, {t: ridge_weights(sums["1"], list(range(1, 65)), 65 + i) for i, t in enumerate(tables.TARGETS)}
 
 
 def importance(spark, d):
-    """A stand-in for attribution, mean absolute feature values, beside the correlations."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f)).alias("v")) for f in FEATURES])).alias("c")
-    spread = p.spread_embedding(tables.samples(spark, d)).select(cells).groupBy("c.feature").agg(F.avg("c.v").alias("mean_abs"))
-    return spread.join(correlations(spark, d), "feature").select("feature", "target", F.round("mean_abs", 12).alias("mean_abs"), F.round("abs_r", 12).alias("abs_r"))
+    """Attributions of the ridge models on held-out samples, beside the correlations."""
+    data, weights = held_out_ridge(spark, d)
+    found = studies.linear_attribution(data.filter("_train = 0"), FEATURES, weights)
+    return found.join(correlations(spark, d), ["feature", "target"]).select("feature", "target", F.round("mean_abs", 9).alias("mean_abs"), F.round("abs_r", 9).alias("abs_r"))
 
 
-@query(over("samples", "SELECT feature, target, round(mean_abs / sum(mean_abs) OVER (PARTITION BY target), 6) AS share, rank() OVER (PARTITION BY target ORDER BY mean_abs DESC) AS rank_1, rank() OVER (PARTITION BY target ORDER BY abs_r DESC) AS rank_2, (rank() OVER (PARTITION BY target ORDER BY mean_abs DESC) + rank() OVER (PARTITION BY target ORDER BY abs_r DESC)) / 2 AS combined_rank FROM (SELECT feature, target, round(mean_abs, 12) AS mean_abs, round(abs_r, 12) AS abs_r FROM paired)", **RANKED))
+@query(recursive(over("samples", "SELECT feature, target, round(mean_abs / sum(mean_abs) OVER (PARTITION BY target), 6) AS share, rank() OVER (PARTITION BY target ORDER BY mean_abs DESC) AS rank_1, rank() OVER (PARTITION BY target ORDER BY abs_r DESC) AS rank_2, (rank() OVER (PARTITION BY target ORDER BY mean_abs DESC) + rank() OVER (PARTITION BY target ORDER BY abs_r DESC)) / 2 AS combined_rank FROM (SELECT feature, target, round(mean_abs, 9) AS mean_abs, round(abs_r, 9) AS abs_r FROM paired)", **RANKED)))
 def j2_w1_w2_feature_ranking(spark, d):
     shares = w.share_within(importance(spark, d), ["target"], "mean_abs")
     return rounded(w.feature_ranking(shares, "mean_abs", "abs_r").select("feature", "target", "share", "rank_1", "rank_2", "combined_rank"))
 
 
-@query(over("samples", """SELECT feature, rank_1, rank_2, (rank_1 + rank_2) / 2 AS combined_score, row_number() OVER (ORDER BY (rank_1 + rank_2) / 2, feature) AS position FROM (
-  SELECT feature, rank() OVER (ORDER BY a DESC) AS rank_1, rank() OVER (ORDER BY r DESC) AS rank_2 FROM (SELECT feature, round(avg(mean_abs), 10) AS a, round(max(abs_r), 10) AS r FROM paired GROUP BY feature))""", **RANKED))
+@query(recursive(over("samples", """SELECT feature, rank_1, rank_2, (rank_1 + rank_2) / 2 AS combined_score, row_number() OVER (ORDER BY (rank_1 + rank_2) / 2, feature) AS position FROM (
+  SELECT feature, rank() OVER (ORDER BY a DESC) AS rank_1, rank() OVER (ORDER BY r DESC) AS rank_2 FROM (SELECT feature, round(avg(mean_abs), 8) AS a, round(max(abs_r), 8) AS r FROM paired GROUP BY feature))""", **RANKED)))
 def a24_w3_overall_ranking(spark, d):
-    per = importance(spark, d).groupBy("feature").agg(F.round(F.avg("mean_abs"), 10).alias("a"), F.round(F.max("abs_r"), 10).alias("r"))
+    per = importance(spark, d).groupBy("feature").agg(F.round(F.avg("mean_abs"), 8).alias("a"), F.round(F.max("abs_r"), 8).alias("r"))
     return w.overall_ranking(per, "a", "r").select("feature", "rank_1", "rank_2", "combined_score", "position")
 
 

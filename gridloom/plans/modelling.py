@@ -11,12 +11,12 @@ from gridloom.operators import models as o
 from gridloom.operators import projections as p
 from gridloom.operators import sampling as x
 from gridloom.operators import studies
-from gridloom.operators.gramian import gram_matrices, ridge_weights
 from gridloom.operators.ranking import best_per_group
 from gridloom.plans import solver
-from gridloom.plans.analytics import FEATURES, FOLD_STEPS, folded, repeated_folds
+from gridloom.plans.analytics import FOLD_STEPS, RIDGE_STEPS, folded, held_out_ridge, repeated_folds
 from gridloom.plans.imagery import BANDS, filled_pixels
 from gridloom.plans.registry import VIEWS, draw, over, query, rounded
+from gridloom.plans.solver import CONTEXT, FEATURES, SETS, STUDY_SETS, STUDY_STEPS, recursive, study_rows
 from gridloom.sources import sinks, tables
 from gridloom.sources.scratch import scratch_path
 from gridloom.streaming.running import run_available
@@ -86,10 +86,10 @@ def m8_early_stopping(spark, d):
     return model.transform(data.filter("held")).agg(*regression_metrics(F.col("S1_VV"), F.col("hat"))).withColumn("trees", F.lit(len(model.trees)))
 
 
-@query()
+@query(recursive(over("samples", "SELECT target, feature, round(mean_abs, 6) AS mean_abs, round(mean_signed, 6) AS mean_signed FROM attribution", **RIDGE_STEPS)))
 def m9_a23_linear_attribution(spark, d):
-    data = split_samples(spark, d, FEATURES)
-    return o.linear_attribution(data.filter("split = 'test'"), o.ridge(data.filter("split = 'train'"), "S1_VV", "hat"), FEATURES, "S1_VV")
+    data, weights = held_out_ridge(spark, d)
+    return rounded(studies.linear_attribution(data.filter("_train = 0"), FEATURES, weights))
 
 
 @query()
@@ -98,27 +98,11 @@ def m10_gain_and_split_importance(spark, d):
     return o.gain_importance(data, o.boosted_trees("S1_VV", "hat", **QUICK).fit(data.filter("split = 'train'")), FEATURES)
 
 
-CONTEXT = [*FEATURES, *tables.LABELS, *[f"region_{r}" for r in tables.REGIONS]]
-SETS = {"embedding_only": FEATURES, "embedding_plus_context": CONTEXT}
 SEEDS = [42, 52, 62]
 FRACTIONS, FRACTION_SEEDS = [0.1, 0.2, 0.4, 0.6, 0.8, 1.0], [13, 23, 33]
 PERCENTS = [0.0, 0.001, 0.0025, 0.005, 0.01, 0.02, 0.05, 0.075, 0.1, 0.2, 1.0]
 
 
-def study_rows(spark, d):
-    """Samples with all features of both sets and the targets as columns."""
-    return p.one_hot(p.spread_embedding(tables.samples(spark, d)), "region", list(tables.REGIONS))
-
-
-_TARGETS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(tables.TARGETS, 1))
-_FLAGS = ", ".join(f"CAST(region = '{r}' AS DOUBLE)" for r in tables.REGIONS)
-STUDY_STEPS = {
-    "vec": f"SELECT sample_id AS id, [1.0::DOUBLE] || list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [{', '.join(tables.LABELS)}, {_FLAGS}] || [{', '.join(tables.TARGETS)}] AS v FROM samples",
-    "targets": f"SELECT * FROM (VALUES {_TARGETS}) x(t, target)",
-}
-STUDY_SETS = {k: len(v) for k, v in SETS.items()}
-recursive = lambda sql: "WITH RECURSIVE" + sql.removeprefix("WITH")
-
 CV_SQL = recursive(over(
     "samples",
     f"""SELECT s AS feature_set, target, seed, fold, count(*) AS n_valid, {solver.selected("r2", "rmse", "mae", "bias", "pearson_r")} FROM (
@@ -174,12 +158,9 @@ PERMUTATION_SQL = recursive(over(
     """SELECT target, 'A' || lpad(CAST(f AS VARCHAR), 2, '0') AS feature, round(avg((sse - base) / spread), 6) AS mean_drop, round(stddev_pop((sse - base) / spread), 6) AS std_drop FROM (
   SELECT target, f, perm, sum(pow(e + w[f + 1] * (z.v[f + 2] - x.v[f + 2]), 2)) AS sse, sum(e * e) AS base, var_pop(a) * count(*) AS spread
   FROM errors JOIN dealt USING (id) JOIN vec x ON x.id = errors.id JOIN vec z ON z.id = dealt.partner, (SELECT unnest(range(0, 64)) AS f) GROUP BY ALL) GROUP BY target, f""",
-    **STUDY_STEPS,
-    split=f"SELECT sample_id AS id, row_number() OVER (PARTITION BY region ORDER BY {draw('sample_id', seed=42)}, sample_id) <= round_even(count(*) OVER (PARTITION BY region) * CAST(0.3 AS DOUBLE), 0) AS held FROM samples",
-    member="SELECT 0 AS c, id FROM split WHERE NOT held", test="SELECT id, row_number() OVER (ORDER BY id) AS r FROM split WHERE held",
+    **RIDGE_STEPS,
     perms=f"SELECT id AS partner, perm, row_number() OVER (PARTITION BY perm ORDER BY {draw('id', 'perm', seed=42)}, id) AS r FROM test, (SELECT unnest(range(1, 11)) AS perm)",
     dealt="SELECT id, perm, partner FROM test JOIN perms USING (r)",
-    **solver.ridge_steps({"embedding_only": 64}, len(CONTEXT)),
     errors=f"SELECT id, target, w, v[78 + t] AS a, {solver.PREDICTION} - v[78 + t] AS e FROM test JOIN vec USING (id), weights JOIN targets USING (t)",
 ))
 
@@ -187,10 +168,7 @@ PERMUTATION_SQL = recursive(over(
 @query(PERMUTATION_SQL)
 def m11_permutation_importance(spark, d):
     """All 64 features, three targets, ten repeats, on held-out rows of a ridge model."""
-    data = x.nested_bins(p.spread_embedding(tables.samples(spark, d)), ["region"], "sample_id", [F.bround(F.col("_n") * F.lit(0.3))], 42, "_train")
-    columns = [*FEATURES, *tables.TARGETS]
-    (sums,) = gram_matrices(data, columns, ["_train"])
-    weights = {t: ridge_weights(sums["1"], list(range(1, 65)), 65 + i) for i, t in enumerate(tables.TARGETS)}
+    data, weights = held_out_ridge(spark, d)
     return rounded(studies.permutation_importance(data.filter("_train = 0"), "sample_id", FEATURES, list(tables.TARGETS), weights))
 
 
