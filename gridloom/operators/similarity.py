@@ -160,14 +160,3 @@ def feature_target_correlation(df: DataFrame, features: list[str], targets: list
     long = df.select(*targets, f).select("f", t).select("f.feature", "f.x", "t.target", "t.y").filter("x is not null and y is not null")
     out = long.groupBy("feature", "target").agg(F.count("*").alias("n"), safe_r(F.col("x"), F.col("y")).alias("pearson_r"))
     return out.withColumn("abs_r", F.abs("pearson_r"))
-
-
-def chips(pixels: DataFrame, centres: DataFrame, size: int, bands: list[str]) -> DataFrame:
-    """A size by size window around each centre (query, image_row, image_col); pixels outside the image are NULL."""
-    half = size // 2
-    offsets = F.sequence(F.lit(-half), F.lit(size - half - 1))
-    grid = centres.select("query", "image_row", "image_col", F.explode(offsets).alias("d_row")).select("*", F.explode(offsets).alias("d_col"))
-    grid = grid.select("query", "d_row", "d_col", (F.col("image_row") + F.col("d_row")).alias("image_row"), (F.col("image_col") + F.col("d_col")).alias("image_col"))
-    return grid.join(pixels.select("image_row", "image_col", *bands), ["image_row", "image_col"], "left")
-
-

@@ -9,7 +9,7 @@ from gridloom.operators import metrics as m
 from gridloom.operators import projections as p
 from gridloom.operators.sampling import grid, grid_stride
 from gridloom.plans.registry import METRIC_COLUMNS, METRICS, e, over, query, round_sql, rounded
-from gridloom.sources import sinks, tables
+from gridloom.sources import sinks, tables, tiles
 from gridloom.sources.scratch import scratch_path
 
 SAMPLE_COLUMNS = [f.name for f in tables.SAMPLES_SCHEMA.fields]
@@ -103,10 +103,19 @@ def s7_tile_offset_parse(spark, d):
     return tables.table(spark, d, "part").select("p_partkey", row.alias("row_off"), col.alias("col_off"))
 
 
-@query(over("pixels", "SELECT image_row // 32 AS chunk_row, image_col // 32 AS chunk_col, count(S1_VV) AS n, round(min(S1_VV), 8) AS lowest, round(max(S1_VH), 8) AS highest FROM pixels GROUP BY ALL"))
+BAND_STEPS = {
+    "stack": "SELECT image_row // 32 AS window_row, image_col // 32 AS window_col, [S1_VV, S1_VH, S1_VV_div_VH] || list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM pixels JOIN embeddings ON vec_id = pixel_id % (SELECT count(*) FROM embeddings)",
+    "cells": "SELECT window_row, window_col, unnest(range(1, 68)) AS band, unnest(v) AS x FROM stack",
+}
+
+
+@query(over("pixels", "SELECT window_row, window_col, CAST(band AS INTEGER) AS band, count(x) AS n, round(min(x), 8) AS lowest, round(max(x), 8) AS highest FROM cells GROUP BY ALL", **BAND_STEPS))
 def s8_windowed_band_scan(spark, d):
-    chunk = lambda c: F.floor(F.col(c) / 32)
-    return rounded(tables.pixels(spark, d).groupBy(chunk("image_row").alias("chunk_row"), chunk("image_col").alias("chunk_col")).agg(F.count("S1_VV").alias("n"), F.min("S1_VV").alias("lowest"), F.max("S1_VH").alias("highest")), 8)
+    """All 67 bands by window, from pixels stored by tile and window."""
+    px = tables.pixels(spark, d, with_embedding=True)
+    table = tiles.write_windows(px, scratch_path(spark, "windows"), 32, margin=1)
+    bands = F.concat(F.array("S1_VV", "S1_VH", "S1_VV_div_VH"), F.transform("embedding", lambda x: x.cast("double")))
+    return rounded(tiles.band_summary(table.rows().withColumns({c: F.col(c).cast("long") for c in ("window_row", "window_col")}), bands, "window_row", "window_col"), 8)
 
 
 @query(over("pixels", """SELECT 't0' AS tile, r AS row_off, c AS col_off, least(50, h - r) AS rows, least(50, w - c) AS cols
@@ -124,14 +133,17 @@ def s11_all_valid_pixels(spark, d):
     return rounded(tables.pixels(spark, d).filter(p.valid_pixel(["S1_VV", "S1_VH"])).select("pixel_id", "image_row", "image_col", "S1_VV", "S1_VH"), 8)
 
 
-@query(over("pixels", """SELECT c.pixel_id AS query, a AS d_row, b AS d_col, round(q.S1_VH, 6) AS S1_VH FROM (SELECT * FROM pixels WHERE pixel_id % 50 = 0) c,
-  LATERAL (SELECT unnest(range(-4, 4)) AS a), LATERAL (SELECT unnest(range(-4, 4)) AS b) LEFT JOIN pixels q ON q.image_row = c.image_row + a AND q.image_col = c.image_col + b"""))
+@query(over("pixels", """SELECT c.pixel_id AS query, count(q.pixel_id) AS n_inside, round(avg(q.S1_VH), 6) AS mean, round(min(q.S1_VH), 6) AS lowest, round(max(q.S1_VH), 6) AS highest,
+  round(max(CASE WHEN q.image_row = c.image_row - 48 AND q.image_col = c.image_col - 48 THEN q.S1_VH END), 6) AS first_value, round(max(CASE WHEN q.image_row = c.image_row + 47 AND q.image_col = c.image_col + 47 THEN q.S1_VH END), 6) AS last_value
+  FROM (SELECT * FROM pixels WHERE pixel_id % 50 = 0) c LEFT JOIN pixels q ON q.image_row BETWEEN c.image_row - 48 AND c.image_row + 47 AND q.image_col BETWEEN c.image_col - 48 AND c.image_col + 47 GROUP BY c.pixel_id"""))
 def s12_chips(spark, d):
-    from gridloom.operators.similarity import chips
-
+    """Chips of 96 by 96 pixels around the stated centres, each summed up."""
     px = tables.pixels(spark, d)
-    centres = px.filter("pixel_id % 50 = 0").select(F.col("pixel_id").alias("query"), "image_row", "image_col")
-    return rounded(chips(px, centres, 8, ["S1_VH"]).select("query", "d_row", "d_col", "S1_VH"))
+    table = tiles.write_windows(px.select("tile", "image_row", "image_col", "S1_VH"), scratch_path(spark, "windows"), 32)
+    centres = px.filter("pixel_id % 50 = 0").select(F.col("pixel_id").alias("query"), "tile", "image_row", "image_col")
+    found = tiles.chips(table, centres, 96, "S1_VH").withColumn("held", F.filter("chip", lambda x: x.isNotNull()))
+    mean = F.aggregate("held", F.lit(0.0), lambda s, x: s + x) / F.size("held")
+    return rounded(found.select("query", F.size("held").cast("long").alias("n_inside"), mean.alias("mean"), F.array_min("held").alias("lowest"), F.array_max("held").alias("highest"), F.col("chip")[0].alias("first_value"), F.col("chip")[96 * 96 - 1].alias("last_value")))
 
 
 @query("SELECT n_name AS nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")

@@ -1,6 +1,7 @@
 """Sums of products, nested samples, pair draws, folds, quantiles, neighbours and permutations against plain versions."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from gridloom.operators import neighbours, quantiles, studies
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
 from gridloom.plans import modelling
+from gridloom.sources import tiles
 
 
 @pytest.fixture(scope="module")
@@ -245,3 +247,30 @@ def test_pair_sums_and_ranks(spark):
     ranks = {row.k: row.r for row in s.average_ranks(df.filter("v is not null"), "v", "r", ["g"], ["k"]).collect()}
     v = {k: c for k, g, c in rows if g == "a"}
     assert all(ranks[k] == sum(a < c for a in v.values()) + (sum(a == c for a in v.values()) + 1) / 2 for k, c in v.items())
+
+
+def test_windows_read_only_their_files(spark, tmp_path):
+    rows = [(t, r, c, float(100 * r + c)) for t, h, w in (("a", 25, 33), ("b", 7, 7)) for r in range(h) for c in range(w)]
+    px = spark.createDataFrame(rows, "tile string, image_row long, image_col long, v double").repartition(4)
+    table = tiles.write_windows(px, f"{tmp_path}/w", 10, margin=2)
+    assert table.rows().count() == len(rows)
+    one = table.window("a", 2, 3)
+    inside = [(r.image_row, r.image_col) for r in one.collect()]
+    assert sorted(inside) == sorted((r, c) for r in range(18, 25) for c in range(28, 33)) and one.filter("not is_margin").count() == 5 * 3
+    box = table.box("a", 8, 9, 4, 12)
+    assert sorted(r.v for r in box.collect()) == sorted(100.0 * r + c for r in range(8, 12) for c in range(9, 21))
+
+    # Of 12 windows of one tile and one of another, a window reads one file and the box two by three windows' files.
+    read = lambda df: {r.f for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(read(table.spark.read.parquet(table.path))) >= 13 and len(read(one)) == 1 and len(read(box)) == 2 * 3
+    assert re.search(r"PartitionFilters: \[[^\]]*window_row", box._jdf.queryExecution().executedPlan().toString())
+    with pytest.raises(ValueError):
+        tiles.write_windows(px, f"{tmp_path}/x", 10, margin=11)
+
+
+def test_chips_are_padded(spark, tmp_path):
+    px = spark.createDataFrame([("a", r, c, float(10 * r + c)) for r in range(9) for c in range(9)], "tile string, image_row long, image_col long, v double")
+    table = tiles.write_windows(px, f"{tmp_path}/w", 4)
+    out = {r.query: r.chip for r in tiles.chips(table, spark.createDataFrame([(1, "a", 0, 8), (2, "a", 4, 4), (3, "none", 1, 1)], "query long, tile string, image_row long, image_col long"), 4, "v").collect()}
+    want = lambda row, col: [float(10 * r + c) if 0 <= r < 9 and 0 <= c < 9 else None for r in range(row - 2, row + 2) for c in range(col - 2, col + 2)]
+    assert out == {1: want(0, 8), 2: want(4, 4), 3: [None] * 16}
