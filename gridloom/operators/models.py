@@ -11,9 +11,10 @@ import random
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import PCA
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,23 +104,64 @@ def reconstruct(pixels: DataFrame, train_keys: DataFrame, model: PipelineModel,
     return out.withColumns({f"{t}_filled": F.when(copy, F.col(t).cast("double")).otherwise(F.col(f"{t}_hat")) for t in targets})
 
 
-def random_search(df: DataFrame, target: str, fold: str, space: dict[str, list], trials: int, *, features: str = "features", seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """(trial, params, mean_rmse, std_rmse) of seeded random settings by grouped folds, best first.
+def best_iteration(errors: list[float], patience: int = 100) -> int:
+    """How many trees to keep: the first of least error, before ``patience`` more trees have brought no better one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
-    Every fold of a trial is fitted and scored on its own rows; trials run side by side over the cached frame.
+
+def truncated(model: GBTRegressionModel, trees: int) -> GBTRegressionModel:
+    """The same model with its first trees only."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    kind = gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    kept = gateway.new_array(kind, trees)
+    weights = gateway.new_array(gateway.jvm.double, trees)
+    for i in range(trees):
+        kept[i], weights[i] = java.trees()[i], float(java.treeWeights()[i])
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(model.uid, kept, weights)
+    cut.setFeaturesCol(model.getFeaturesCol())
+    cut.setPredictionCol(model.getPredictionCol())
+    return GBTRegressionModel(cut)
+
+
+def fit_with_patience(train: DataFrame, held: DataFrame, target: str, prediction: str, *, patience: int = 100, features: str = "features", **params) -> tuple[GBTRegressionModel, list[float]]:
+    """(model, errors): boosted trees, cut where the error on held rows was least; the error after each tree comes from one scoring pass."""
+    model = boosted_trees(target, prediction, features=features, **params).fit(train)
+    errors = list(model.evaluateEachIteration(held, "squared"))
+    return truncated(model, best_iteration(errors, patience)), errors
+
+
+def random_search(df: DataFrame, target: str, fold: str, space: dict[str, list], trials: int, *, features: str = "features", seed: int = 42, parallelism: int = 4, patience: int = 100) -> DataFrame:
+    """(trial, params, mean_rmse, std_rmse, mean_trees) of seeded random settings by grouped folds, best first.
+
+    Every fold of a trial is fitted with all its trees, cut with patience on the fold and scored there; fits run side by side over the cached frame.
     """
     r = random.Random(seed)
     settings = [{k: r.choice(v) for k, v in sorted(space.items())} for _ in range(trials)]
     folds = [x[0] for x in df.select(fold).distinct().orderBy(fold).collect()]
+    parts = {f: (df.filter(F.col(fold) != f).cache(), df.filter(F.col(fold) == f).cache()) for f in folds}
 
-    def rmse(params: dict, f) -> float:
-        model = boosted_trees(target, "_p", features=features, seed=seed, **params).fit(df.filter(F.col(fold) != f))
-        return model.transform(df.filter(F.col(fold) == f)).agg(F.sqrt(F.avg(F.pow(F.col("_p") - F.col(target), 2)))).first()[0]
+    def score(job: tuple[dict, int]) -> tuple[float, int]:
+        params, f = job
+        model, errors = fit_with_patience(*parts[f], target, "_p", patience=patience, features=features, seed=seed, **params)
+        kept = model.getNumTrees
+        return float(np.sqrt(errors[kept - 1])), kept
 
     with ThreadPoolExecutor(parallelism) as pool:
-        scores = [list(pool.map(lambda f, p=p: rmse(p, f), folds)) for p in settings]
-    rows = [(i, str(p), float(np.mean(s)), float(np.std(s))) for i, (p, s) in enumerate(zip(settings, scores, strict=True))]
-    return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_rmse double, std_rmse double").orderBy("mean_rmse", "trial")
+        scores = list(pool.map(score, [(p, f) for p in settings for f in folds]))
+    for pair in parts.values():
+        for part in pair:
+            part.unpersist()
+    rows = []
+    for i, p in enumerate(settings):
+        own = scores[i * len(folds) : (i + 1) * len(folds)]
+        rows.append((i, str(p), float(np.mean([s for s, _ in own])), float(np.std([s for s, _ in own])), float(np.mean([k for _, k in own]))))
+    return df.sparkSession.createDataFrame(rows, "trial int, params string, mean_rmse double, std_rmse double, mean_trees double").orderBy("mean_rmse", "trial")
 
 
 def gain_importance(df: DataFrame, model, features: list[str]) -> DataFrame:

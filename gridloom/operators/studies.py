@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import hash01, regression_metrics
+from gridloom.functions.vectors import dot
 from gridloom.operators.gramian import Case, absolute_errors, gram_matrices, metrics_of, ridge_weights
 from gridloom.operators.sampling import nested_bins, ranks_within
 from gridloom.operators.similarity import permuted
@@ -186,3 +187,21 @@ def permutation_importance(df: DataFrame, key: str, features: list[str], targets
             known = [x for x in drops if x is not None]
             rows.append((target, feature, float(np.mean(known)) if known else None, float(np.std(known)) if known else None))
     return df.sparkSession.createDataFrame(rows, "target string, feature string, mean_drop double, std_drop double")
+
+
+def reconstruction(pixels: DataFrame, keys: list[str], features: list[str], targets: list[str], share: float, *, seed: int = 42, alpha: float = 1.0) -> DataFrame:
+    """``pixels`` with ``is_train`` and, for every target, ``<target>_filled``: observed at sampled pixels, predicted by ridge elsewhere.
+
+    All bands' models come from one pass over the sampled pixels, and predictions are plain expressions.
+    """
+    flagged = pixels.withColumn("is_train", hash01(*keys, seed=seed) < share)
+    (sums,) = gram_matrices(flagged.filter("is_train").withColumn("_part", F.lit("train")), [*features, *targets], ["_part"])
+    if not sums:
+        raise ValueError("no pixel was sampled")
+    at = list(range(1, len(features) + 1))
+    x = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features])
+    out = flagged.withColumn("_x", x)
+    for i, t in enumerate(targets, 1):
+        w = ridge_weights(sums["train"], at, len(features) + i, alpha)[: len(features) + 1]
+        out = out.withColumn(f"{t}_filled", F.when(F.col("is_train"), F.col(t).cast("double")).otherwise(dot(F.col("_x"), F.array(*[F.lit(float(v)) for v in w]))))
+    return out.drop("_x")

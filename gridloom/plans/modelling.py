@@ -22,7 +22,6 @@ from gridloom.sources.scratch import scratch_path
 from gridloom.streaming.running import run_available
 
 QUICK = {"maxIter": 15, "stepSize": 0.2, "maxDepth": 3}
-FEW = FEATURES[:8]
 
 
 def split_samples(spark, d, columns=FEATURES):
@@ -52,6 +51,27 @@ def m3_reconstruction(spark, d):
     return out.groupBy((~F.col("is_train")).alias("is_gap")).agg(*regression_metrics(F.col("S1_VV"), F.col("S1_VV_filled")))
 
 
+RECONSTRUCTION_SQL = recursive(over(
+    "pixels",
+    f"""SELECT band, part, count(*) AS n, {solver.selected("r2", "rmse", "mae", "bias", "pearson_r")} FROM (
+  SELECT target AS band, part, v[65 + t] AS a, CASE WHEN is_train THEN v[65 + t] ELSE {solver.PREDICTION} END AS q FROM flagged JOIN vec USING (id), weights JOIN targets USING (t), (SELECT unnest(['all', 'gap']) AS part) WHERE part = 'all' OR NOT is_train) GROUP BY band, part""",
+    valid="SELECT pixel_id AS id, tile, image_row, image_col, S1_VV, S1_VH, S1_VV_div_VH, embedding FROM pixels JOIN embeddings ON vec_id = pixel_id % (SELECT count(*) FROM embeddings) WHERE S1_VV IS NOT NULL",
+    vec="SELECT id, [1.0::DOUBLE] || list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [S1_VV, S1_VH, S1_VV_div_VH] AS v FROM valid", targets=STUDY_STEPS["targets"],
+    flagged=f"SELECT id, {draw('tile', 'image_row', 'image_col', seed=42)} < CAST(0.1 AS DOUBLE) AS is_train FROM valid", member="SELECT 0 AS c, id FROM flagged WHERE is_train",
+    **solver.ridge_steps({"all": 64}, 64),
+))
+
+
+@query(RECONSTRUCTION_SQL)
+def m3_three_band_reconstruction(spark, d):
+    """All three bands of a scene from all 64 embedding values, measured over all pixels and over the gaps."""
+    px = p.spread_embedding(tables.pixels(spark, d, with_embedding=True).filter("S1_VV is not null")).drop("embedding")
+    filled = studies.reconstruction(px, ["tile", "image_row", "image_col"], FEATURES, list(tables.TARGETS), 0.1)
+    parts = F.explode(F.when(F.col("is_train"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("gap"))))
+    long = m.long_bands(filled, {t: (t, f"{t}_filled") for t in tables.TARGETS}, ["is_train"]).withColumn("part", parts)
+    return rounded(long.groupBy("band", "part").agg(*regression_metrics(F.col("actual"), F.col("predicted"))))
+
+
 RIDGE_SQL = over("samples", """SELECT region, round(sy - w * sx, 6) AS intercept, round(w, 6) AS slope FROM (
   SELECT region, avg(v) AS sx, avg(S1_VV) AS sy, covar_pop(v, S1_VV) * count(*) / (var_pop(v) * count(*) + 1) AS w FROM (SELECT region, S1_VV, CAST(embedding[1] AS DOUBLE) AS v FROM samples) GROUP BY region)""")
 
@@ -73,17 +93,22 @@ def m4_m5_m6_ridge_log_and_structural(spark, d):
     return scored(test, {t: (t, f"{t}_hat") for t in tables.TARGETS} | {"structural": ("S1_VV_div_VH", "structural"), "ratio": ("ratio", "ratio_hat")})
 
 
+#: Eight parameters, as far as level-wise trees have the study's.
+SPACE = {"maxDepth": [2, 3, 4], "maxIter": [8, 12], "stepSize": [0.1, 0.2, 0.3], "minInstancesPerNode": [5, 20], "subsamplingRate": [0.7, 0.85, 1.0], "featureSubsetStrategy": ["0.5", "0.85"], "maxBins": [16, 32], "minInfoGain": [0.0, 0.001]}
+
+
 @query()
 def m7_random_search(spark, d):
-    data = p.feature_vector(p.spread_embedding(folded(spark, d)), FEW).cache()
-    return o.random_search(data, "S1_VV", "fold", {"maxDepth": [2, 3], "maxIter": [5, 8], "stepSize": [0.1, 0.3]}, 2)
+    data = p.feature_vector(p.spread_embedding(folded(spark, d)), FEATURES).select("features", "fold", "S1_VV").cache()
+    return o.random_search(data, "S1_VV", "fold", SPACE, 4)
 
 
 @query()
 def m8_early_stopping(spark, d):
-    data = split_samples(spark, d, FEATURES).withColumn("held", F.col("split") == "test")
-    model = o.boosted_trees("S1_VV", "hat", validation="held", maxIter=20, stepSize=0.3, maxDepth=3).fit(data)
-    return model.transform(data.filter("held")).agg(*regression_metrics(F.col("S1_VV"), F.col("hat"))).withColumn("trees", F.lit(len(model.trees)))
+    data = split_samples(spark, d, FEATURES)
+    held = data.filter("split = 'test'")
+    model, errors = o.fit_with_patience(data.filter("split = 'train'"), held, "S1_VV", "hat", maxIter=40, stepSize=0.3, maxDepth=3)
+    return model.transform(held).agg(*regression_metrics(F.col("S1_VV"), F.col("hat"))).withColumns({"trees": F.lit(model.getNumTrees), "fitted_trees": F.lit(len(errors))})
 
 
 @query(recursive(over("samples", "SELECT target, feature, round(mean_abs, 6) AS mean_abs, round(mean_signed, 6) AS mean_signed FROM attribution", **RIDGE_STEPS)))
@@ -222,7 +247,7 @@ def m19_rgb_projection(spark, d):
 
 @query()
 def k5_model_save_and_load(spark, d):
-    data = split_samples(spark, d, FEW)
+    data = split_samples(spark, d, FEATURES)
     path = scratch_path(spark, "model")
     sinks.save_model(PipelineModel([o.ridge(data.filter("split = 'train'"), "S1_VV", "hat")]), path)
     return sinks.load_model(path).transform(data.filter("split = 'test'")).select("sample_id", "hat")

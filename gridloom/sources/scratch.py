@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, kind: str = "table") -> str:
-    """A new path under ``spark.checkpoint.dir``; a temporary folder stands in where that is unset, as in local tests."""
+    """A new path under ``spark.checkpoint.dir``; on a single machine a temporary folder stands in where that is unset, on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not single_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/gridloom-{kind}-{uuid.uuid4().hex}"
@@ -19,6 +21,11 @@ def scratch_path(spark: SparkSession, kind: str = "table") -> str:
     return path
 
 
+def single_machine(master: str) -> bool:
+    """Whether a master URL runs all tasks in the driver's own process."""
+    return master == "local" or master.startswith("local[")
+
+
 _written: list[str] = []
 
 

@@ -14,7 +14,7 @@ from gridloom.operators import projections as p
 from gridloom.operators import ranking as w
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
-from gridloom.sources import tables
+from gridloom.sources import scratch, tables
 
 
 def test_metrics_on_degenerate_groups(spark):
@@ -150,3 +150,7 @@ def test_checks_raise(spark):
     with pytest.raises(ValueError):
         x.bernoulli(df, ["split"], 0.0, 1)
     assert df.select(hash01("split", seed=1).alias("u")).filter("u >= 0 and u < 1").count() == 2
+
+
+def test_scratch_folders_are_shared_on_clusters():
+    assert [scratch.single_machine(x) for x in ("local", "local[8]", "local[*]", "local-cluster[3,2,1000]", "spark://a:7077", "yarn")] == [True, True, True, False, False, False]

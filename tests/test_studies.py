@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gridloom.functions.stats import p_value
 from gridloom.operators import gramian as gr
 from gridloom.operators import metrics as m
+from gridloom.operators import models as o
 from gridloom.operators import neighbours, quantiles, studies
+from gridloom.operators import projections as p
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
 from gridloom.plans import modelling
@@ -274,3 +276,18 @@ def test_chips_are_padded(spark, tmp_path):
     out = {r.query: r.chip for r in tiles.chips(table, spark.createDataFrame([(1, "a", 0, 8), (2, "a", 4, 4), (3, "none", 1, 1)], "query long, tile string, image_row long, image_col long"), 4, "v").collect()}
     want = lambda row, col: [float(10 * r + c) if 0 <= r < 9 and 0 <= c < 9 else None for r in range(row - 2, row + 2) for c in range(col - 2, col + 2)]
     assert out == {1: want(0, 8), 2: want(4, 4), 3: [None] * 16}
+
+
+def test_patience_and_truncated_trees(spark):
+    assert o.best_iteration([5, 4, 4.5, 4.4, 3, 9], patience=2) == 2 and o.best_iteration([5, 4, 4.5, 4.4, 3, 9], patience=3) == 5 and o.best_iteration([1.0]) == 1
+    r = np.random.default_rng(9)
+    v = r.normal(size=(160, 3))
+    df = p.feature_vector(spark.createDataFrame([(*map(float, a), float(a[0] * a[1] + 0.5 * r.normal()), i % 4) for i, a in enumerate(v)], "a double, b double, c double, y double, fold int"), ["a", "b", "c"]).cache()
+    options = {"maxDepth": 3, "stepSize": 0.5, "minInstancesPerNode": 2, "subsamplingRate": 0.8}
+    train, held = df.filter("fold > 0"), df.filter("fold = 0")
+    model, errors = o.fit_with_patience(train, held, "y", "hat", maxIter=12, patience=3, **options)
+    assert len(errors) == 12 and model.getNumTrees == o.best_iteration(errors, 3) < 12
+    again = o.boosted_trees("y", "hat", maxIter=model.getNumTrees, **options).fit(train)
+    one, two = ([row.hat for row in f.transform(held).orderBy("a").collect()] for f in (model, again))
+    assert one == pytest.approx(two)
+    assert np.mean((np.array(one) - [row.y for row in held.orderBy("a").collect()]) ** 2) == pytest.approx(errors[model.getNumTrees - 1])
