@@ -51,8 +51,12 @@ _OUT_NAMES = frozenset(
 )
 #: These do so only outside an article.
 _OUT_NAMES_ELSEWHERE = frozenset("header banner top bottom aside side".split())
-#: A name that also holds one of these says something about the page and does not name the element: with-sidebar, comments-open.
-_MODIFIERS = frozenset("with without has no not is open opened closed on off enabled disabled layout content main article".split())
+#: Words that may stand beside these in a whole name: cookie-bar, share-buttons. Any other word makes the name say something else
+#: (with-sidebar, comments-open, notice-of-meeting), and the block is left to its figures.
+_PARTS = frozenset(
+    "area bar block blocks body bottom box button buttons col column container first fixed form group hidden icon icons inner item items last left line link links list message mobile module outer panel post posts primary row secondary section site slot small sticky strip text title top unit wrap wrapper right desktop global js id the this us"
+    .split()
+)
 _IN_NAMES = frozenset("article main".split())
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -65,7 +69,7 @@ _SIGNS = ".,;:!?\"'()[]{}#$%&*@^~=+<>|/\\-_«»“”„‘’…–—"
 
 SHORT = 70
 LONG = 200
-MANY_LINKS, MANY_LINKS_INSIDE = 0.35, 0.6
+MANY_LINKS, MANY_LINKS_INSIDE, FEW_LINKS = 0.35, 0.6, 0.1
 DENSE, SOME = 0.25, 0.1
 DENSE_INSIDE = 0.05
 TEASER = 0.25
@@ -74,10 +78,12 @@ TEASER = 0.25
 class _Region:
     """An element that says where its blocks stand: 'out' by its tag, 'name' by its class, 'in' for an article; '' once it has been freed."""
 
-    __slots__ = ("kind", "parent", "placed", "tag")
+    __slots__ = ("held", "kind", "parent", "placed", "tag")
 
     def __init__(self, kind: str, tag: str, parent: _Region | None):
         self.kind, self.tag, self.parent, self.placed = kind, tag, parent, None
+        # Whether an article inside stays what it is in, as the first one does not free menus, asides and the like.
+        self.held = parent is not None and parent.held or kind == "out" and tag != "form"
 
     def place(self) -> tuple[bool, _Region | None]:
         """Whether it is outside the main text, and its outermost article; kept, once the page is read."""
@@ -120,7 +126,8 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
         return "out"
     if tag in ("html", "body"):
         return ""
-    if any(v & _OUT_NAMES and not v & _MODIFIERS or not inside and tag not in _IN and v & _OUT_NAMES_ELSEWHERE and not v & _MODIFIERS for v in names):
+    elsewhere = _OUT_NAMES_ELSEWHERE if not inside and tag not in _IN else frozenset()
+    if any(v & (_OUT_NAMES | elsewhere) and v <= _OUT_NAMES | _OUT_NAMES_ELSEWHERE | _PARTS for v in names):
         return "name"
     return "in" if tag in _IN or any(v & _IN_NAMES and len(v) == 1 for v in names) and tag not in _INLINE else ""
 
@@ -206,12 +213,9 @@ def blocks(page: str) -> list[Block]:
             kind = "hidden"
         if tag in _IN and kind != "hidden" and not seen_article:
             # The first article frees what holds it from names, and from a form around the whole page.
-            held, node = False, region
-            while node is not None:
-                held = held or node.kind == "out" and node.tag != "form"
-                node = node.parent
-            if not held:
-                seen_article, kind, node = True, "in", region
+            if region is None or not region.held:
+                node = region
+                seen_article, kind = True, "in"
                 while node is not None:
                     node.kind = node.kind if node.kind == "in" else ""
                     node = node.parent
@@ -263,7 +267,9 @@ def first_pass(found: list[Block]) -> None:
         elif n < (LONG if most else SHORT) or b.heading:
             b.label, b.by = "short", "length"
         else:
-            b.label, b.by = ("good" if b.density >= DENSE else "short" if b.density >= SOME or not most else "bad"), "density"
+            # Long text without links needs fewer stop words than a line that may be a menu's or a notice's.
+            enough = SOME if n >= LONG and b.linked < FEW_LINKS else DENSE
+            b.label, b.by = ("good" if b.density >= enough else "short" if b.density >= SOME or not most else "bad"), "density"
 
 
 def second_pass(found: list[Block]) -> None:

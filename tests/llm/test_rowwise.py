@@ -289,3 +289,49 @@ def test_page_columns_that_clash(spark):
 
 def test_digest_of_no_items():
     assert decontam.item_digest([]) == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><div class="search-engine-history">The text is here.</div></article>', "The text is here."),
+    ('<article><p>The start is here.</p><p class="notice-of-meeting">A notice of the meeting.</p></article>', "The start is here. A notice of the meeting."),
+    ('<article><p>The start is here.</p><div class="share-buttons"><p>Share it</p></div><div id="related-posts">More of the same</div></article>', "The start is here."),
+])
+def test_only_whole_names_throw_text_away(page, text):
+    assert html_text.main_text(page)[0] == text
+
+
+def test_nested_articles_in_linear_time():
+    start = time.time()
+    html_text.main_text("<nav><article>" * 40_000)
+    assert time.time() - start < 8
+
+
+@pytest.fixture(scope="module")
+def bare_pages(spark):
+    """(pages without any element or name that says where the article is, the text that the whole pages give)."""
+    whole = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").limit(400).collect()]
+
+    def bare(page):
+        page = re.sub(r"<(/?)(article|main|nav|header|footer|aside|section|form)\b", r"<\1div", page, flags=re.I)
+        return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page, flags=re.I)
+
+    return [bare(p) for p in whole], [html_text.main_text(p)[0] for p in whole]
+
+
+def shared_words(got, want):
+    """Precision and recall by words."""
+    both = sum(sum((Counter(a.split()) & Counter(b.split())).values()) for a, b in zip(got, want, strict=True))
+    return both / sum(len(a.split()) for a in got), both / sum(len(b.split()) for b in want)
+
+
+def test_figures_find_the_text_without_tags(bare_pages, monkeypatch):
+    pages, want = bare_pages
+    got = [html_text.main_text(p)[0] for p in pages]
+    precision, recall = shared_words(got, want)
+    assert precision > 0.95 and recall > 0.95, (precision, recall)
+    # Each part of the method decides: without it most pages come out otherwise.
+    for name, value in (("STOP_WORDS", frozenset()), ("second_pass", lambda found: None), ("MANY_LINKS", 2.0), ("SHORT", 0)):
+        with monkeypatch.context() as patch:
+            patch.setattr(html_text, name, value)
+            changed = sum(html_text.main_text(p)[0] != g for p, g in zip(pages, got, strict=True))
+        assert changed > (0.5 if name in ("STOP_WORDS", "second_pass") else 0.0) * len(pages), (name, changed)
