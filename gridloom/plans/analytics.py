@@ -264,6 +264,8 @@ COSINE = {
 }
 
 
+#: Distances of all pairs.
+COSINE_ALL = {k: v.replace(" AND a.id % 50 = 0", "") for k, v in COSINE.items()}
 #: The stated query set of the searches, against all rows.
 ASKED = "sample_id % 50 = 0"
 
@@ -495,7 +497,7 @@ def a16_w5_distance_correlation(spark, d):
     return distance_study(spark, d, ["region"])
 
 
-@query(over("samples", "SELECT region, n, round((1 - avg_d), 6) AS mean_cosine FROM (SELECT region, avg(distance) AS avg_d FROM dist JOIN samples a ON query = a.sample_id JOIN (SELECT sample_id, region AS r2 FROM samples) b ON neighbour = b.sample_id AND region = r2 GROUP BY region) JOIN (SELECT region, count(*) AS n FROM samples GROUP BY region) USING (region)", **COSINE))
+@query(over("samples", "SELECT region, n, round((1 - avg_d), 6) AS mean_cosine FROM (SELECT region, avg(distance) AS avg_d FROM dist JOIN samples a ON query = a.sample_id JOIN (SELECT sample_id, region AS r2 FROM samples) b ON neighbour = b.sample_id AND region = r2 GROUP BY region) JOIN (SELECT region, count(*) AS n FROM samples GROUP BY region) USING (region)", **COSINE_ALL))
 def a17_mean_pairwise_cosine(spark, d):
     return rounded(s.mean_pairwise_cosine(tables.samples(spark, d), ["region"]))
 
