@@ -295,9 +295,10 @@ def learn(training: DataFrame, n_words: int, n_classes: int, rounds: int, pull:
     # The dictionary's classes come back to the driver, bounded by n_lookup.
     known = dict(zip(lookup, of[: len(frequent)].tolist(), strict=False))
     if len(lookup) > len(frequent):
-        mine = placed.filter(F.col("n") >= int(counts[-1])).select("word", "cls").toArrow()
-        wanted = set(lookup)
-        known |= {w: c for w, c in zip(mine["word"].to_pylist(), mine["cls"].to_pylist(), strict=True) if w in wanted}
+        # By the words themselves: as many as one likes may share the last one's count.
+        wanted = placed.sparkSession.createDataFrame(top.select(["word"]))
+        mine = placed.join(F.broadcast(wanted), "word", "left_semi").select("word", "cls").toArrow()
+        known |= dict(zip(mine["word"].to_pylist(), mine["cls"].to_pylist(), strict=True))
     class_v = np.bincount(of[: len(frequent)], minlength=classes)[:classes].astype(float)
     for c, n, v in placed.groupBy("cls").agg(F.sum("n"), F.count("*")).collect():
         class_n[c] += n

@@ -331,3 +331,14 @@ def test_pipeline_stages(spark):
             assert docs.columns == columns
     assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and "mix_copies" in docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "redact", "mix"]
+
+
+def test_looked_up_words_have_their_own_class_where_counts_tie(spark):
+    """All words but a few stand once: the last looked-up word's count is that of thousands."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(["the", "a", "of"][i % 3] if r.random() < 0.5 else f"w{r.integers(0, 4000)}" for _ in range(60)) for i in range(100)]
+    training = docs_of(spark, texts).select("text")
+    model = brown.learn(training, 20, 4, 3, 0.5, 60)
+    assert len(model.words) == 60 == len(model.of)
+    placed = {bytes(row.word): row.cls for row in model.placed.select("word", "cls").collect()}
+    assert len(placed) > 1000 and all(c == placed[bytes(w)] for w, c in zip(model.words[20:], model.of[20:].tolist(), strict=True))
