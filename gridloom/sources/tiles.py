@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,19 @@ def chips(table: WindowTable, centres: DataFrame, size: int, band: str) -> DataF
     d_row, d_col = F.col("image_row") - F.col("_row") + half, F.col("image_col") - F.col("_col") + half
     found = met.join(table.rows().select("tile", "window_row", "window_col", "image_row", "image_col", F.col(band).alias("_v")), ["tile", "window_row", "window_col"])
     found = found.select("query", d_row.alias("r"), d_col.alias("c"), "_v").filter(F.col("r").between(0, size - 1) & F.col("c").between(0, size - 1))
-    values = found.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * size + F.col("c")).cast("int").alias("k"), "_v"))).alias("_m"))
-    every = F.sequence(F.lit(0), F.lit(size * size - 1))
-    empty = F.array_repeat(F.lit(None).cast("double"), size * size)
-    return asked.select("query").join(values, "query", "left").select("query", F.when(F.col("_m").isNull(), empty).otherwise(F.transform(every, lambda i: F.try_element_at("_m", i).cast("double"))).alias("chip"))
+    place = (F.col("r") * size + F.col("c")).cast("int")
+    values = found.groupBy("query").agg(F.collect_list(F.struct(place.alias("k"), F.col("_v").cast("double").alias("v"))).alias("held"))
+    whole = asked.select("query").join(values, "query", "left").select("query", F.transform("held", lambda x: x["k"]).alias("k"), F.transform("held", lambda x: x["v"]).alias("v"))
+    cells = size * size
+
+    def lay_out(batches):
+        for b in (b.slice(s, 200) for b in batches for s in range(0, b.num_rows, 200)):
+            sizes = np.asarray(b.column(1).value_lengths().fill_null(0))
+            at = np.repeat(np.arange(b.num_rows) * cells, sizes) + np.asarray(b.column(1).flatten())
+            held = b.column(2).flatten()
+            out, missing = np.zeros(b.num_rows * cells), np.ones(b.num_rows * cells, bool)
+            out[at] = np.asarray(held.fill_null(0.0))
+            missing[at] = np.asarray(held.is_null())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * cells, pa.int32()), pa.array(out, mask=missing))], names=["query", "chip"])
+
+    return whole.mapInArrow(lay_out, T.StructType([centres.schema["query"], T.StructField("chip", T.ArrayType(T.DoubleType()))]))
