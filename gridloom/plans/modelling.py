@@ -82,7 +82,18 @@ def m4_ridge_by_subset(spark, d):
     return rounded(fits.select("region", F.col("coefficients")[0].alias("intercept"), F.col("coefficients")[1].alias("slope")))
 
 
-@query()
+LOG_SQL = recursive(over(
+    "samples",
+    f"""SELECT band, count(*) AS n, {solver.selected("r2", "rmse", "mae", "bias", "pearson_r")} FROM (
+  SELECT CASE t WHEN 1 THEN 'S1_VV' WHEN 2 THEN 'S1_VH' WHEN 3 THEN 'S1_VV_div_VH' ELSE 'ratio' END AS band, CASE WHEN t < 4 THEN v[65 + t] ELSE exp(v[69]) END AS a, CASE WHEN t < 4 THEN q ELSE exp(q) END AS q FROM fitted
+  UNION ALL SELECT 'structural', first(v[68]), sum(CASE t WHEN 1 THEN q WHEN 2 THEN -q END) FROM fitted WHERE t < 3 GROUP BY id) GROUP BY band""",
+    vec="SELECT sample_id AS id, [1.0::DOUBLE] || list_transform(embedding, lambda x: CAST(x AS DOUBLE)) || [S1_VV, S1_VH, S1_VV_div_VH, ln(pow(10, S1_VV / 10) / greatest(pow(10, S1_VH / 10), 1e-6))] AS v FROM samples",
+    split=RIDGE_STEPS["split"], member=RIDGE_STEPS["member"], test=RIDGE_STEPS["test"], **solver.ridge_steps({"all": 64}, 64, 4),
+    fitted=f"SELECT id, t, v, {solver.PREDICTION} AS q FROM test JOIN vec USING (id), weights",
+))
+
+
+@query(LOG_SQL)
 def m4_m5_m6_ridge_log_and_structural(spark, d):
     data = p.ratio_targets(split_samples(spark, d), "S1_VV", "S1_VH", space="linear").cache()
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
@@ -90,7 +101,7 @@ def m4_m5_m6_ridge_log_and_structural(spark, d):
         test = o.ridge(train, t, f"{t}_hat").transform(test)
     test = o.predict_log(o.log_ridge(train, "ratio", "ratio_hat"), test, "ratio_hat")
     test = o.structural_difference(test, "S1_VV_hat", "S1_VH_hat", "structural")
-    return scored(test, {t: (t, f"{t}_hat") for t in tables.TARGETS} | {"structural": ("S1_VV_div_VH", "structural"), "ratio": ("ratio", "ratio_hat")})
+    return rounded(scored(test, {t: (t, f"{t}_hat") for t in tables.TARGETS} | {"structural": ("S1_VV_div_VH", "structural"), "ratio": ("ratio", "ratio_hat")}))
 
 
 #: Eight parameters, as far as level-wise trees have the study's.
