@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import hash01, p_value, safe_r
-from gridloom.functions.vectors import cosine_distance, unit
+from gridloom.functions.vectors import dot, unit
 from gridloom.operators.sampling import ranks_within
 from gridloom.sources.scratch import durable
 
@@ -126,11 +126,12 @@ def distance_correlation(pairs: DataFrame, x: str, y: str, group: list[str] = ()
 
 def pair_distances(df: DataFrame, pairs: DataFrame, key: str, vector: str, values: list[str]) -> DataFrame:
     """(group, a, b, cosine, euclidean) of pairs of keys: cosine distance of vectors, and Euclidean distance of values."""
-    one = df.select(F.col(key).alias("a"), F.col(vector).alias("_va"), F.array(*values).alias("_xa"))
-    two = df.select(F.col(key).alias("b"), F.col(vector).alias("_vb"), F.array(*values).alias("_xb"))
+    # Lengths are taken once for each row, not for each pair.
+    rows = durable(df.select(F.col(key).alias("a"), unit(F.col(vector)).alias("_va"), F.array(*values).alias("_xa")))
+    one, two = rows, rows.withColumnsRenamed({"a": "b", "_va": "_vb", "_xa": "_xb"})
     met = pairs.join(one, "a").join(two, "b")
     square = F.aggregate(F.zip_with("_xa", "_xb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    return met.withColumn("cosine", F.round(cosine_distance(F.col("_va"), F.col("_vb")), 9)).withColumn("euclidean", F.round(F.sqrt(square), 9)).drop("_va", "_vb", "_xa", "_xb")
+    return met.withColumn("cosine", F.round(1 - dot(F.col("_va"), F.col("_vb")), 9)).withColumn("euclidean", F.round(F.sqrt(square), 9)).drop("_va", "_vb", "_xa", "_xb")
 
 
 def mean_pairwise_cosine(df: DataFrame, group: list[str], vector: str = "embedding") -> DataFrame:
