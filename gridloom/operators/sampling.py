@@ -178,8 +178,8 @@ def pair_draw(df: DataFrame, key: str, m: int, seed: int, group: list[str] = ())
     even = lambda turn: turn % 2 == 0
     start = F.struct((F.col("_j") % F.col("_a")).alias("l"), F.expr("_j div _a").alias("r"))
     turn = lambda s, t: F.struct(F.when(even(t), turned(s["l"], s["r"], t, F.col("_a"))).otherwise(s["l"]).alias("l"), F.when(even(t), s["r"]).otherwise(turned(s["r"], s["l"], t, F.col("_b"))).alias("r"))
-    # A fold, as six nested columns would make the expression grow with every turn.
-    drawn = drawn.withColumn("_p", F.aggregate(F.sequence(F.lit(0), F.lit(PAIR_TURNS - 1)), start, turn)).withColumns({"_l": F.col("_p")["l"], "_r": F.col("_p")["r"]})
+    # A fold, as six nested columns would make the expression grow with every turn; exploded, so that what follows doesn't fold again.
+    drawn = drawn.select("*", F.explode(F.array(F.aggregate(F.sequence(F.lit(0), F.lit(PAIR_TURNS - 1)), start, turn))).alias("_p")).withColumns({"_l": F.col("_p")["l"], "_r": F.col("_p")["r"]})
     one = F.when(odd, F.col("_l")).when(F.col("_l") == 0, n - 1).otherwise((F.col("_r") + F.col("_l")) % (n - 1))
     two = F.when(odd, (F.col("_l") + F.col("_r") + 1) % n).when(F.col("_l") == 0, F.col("_r")).otherwise((F.col("_r") - F.col("_l") + n - 1) % (n - 1))
     pairs = drawn.select(*group, one.alias("_x"), two.alias("_y")).select(*group, F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))

@@ -119,7 +119,9 @@ def average_ranks(df: DataFrame, value: str, name: str, group: list[str] = (), k
 
 def distance_correlation(pairs: DataFrame, x: str, y: str, group: list[str] = (), keys: list[str] = ()) -> DataFrame:
     """n_pairs, and Pearson and Spearman correlation of two distances with their p-values."""
-    ranked = average_ranks(average_ranks(pairs, x, "_rx", group, keys), y, "_ry", group, keys)
+    # Written once: range partitions read their input twice, and it may be a join of vectors.
+    narrow = durable(pairs.select(*group, *keys, x, y))
+    ranked = average_ranks(average_ranks(narrow, x, "_rx", group, keys), y, "_ry", group, keys)
     found = ranked.groupBy(*group).agg(F.count("*").alias("n_pairs"), safe_r(F.col(x), F.col(y)).alias("pearson_r"), safe_r(F.col("_rx"), F.col("_ry")).alias("spearman_rho"))
     return found.withColumn("pearson_p", p_value(F.col("pearson_r"), F.col("n_pairs"))).withColumn("spearman_p", p_value(F.col("spearman_rho"), F.col("n_pairs")))
 

@@ -96,7 +96,8 @@ def sample_sweep(df: DataFrame, key: str, features: list[str], targets: list[str
     percents = sorted(percents)
     sizes = [min(round(p / 100 * n), n - held) for p in percents]
     steps = sorted({s for s in sizes if s > 0})
-    binned = nested_bins(df, [], key, [F.lit(held), *[F.lit(held + s) for s in steps]], seed, "_bin")
+    # Written once: matrices, errors and random draws read it, and its input may be a join.
+    binned = durable(nested_bins(df.select(key, *columns), [], key, [F.lit(held), *[F.lit(held + s) for s in steps]], seed, "_bin"))
     (found,) = gram_matrices(binned, columns, ["_bin"])
     empty = np.zeros((len(columns) + 1,) * 2)
     valid, sums, weights = found.get("0", empty), empty, {}
