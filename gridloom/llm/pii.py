@@ -8,8 +8,8 @@ format and by its context.
 
 Boosted trees learn from examples whose label the base rules do not give: base matches
 rewritten into forms that the rules do not know (``a (at) b dot c``, regrouped cards, phone
-numbers without their plus) are positive; candidates of the texts as they are, and base
-matches broken so that their check fails, are negative. ``seeds`` made-up examples of the same
+numbers without their plus) are positive; candidates of the texts as they are, base
+matches broken so that their check fails, and words before a plain domain (``works at b.com``) are negative. ``seeds`` made-up examples of the same
 forms are always added, so that there is a model whatever the table holds; it is fitted in
 the same way at every size. On other examples the score is calibrated: a kind's threshold is
 the lowest score from which at least ``precision`` of its candidates are positive. What
@@ -19,7 +19,8 @@ Everything is DataFrame expressions; the fitted trees are one such expression, s
 are read row by row and never shuffled, in time linear in the text. Learning takes about
 ``fit_docs`` documents by the id's hash (a documented bound).
 
-Null and empty texts have no spans. Rows are read one by one, so repeated rows agree. Positions
+Null and empty texts have no spans. Rows are read one by one, so repeated rows agree. Candidates of equal
+score are all added or all left out. Positions
 count code points from 0, ends are exclusive; spans are in order of kind, start and end, and
 added ones may overlap each other. Other columns pass through; names that clash are avoided
 by underscores in front.
@@ -43,17 +44,17 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_AT = r"(?:\x20?@\x20?|\x20?[(\[{]\x20?at\x20?[)\]}]\x20?|\x20at\x20)"
-_DOT = r"(?:\.|\x20?[(\[{](?:\.|\x20?dot\x20?)[)\]}]\x20?|\x20dot\x20)"
-_QUAD_DOT = r"(?:\x20?\.\x20?|\x20?[(\[{](?:\.|\x20?dot\x20?)[)\]}]\x20?|\x20dot\x20)"
+_AT = r"(?:\x20?@\x20?|\x20?[(\[{<](?:@|\x20?(?i:at)\x20?)[)\]}>]\x20?|\x20(?i:at)\x20)"
+_DOT = r"(?:\.|\x20?[(\[{<](?:\.|\x20?(?i:dot)\x20?)[)\]}>]\x20?|\x20(?i:dot)\x20)"
+_QUAD_DOT = r"(?:\x20?\.\x20?|\x20?[(\[{<](?:\.|\x20?(?i:dot)\x20?)[)\]}>]\x20?|\x20(?i:dot)\x20)"
 GENERATORS = {
     "address": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++",
     "quad": rf"(?<![0-9A-Za-z])[0-9]{{1,3}}(?:{_QUAD_DOT}[0-9]{{1,3}}){{3}}(?![0-9A-Za-z])",
-    "digits": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[().\x20/_-]{0,3}+[0-9]){6,}+(?![0-9A-Za-z])",
+    "digits": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[().\x20/_–-]{0,3}+[0-9]){6,}+(?![0-9A-Za-z])",
     "run": r"(?:(?<=[0-9][\x20/.-])[0-9]{15,19}+(?![0-9A-Za-z])|(?<![0-9A-Za-z])[0-9]{15,19}+(?=[\x20/.-][0-9]))",
 }
 #: What a text must hold for a generator to have a chance.
-HINTS = {"address": r"@|[(\[{]\x20?at\x20?[)\]}]|\x20at\x20", "quad": r"[0-9](?:\x20?\.|\x20?[(\[{]|\x20dot)", "digits": "[0-9]", "run": "[0-9]{15}"}
+HINTS = {"address": r"(?i)@|[(\[{<]\x20?at\x20?[)\]}>]|\x20at\x20", "quad": r"(?i)[0-9](?:\x20?\.|\x20?[(\[{<]|\x20dot)", "digits": "[0-9]", "run": "[0-9]{15}"}
 MASK = "\u0001"
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 CONTEXT = 24
@@ -177,11 +178,11 @@ def with_features(docs: DataFrame, found: str, name: str) -> DataFrame:
         size_of = lambda back: F.when(n >= back, F.length(F.element_at(groups, F.lit(-back)))).otherwise(0)
         most = F.coalesce(F.array_max(F.transform(groups, lambda g: F.when(F.length(g) <= 4, g.cast("int")).otherwise(9999))), F.lit(0))
         count = lambda chars: F.length(m) - F.length(F.translate(m, chars, ""))
-        marks = lambda word, sign: F.when(F.regexp_like(m, F.lit(rf"[(\[{{]\x20?(?:{word}|{sign})")), 2).when(F.regexp_like(m, F.lit(rf"\x20{word}\x20")), 1).otherwise(0)
+        marks = lambda word, sign: F.when(F.regexp_like(m, F.lit(rf"(?i)[(\[{{<]\x20?(?:{word}|{sign})")), 2).when(F.regexp_like(m, F.lit(rf"(?i)\x20{word}\x20")), 1).otherwise(0)
         kind = F.when(address, 0).when(quad, 1).when(F.length(digits) >= 15, 2).otherwise(3)
         values = {
             "n_chars": F.length(plain), "n_digits": F.length(digits), "n_groups": n, "first": F.coalesce(F.length(F.try_element_at(groups, F.lit(1))), F.lit(0)), "last": size_of(1), "last_2": size_of(2), "last_3": size_of(3), "most": most,
-            "n_dots": F.when(address, 0).otherwise(count(".")), "n_dashes": count("-"), "n_spaces": count(" "), "n_slashes": count("/_"), "n_brackets": count("()[]{}"), "generator": source,
+            "n_dots": F.when(address, 0).otherwise(count(".")), "n_dashes": count("-\u2013"), "n_spaces": count(" "), "n_slashes": count("/_"), "n_brackets": count("()[]{}<>"), "generator": source,
             "n_letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")), "n_labels": F.when(address, F.size(F.split(domain, _DOT))).otherwise(0), "tld": F.when(address, F.length(F.regexp_extract(m, "([A-Za-z0-9-]*)$", 1))).otherwise(0),
             "at_sign": F.when(address, marks("at", "@")).otherwise(0), "dot_sign": F.when(address | quad, marks("dot", r"\.")).otherwise(0), "zeros": F.when(plain.startswith("00"), 2).when(plain.startswith("0"), 1).otherwise(0),
             "luhn_ok": (F.length(digits).between(12, 19) & luhn(digits)).cast("int"), "cue": F.regexp_like(x["c"]["before"], F.lit(CUES)).cast("int"),
@@ -220,16 +221,23 @@ def _pick(draw: Column, *values: str) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.pmod(draw, F.lit(len(values))) + 1).cast("int"))
 
 
+def _grouping(draw: Column) -> Column:
+    """A pattern for the groups into which digits are cut: mostly of four, some of eight."""
+    return F.when(draw % 4 == 0, F.lit("(.{8})(?=.)")).otherwise(F.lit("(.{4})(?=.)"))
+
+
 def rewritten(kind: int, m: Column, draw: Column) -> tuple[int, Column]:
     """A generator's number and a form of the base match ``m`` that it proposes and the base rule does not know."""
     more = F.floor(draw / 64)
     if kind == 0:
         local, domain = F.split(m, "@")[0], F.split(m, "@")[1]
-        return 0, F.concat(local, _pick(draw, " at ", " (at) ", "[at]", " @ ", "(at)", " [at] "), F.replace(domain, F.lit("."), _pick(more, " dot ", ".", "[dot]", " (dot) ", "[.]")))
+        # A bare "at" before a plain domain is how prose speaks of places; it is no address unless its dots are written out too.
+        dots = F.when(draw % 6 == 0, _pick(more, " dot ", "[dot]", " (dot) ", "[.]")).otherwise(_pick(more, " dot ", ".", "[dot]", " (dot) ", "[.]"))
+        return 0, F.concat(local, _pick(draw, " at ", " (at) ", "[at]", " @ ", "(at)", " [at] "), F.replace(domain, F.lit("."), dots))
     if kind == 1:
         return 1, F.replace(m, F.lit("."), _pick(draw, "[.]", "(.)", " . ", " dot ", "[dot]", ". "))
     if kind == 2:
-        return 2, F.regexp_replace(_digits(m), F.lit("(....)(?=.)"), F.concat(F.lit("$1"), _pick(draw, ".", "/", "  ", " / ", "_", " - ", ". ")))
+        return 2, F.regexp_replace(_digits(m), _grouping(more), F.concat(F.lit("$1"), _pick(draw, ".", "/", "  ", " / ", "_", " - ", ". ")))
     plain = F.substring(m, F.lit(2), F.length(m))
     return 2, F.when(draw % 4 == 0, F.concat(F.lit("00"), plain)).when(draw % 4 == 1, plain).when(draw % 4 == 2, F.regexp_replace(plain, "[^0-9]+", ".")).otherwise(F.concat(F.lit("00 "), F.regexp_replace(plain, "[^0-9]+", "/")))
 
@@ -238,12 +246,15 @@ def broken(kind: int, m: Column, draw: Column) -> tuple[int, Column]:
     """A generator's number and a look-alike of the base match ``m`` that fails its check."""
     digits = _digits(m)
     if kind == 0:
-        return 0, F.concat(F.split(F.split(m, "@")[0], "[^A-Za-z]")[0], F.lit("x at "), F.split(F.split(m, "@")[1], r"\.")[0], F.lit("."), _pick(draw, "Then", "This", "However", "Nothing", "When", "Everything"))
+        local, domain = F.split(F.split(m, "@")[0], "[^A-Za-z]")[0], F.split(m, "@")[1]
+        sentence = F.concat(local, F.lit("x at "), F.split(domain, r"\.")[0], F.lit("."), _pick(draw, "Then", "This", "However", "Nothing", "When", "Everything", "it", "a"))
+        word = F.when(draw % 2 == 0, local).otherwise(_pick(F.floor(draw / 8), "buy", "offices", "they", "published", "and"))
+        return 0, F.when(draw % 3 == 0, sentence).otherwise(F.concat(word, F.lit(" at "), domain))
     if kind == 1:
         return 1, F.concat(F.regexp_replace(F.regexp_replace(m, "[0-9]+$", ""), r"\.", _pick(draw, ".", ". ", " . ", "[.]")), (F.pmod(draw, F.lit(700)) + 256).cast("string"))
     if kind == 2:
         other = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.pmod(F.substring(digits, -1, 1).cast("int") + 1 + draw % 9, F.lit(10)).cast("string"))
-        return 2, F.regexp_replace(other, F.lit("(....)(?=.)"), F.concat(F.lit("$1"), _pick(F.floor(draw / 16), "", "", " ", "-", ".", "/", " - ")))
+        return 2, F.regexp_replace(other, _grouping(F.floor(draw / 128)), F.concat(F.lit("$1"), _pick(F.floor(draw / 16), "", "", " ", "-", ".", "/", " - ")))
     return 2, F.when(draw % 2 == 0, F.concat_ws(_SEPARATOR, F.substring(digits, 1, 4), F.substring(digits, 5, 3))).otherwise(F.concat(digits, digits))
 
 
@@ -279,7 +290,7 @@ def seed_negatives(spark, n: int) -> DataFrame:
         F.concat_ws("-", part(1, 1950, 2030), two(2, 12), two(3, 28)), F.concat_ws("/", two(3, 28), two(2, 12), part(1, 1950, 2030)), F.concat_ws(".", two(3, 28), two(2, 12), part(1, 1950, 2030)),
         F.concat_ws(" ", part(4, 1, 900), part(5, 100, 999), part(6, 100, 999)), F.concat_ws("-", F.lit("978"), part(7, 1, 9), part(8, 10, 99), part(9, 100000, 999999), part(10, 1, 9)),
         part(11, 10**6, 10**9), F.concat(part(12, 10**6, 10**9), part(13, 10**5, 10**6)), F.concat(F.lit("7"), part(12, 10**7, 10**8), part(13, 10**6, 10**7)), F.concat(part(12, 10**8, 10**9), part(13, 10**8, 10**9)), F.concat_ws("-", part(14, 1800, 1999), part(15, 2000, 2030)),
-        F.concat_ws(" ", *[part(20 + i, 1, 99) for i in range(5)]),
+        F.concat_ws(" ", *[part(20 + i, 1, 99) for i in range(5)]), F.concat_ws("/", part(41, 10, 999), part(42, 100, 1000), part(43, 1000, 10**5)), F.concat_ws(".", part(44, 1, 999), part(45, 100, 1000), part(46, 100, 1000)),
     )
     before = _pick(draw(16), "on ", "in the year ", "about ", "order no. ", "the of that ", "and then ", "total ", "pages ", "isbn ", "")
     # A number that happens to pass the card check is no negative.

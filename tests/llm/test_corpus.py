@@ -100,9 +100,15 @@ PLANTED = [
     ("pay with visa 4111.1111.1111.1111 now", "4111.1111.1111.1111", 2), ("card 4111/1111/1111/1111", "4111/1111/1111/1111", 2), ("and 5500 / 0000 / 0000 / 0004 it was", "5500 / 0000 / 0000 / 0004", 2),
     ("tel. 0049 30 555 1234 thanks", "0049 30 555 1234", 3), ("call me on 1 743 555-3824", "1 743 555-3824", 3),
 ]
+#: Forms that no training example has: upper case, other brackets, a bracketed sign, other dashes, other groups.
+UNSEEN = [
+    ("write to anna AT mail DOT com", "anna AT mail DOT com", 0), ("mail anna<at>mail.com today", "anna<at>mail.com", 0), ("see anna.smith(@)mail.com", "anna.smith(@)mail.com", 0), ("to j.lee {at} uni {dot} edu", "j.lee {at} uni {dot} edu", 0),
+    ("server 10{.}20{.}30{.}40", "10{.}20{.}30{.}40", 1), ("host 10 DOT 20 DOT 30 DOT 40", "10 DOT 20 DOT 30 DOT 40", 1),
+    ("card 41111111/11111111", "41111111/11111111", 2), ("visa 4111\u20131111\u20131111\u20131111", "4111\u20131111\u20131111\u20131111", 2), ("pay 411111/1111111111", "411111/1111111111", 2),
+]
 CLEAN = [
     "on 2024-05-17 it was", "order no. 123456789", "we met at home.Then we left", "isbn 978-3-16-148410-0", "total 1 234 567", "version 1.2.3.999", "card 4111.1111.1111.1112", "x@y x@y", "pages 1999-2004", "between 12/05/2023 and 13/06/2024",
-    "he looked at us.However it was late", "id 7536784127813051 and 9807915762804491", "", None,
+    "he looked at us.However it was late", "he works at example.com", "it was reported at bbc.co.uk today", "find me at example.org", "look at figure.one", "we arrived at noon.It rained", "tax id 12/345/67890", "shop at store.example.net or call", "file 77/204/3311 was closed", "id 7536784127813051 and 9807915762804491", "", None,
 ]
 
 
@@ -111,12 +117,13 @@ def test_trees_find_what_the_base_rules_do_not(spark, size):
     docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text")
     found = pii.Detector.fit(docs)
     assert found.model is not None and set(found.thresholds) == {0, 1, 2, 3} and all(0.5 <= v <= 1 for v in found.thresholds.values())
-    rows = docs_of(spark, [t for t, _, _ in PLANTED] + CLEAN)
+    planted = PLANTED + UNSEEN
+    rows = docs_of(spark, [t for t, _, _ in planted] + CLEAN)
     base, spans = pii.span_names(rows)
     out = {r.doc_id: r for r in found.mark(rows).collect()}
-    hits = [any((s.kind, t[s.start : s.end]) == (kind, want) for s in out[i][spans]) for i, (t, want, kind) in enumerate(PLANTED)]
-    false = [i for i in range(len(PLANTED), len(out)) if out[i][spans]]
-    assert sum(hits) >= 0.9 * len(hits) and not false, (hits, false)
+    hits = [any((s.kind, t[s.start : s.end]) == (kind, want) for s in out[i][spans]) for i, (t, want, kind) in enumerate(planted)]
+    false = [out[i] for i in range(len(planted), len(out)) if out[i][spans]]
+    assert sum(hits[: len(PLANTED)]) >= 0.9 * len(PLANTED) and sum(hits[len(PLANTED) :]) >= 0.7 * len(UNSEEN) and not false, (hits, false)
     assert not any(r[base] for r in out.values())
     # In the documents themselves, which hold none of these forms, nearly nothing is added.
     sums = found.mark(docs).agg(F.sum(F.size(base)), F.sum(F.size(spans))).first()
