@@ -65,28 +65,45 @@ def band_summary(pixels: DataFrame, bands: Column, *keys: str) -> DataFrame:
 def chips(table: WindowTable, centres: DataFrame, size: int, band: str) -> DataFrame:
     """(query, chip): a size by size window of ``band`` around each centre (query, tile, image_row, image_col), by rows; NULL outside the image.
 
-    A chip meets the few windows that it lies on by an equality join, not each of its pixels by one.
+    Chips whose first corner lies in the same patch of windows are cut from one array of that patch and its next ones. So
+    every pixel is moved to at most four patches, however many chips it is part of.
     """
     half = size // 2
-    span = lambda at: F.sequence(F.greatest(F.floor((at - half) / table.size), F.lit(0)).cast("long"), F.floor((at + size - half - 1) / table.size).cast("long"))
-    asked = centres.select("query", "tile", F.col("image_row").alias("_row"), F.col("image_col").alias("_col"))
-    met = asked.withColumn("window_row", F.explode(span(F.col("_row")))).withColumn("window_col", F.explode(span(F.col("_col"))))
-    d_row, d_col = F.col("image_row") - F.col("_row") + half, F.col("image_col") - F.col("_col") + half
-    found = met.join(table.rows().select("tile", "window_row", "window_col", "image_row", "image_col", F.col(band).alias("_v")), ["tile", "window_row", "window_col"])
-    found = found.select("query", d_row.alias("r"), d_col.alias("c"), "_v").filter(F.col("r").between(0, size - 1) & F.col("c").between(0, size - 1))
-    place = (F.col("r") * size + F.col("c")).cast("int")
-    values = found.groupBy("query").agg(F.collect_list(F.struct(place.alias("k"), F.col("_v").cast("double").alias("v"))).alias("held"))
-    whole = asked.select("query").join(values, "query", "left").select("query", F.transform("held", lambda x: x["k"]).alias("k"), F.transform("held", lambda x: x["v"]).alias("v"))
-    cells = size * size
-
-    def lay_out(batches):
-        for b in (b.slice(s, 200) for b in batches for s in range(0, b.num_rows, 200)):
-            sizes = np.asarray(b.column(1).value_lengths().fill_null(0))
-            at = np.repeat(np.arange(b.num_rows) * cells, sizes) + np.asarray(b.column(1).flatten())
-            held = b.column(2).flatten()
-            out, missing = np.zeros(b.num_rows * cells), np.ones(b.num_rows * cells, bool)
-            out[at] = np.asarray(held.fill_null(0.0))
-            missing[at] = np.asarray(held.is_null())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * cells, pa.int32()), pa.array(out, mask=missing))], names=["query", "chip"])
-
-    return whole.mapInArrow(lay_out, T.StructType([centres.schema["query"], T.StructField("chip", T.ArrayType(T.DoubleType()))]))
+    step = -(-size // table.size)
+    side = step * table.size
+    patch = ["tile", "patch_row", "patch_col"]
+    corner = lambda c: (F.col(c) - half).cast("long")
+    of = lambda at, n: F.floor(at / n).cast("long")
+    asked = centres.select("query", "tile", corner("image_row").alias("_row"), corner("image_col").alias("_col")).withColumns({"patch_row": of(F.col("_row"), side), "patch_col": of(F.col("_col"), side)})
+    asked = asked.groupBy(*patch).agg(F.collect_list(F.struct("query", (F.col("_row") - F.col("patch_row") * side).cast("int").alias("r"), (F.col("_col") - F.col("patch_col") * side).cast("int").alias("c"))).alias("asked"))
+
+    place = ((F.col("image_row") % table.size) * table.size + F.col("image_col") % table.size).cast("int")
+    pixels = table.rows().select("tile", "window_row", "window_col", F.struct(place.alias("k"), F.col(band).cast("double").alias("v")).alias("p")).filter("p.v is not null")
+    packed = pixels.groupBy("tile", "window_row", "window_col").agg(F.collect_list("p").alias("p"))
+    both = lambda w: F.explode(F.array(of(F.col(w), step), of(F.col(w), step) - 1))
+    spread = packed.withColumn("patch_row", both("window_row")).withColumn("patch_col", both("window_col"))
+    window = F.struct((F.col("window_row") - F.col("patch_row") * step).cast("int").alias("row"), (F.col("window_col") - F.col("patch_col") * step).cast("int").alias("col"), F.transform("p", lambda x: x["k"]).alias("k"), F.transform("p", lambda x: x["v"]).alias("v"))
+    held = spread.join(asked.select(*patch), patch, "left_semi").groupBy(*patch).agg(F.collect_list(window).alias("windows"))
+    met = asked.join(held, patch, "left").select("asked", "windows")
+
+    def cut(batches):
+        for b in (b.slice(s, 1) for b in batches for s in range(b.num_rows)):
+            grid, known = np.zeros((2 * side, 2 * side)), np.zeros((2 * side, 2 * side), bool)
+            windows, centres = b.column(1).flatten(), b.column(0).flatten()
+            w_row, w_col, k, v = windows.flatten() if len(windows) else [pa.array([], pa.int32())] * 4
+            if len(windows):
+                of = np.repeat(np.arange(len(windows)), np.asarray(k.value_lengths()))
+                at = np.asarray(k.flatten())
+                row, col = np.asarray(w_row)[of] * table_size + at // table_size, np.asarray(w_col)[of] * table_size + at % table_size
+                grid[row, col], known[row, col] = np.asarray(v.flatten()), True
+            query, r, c = centres.flatten()
+            r, c = np.asarray(r), np.asarray(c)
+            values, there = (np.lib.stride_tricks.sliding_window_view(g, (size, size)) for g in (grid, known))
+            for s in range(0, len(r), 64):
+                some = slice(s, s + 64)
+                out, mask = values[r[some], c[some]].ravel(), ~there[r[some], c[some]].ravel()
+                ends = np.arange(len(r[some]) + 1) * (size * size)
+                yield pa.RecordBatch.from_arrays([query[some], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, mask=mask))], names=["query", "chip"])
+
+    table_size = table.size
+    return met.mapInArrow(cut, T.StructType([centres.schema["query"], T.StructField("chip", T.ArrayType(T.DoubleType()))]))

@@ -278,6 +278,22 @@ def test_chips_are_padded(spark, tmp_path):
     assert out == {1: want(0, 8), 2: want(4, 4), 3: [None] * 16}
 
 
+def test_chips_move_pixels_not_chips(spark, tmp_path):
+    """Every pixel is a centre: what is shuffled grows with the pixels, not with the pixels of all chips; and chips larger than a window overlap several."""
+    px = spark.createDataFrame([("a", r, c, None if r == c else float(100 * r + c)) for r in range(23) for c in range(17)], "tile string, image_row long, image_col long, v double")
+    table = tiles.write_windows(px, f"{tmp_path}/w", 4)
+    centres = px.select((F.col("image_row") * 100 + F.col("image_col")).alias("query"), "tile", "image_row", "image_col")
+    plan = tiles.chips(table, centres, 10, "v")
+    out = {r.query: r.chip for r in plan.collect()}
+    assert len(out) == 23 * 17
+    for q, chip in out.items():
+        at = [(r, c) for r in range(q // 100 - 5, q // 100 + 5) for c in range(q % 100 - 5, q % 100 + 5)]
+        assert chip == [float(100 * r + c) if 0 <= r < 23 and 0 <= c < 17 and r != c else None for r, c in at]
+    # No step before the chips are cut has a row for each pixel of each chip.
+    cells = plan._jdf.queryExecution().executedPlan().toString()
+    assert "image_row" in cells and not re.search(r"Join[^\n]*image_row|Exchange[^\n]*query#\d+L?[,)]", cells)
+
+
 def test_patience_and_truncated_trees(spark):
     assert o.best_iteration([5, 4, 4.5, 4.4, 3, 9], patience=2) == 2 and o.best_iteration([5, 4, 4.5, 4.4, 3, 9], patience=3) == 5 and o.best_iteration([1.0]) == 1
     r = np.random.default_rng(9)
