@@ -2,40 +2,93 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions.stats import hash01, p_value, safe_r
 from gridloom.functions.vectors import dot, unit
 from gridloom.operators.sampling import ranks_within
 from gridloom.sources.scratch import durable
 
+#: The box of a tile, and the box of all that its places can reach.
+_BOX = ["x_lo", "x_hi", "y_lo", "y_hi", "from_x", "to_x", "from_y", "to_y"]
+
+
+def _tiles(places: DataFrame, group: list[str], cell: int) -> DataFrame:
+    """Places with ``strip`` and ``tile``: strips along x, each cut along y, so that a tile is compact and has about ``cell`` places however these lie."""
+    in_strips = ranks_within(places, group, ["x", "y"], "_r", "_n")
+    in_strips = in_strips.withColumn("strip", F.floor((F.col("_r") - 1) * F.ceil(F.sqrt(F.col("_n") / cell)) / F.col("_n"))).drop("_r", "_n")
+    in_tiles = ranks_within(in_strips, [*group, "strip"], ["y", "x"], "_r", "_n")
+    return in_tiles.withColumn("tile", F.floor((F.col("_r") - 1) * F.greatest(F.round(F.col("_n") / cell), F.lit(1)) / F.col("_n"))).drop("_r", "_n")
+
+
+def _doubles(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten())
+
+
+def _gaps(x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    dx, dy = x[:, None] - x2, y[:, None] - y2
+    return np.sqrt(dx * dx + dy * dy)
+
+
+def _kth(d: np.ndarray, k: int) -> np.ndarray:
+    return np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(d), np.inf)
+
 
 def spatial_knn(points: DataFrame, group: list[str], key: str, k: int = 8, x: str = "x_km", y: str = "y_km", cell: int = 512) -> DataFrame:
-    """(group, i, j, distance, rank): the k nearest other points of the same group on a plane.
+    """(group, i, j, distance, rank): the k nearest other points of the same group on a plane, ties by j.
 
-    Points of a group are sorted along x into strips of about ``cell`` points, and each strip
-    meets only strips that can hold a nearer point than the k-th of its own: first its
-    neighbours bound the distance, then every strip within that distance is joined.
+    Points at one place share their neighbours: a place keeps its k + 1 least keys. Places lie in compact tiles of about
+    ``cell``. Within a tile each place finds how far its k + 1 nearest can be; a tile then meets, two packs at a time, only the tiles
+    whose box is within that reach, and hands on only what is within it. Points without a place have no neighbours.
     """
+    want = k + 1
+    cell = max(cell, 2 * want)
     keys = [F.col(g) for g in group]
-    p = points.select(*keys, F.col(key).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"))
-    p = ranks_within(p, group, ["x", "i"], "_r", "_n")
-    p = durable(p.withColumn("strip", F.floor((F.col("_r") - 1) / cell)).withColumn("strips", F.ceil(F.col("_n") / cell)).drop("_r", "_n"))
-    span = p.groupBy(*group, "strip").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    q = p.drop("strips").withColumnsRenamed({"i": "j", "x": "x2", "y": "y2"})
-    gap = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
-
-    def nearest(near: DataFrame) -> DataFrame:
-        met = near.join(q.withColumnRenamed("strip", "near"), [*group, "near"]).filter("i <> j").withColumn("distance", gap)
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "i").orderBy("distance", "j")))
-        return ranked.filter(F.col("rank") <= k)
-
-    own = p.withColumn("near", F.explode(F.sequence(F.greatest(F.col("strip") - 1, F.lit(0)), F.least(F.col("strip") + 1, F.col("strips") - 1)))).drop("strip", "strips")
-    bound = nearest(own).groupBy(*group, "i").agg(F.max("distance").alias("reach"), F.count("*").alias("n"))
-    wide = p.join(bound, [*group, "i"], "left").withColumn("reach", F.when(F.col("n") >= k, F.col("reach")).otherwise(F.lit(float("inf")))).drop("strip", "strips", "n")
-    near = wide.join(span.withColumnRenamed("strip", "near"), group).filter((F.col("lo") <= F.col("x") + F.col("reach")) & (F.col("hi") >= F.col("x") - F.col("reach"))).drop("lo", "hi", "reach")
-    return nearest(near).select(*group, "i", "j", "distance", "rank")
+    p = durable(points.select(*keys, F.col(key).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null"))
+    least = p.withColumn("_o", F.row_number().over(Window.partitionBy(*group, "x", "y").orderBy("i"))).filter(F.col("_o") <= want)
+    places = durable(least.groupBy(*group, "x", "y").agg(F.sort_array(F.collect_list("i")).alias("ids")).withColumn("at", F.col("ids")[0]))
+    packed = _tiles(places, group, cell).groupBy(*group, "strip", "tile").agg(F.collect_list(F.struct("at", "x", "y", "ids")).alias("p"))
+    packed = packed.select(*group, "strip", "tile", "p.at", "p.x", "p.y", "p.ids")
+    n = len(group)
+
+    def bound(batches):
+        for b in (b.slice(s, 1) for b in batches for s in range(b.num_rows)):
+            px, py = _doubles(b.column(n + 3)), _doubles(b.column(n + 4))
+            of = np.repeat(np.arange(len(px)), np.asarray(b.column(n + 5).flatten().value_lengths()))
+            reach = _kth(_gaps(px, py, px[of], py[of]), want)
+            far = reach * (1 + 1e-9)
+            box = [px.min(), px.max(), py.min(), py.max(), (px - far).min(), (px + far).max(), (py - far).min(), (py + far).max()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array([0, len(px)], pa.int32()), pa.array(reach)), *(pa.array([v], pa.float64()) for v in box)], names=[*b.schema.names, "reach", *_BOX])
+
+    packs = durable(packed.mapInArrow(bound, T.StructType([*packed.schema.fields, T.StructField("reach", T.ArrayType(T.DoubleType())), *(T.StructField(c, T.DoubleType()) for c in _BOX)])))
+    # A group has about as many strips as a strip has tiles: their ranges are few, and tiles meet strips first.
+    boxes = packs.select(*group, "strip", "tile", *_BOX[:4])
+    strips = boxes.groupBy(*group, "strip").agg(F.min("x_lo").alias("s_lo"), F.max("x_hi").alias("s_hi"))
+    visits = packs.select(*group, F.col("strip").alias("_strip"), F.col("tile").alias("_tile"), *_BOX[4:]).join(strips, group).filter("s_lo <= to_x and s_hi >= from_x")
+    visits = visits.join(boxes, [*group, "strip"]).filter("x_lo <= to_x and x_hi >= from_x and y_lo <= to_y and y_hi >= from_y").select(*group, "_strip", "_tile", "strip", "tile")
+    asking = packs.select(*group, F.col("strip").alias("_strip"), F.col("tile").alias("_tile"), "at", F.col("x").alias("ax"), F.col("y").alias("ay"), "reach")
+    met = visits.join(packs.select(*group, "strip", "tile", "x", "y", "ids").hint("merge"), [*group, "strip", "tile"]).join(asking.hint("merge"), [*group, "_strip", "_tile"]).select(*group, "at", "ax", "ay", "reach", "x", "y", "ids")
+
+    def meet(batches):
+        for b in (b.slice(s, 1) for b in batches for s in range(b.num_rows)):
+            at, held = b.column(n).flatten(), b.column(n + 6).flatten()
+            of = np.repeat(np.arange(len(held)), np.asarray(held.value_lengths()))
+            d = _gaps(*map(_doubles, b.columns[n + 1 : n + 3]), _doubles(b.column(n + 4))[of], _doubles(b.column(n + 5))[of])
+            row, col = np.nonzero(d <= np.minimum(_doubles(b.column(n + 3)), _kth(d, want))[:, None])
+            same = pa.array(np.zeros(len(row), np.int32))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(same) for i in range(n)), at.take(pa.array(row)), held.flatten().take(pa.array(col)), pa.array(d[row, col])], names=[*group, "at", "j", "distance"])
+
+    fields = [p.schema[g] for g in group]
+    found = met.mapInArrow(meet, T.StructType([*fields, T.StructField("at", p.schema["i"].dataType), T.StructField("j", p.schema["i"].dataType), T.StructField("distance", T.DoubleType())]))
+    near = found.withColumn("_o", F.row_number().over(Window.partitionBy(*group, "at").orderBy("distance", "j"))).filter(F.col("_o") <= want)
+    near = near.groupBy(*group, "at").agg(F.sort_array(F.collect_list(F.struct("distance", "j"))).alias("near"))
+    own = p.join(places.select(*group, "x", "y", "at"), [*group, "x", "y"]).join(near, [*group, "at"])
+    others = F.slice(F.filter("near", lambda v: v["j"] != F.col("i")), 1, k)
+    return own.select(*group, "i", F.posexplode(others).alias("rank", "v")).select(*group, "i", "v.j", "v.distance", (F.col("rank") + 1).alias("rank"))
 
 
 def inverse_distance_weights(edges: DataFrame, group: list[str], floor: float = 1e-9) -> DataFrame:

@@ -98,6 +98,31 @@ def test_spatial_knn_over_strips(spark):
         assert [got[i, k] for k in (1, 2, 3)] == pytest.approx(d[:3])
 
 
+def test_spatial_knn_in_tiles(spark):
+    """Many points at one place, lone points, a small group: neighbours as by brute force, and ties by key."""
+    r = np.random.default_rng(8)
+    xy = np.concatenate([np.repeat(r.normal(size=(3, 2)), 70, 0), r.normal(size=(160, 2)).round(1), [[40.0, 40.0], [-60.0, 3.0]]])
+    group = ["b" if i % 90 == 5 else "a" for i in range(len(xy))]
+    df = spark.createDataFrame([(group[i], i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "g string, id long, x_km double, y_km double").repartition(5)
+    got = {(row.i, row["rank"]): (row.j, row.distance) for row in s.spatial_knn(df, ["g"], "id", 4, cell=12).collect()}
+    d = np.sqrt((xy[:, 0][:, None] - xy[:, 0]) ** 2 + (xy[:, 1][:, None] - xy[:, 1]) ** 2)
+    want = {}
+    for i in range(len(xy)):
+        others = sorted((d[i, j], j) for j in range(len(xy)) if j != i and group[j] == group[i])[:4]
+        want |= {(i, n): (j, e) for n, (e, j) in enumerate(others, 1)}
+    assert got == want
+
+
+def test_spatial_pairs_do_not_grow_with_the_square(spark):
+    """Rows that any step hands on stay a small multiple of the points."""
+    df = spark.range(4000).select(F.lit("a").alias("g"), "id", hash01("id", seed=1).alias("x_km"), hash01("id", seed=2).alias("y_km"))
+    plan = s.spatial_knn(df, ["g"], "id", 3, cell=40)
+    assert plan.count() == 12000
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text and "Window [row_number() windowspecdefinition(g" in text and "(x - x2)" not in text
+    assert "Window" not in p.local_km(df.withColumnsRenamed({"x_km": "longitude", "y_km": "latitude"}), ["g"])._jdf.queryExecution().toString()
+
+
 def test_morans_i_of_a_line(spark):
     df = spark.createDataFrame([("a", i, float(i), 0.0, float(i)) for i in range(6)] + [("b", 10, 0.0, 0.0, 1.0)], "g string, id long, x_km double, y_km double, v double")
     edges = s.spatial_knn(df, ["g"], "id", 2)
