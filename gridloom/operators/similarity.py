@@ -129,6 +129,7 @@ def permuted(rows: DataFrame, group: list[str], key: str, value: str, permutatio
 
 def morans_p(points: DataFrame, weights: DataFrame, group: list[str], key: str, value: str, permutations: int = 499, seed: int = 42) -> DataFrame:
     """Moran's I and its two-sided permutation p-value. Each point carries its values under all permutations, so the edges are joined once."""
+    weights = durable(weights)
     observed = morans_i(points, weights, group, key, value)
     z = centred(points, group, key, value)
     arrays = durable(permuted(z, group, "i", "z", permutations, seed))
