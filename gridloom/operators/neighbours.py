@@ -13,6 +13,7 @@ rows lie in a cell that every query visits, and such queries visit all cells.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ from gridloom.operators.sampling import draw_exactly
 from gridloom.sources.scratch import durable
 
 BLOCK, PACK, MOST_PIVOTS = 1000, 128, 1024
+#: Rows placed at once, and cells whose packs are handed on at once: a task's arrays don't grow with the pivots.
+PLACED, HANDED = 1000, 32
 _ZERO = -1
 
 
@@ -63,42 +66,55 @@ def _rows(df: DataFrame, key: str, vector: str, metric: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter("v is not null")
 
 
+def place(batch: pa.RecordBatch, cells: Cells) -> Iterator[pa.RecordBatch]:
+    """The batch with each row's cell and its distance to the pivot."""
+    for b in (batch.slice(s, PLACED) for s in range(0, batch.num_rows, PLACED)):
+        d = cells.distances(_vectors(b.column(1)))
+        cell = d.argmin(1)
+        gap = d[np.arange(len(cell)), cell]
+        if cells.cosine:
+            cell = np.where(_vectors(b.column(1)).any(1), cell, _ZERO)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(gap)], names=["id", "v", "cell", "gap"])
+
+
 def _placed(rows: DataFrame, cells: Cells) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches):
-        cells = held.value
         for b in batches:
-            d = cells.distances(_vectors(b.column(1)))
-            cell = d.argmin(1)
-            gap = d[np.arange(len(cell)), cell]
-            if cells.cosine:
-                cell = np.where(_vectors(b.column(1)).any(1), cell, _ZERO)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(gap)], names=["id", "v", "cell", "gap"])
+            yield from place(b, held.value)
 
     return rows.mapInArrow(run, "id long, v array<double>, cell int, gap double")
 
 
+def packs_by_cell(batch: pa.RecordBatch, cells: Cells, first: bool) -> Iterator[pa.RecordBatch]:
+    """(cell, ids, vectors) of a batch of queries, for a bounded number of cells at a time."""
+    for b in (batch.slice(s, PACK) for s in range(0, batch.num_rows, PACK)):
+        own, may = cells.visited(_vectors(b.column(1)), np.asarray(b.column(2)))
+        if first:
+            row, cell = np.arange(len(own)), own
+            if cells.zero:
+                row, cell = np.tile(row, 2), np.concatenate([cell, np.full(len(own), _ZERO)])
+        else:
+            row, cell = np.nonzero(may)
+        order = np.argsort(cell, kind="stable")
+        row, cell = row[order], cell[order]
+        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, int)
+        ends = np.append(begin, len(row))
+        for s in range(0, len(begin), HANDED):
+            some = ends[s : s + HANDED + 1]
+            taken = b.take(pa.array(row[some[0] : some[-1]], pa.int64()))
+            at = pa.array(some - some[0], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(cell[some[:-1]], pa.int32()), *(pa.ListArray.from_arrays(at, taken.column(i)) for i in (0, 1))], names=["cell", "ids", "vectors"])
+
+
 def plan_visits(queries: DataFrame, cells: Cells, first: bool) -> DataFrame:
     """(cell, ids, vectors): packs of the queries (id, v, reach) that visit a cell, their own one first, then all others within reach."""
     held = queries.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches):
-        cells = held.value
-        for b in (b.slice(s, PACK) for b in batches for s in range(0, b.num_rows, PACK)):
-            own, may = cells.visited(_vectors(b.column(1)), np.asarray(b.column(2)))
-            if first:
-                row, cell = np.arange(len(own)), own
-                if cells.zero:
-                    row, cell = np.tile(row, 2), np.concatenate([cell, np.full(len(own), _ZERO)])
-            else:
-                row, cell = np.nonzero(may)
-            order = np.argsort(cell, kind="stable")
-            row, cell = row[order], cell[order]
-            begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, int)
-            ends = pa.array(np.append(begin, len(row)), pa.int32())
-            taken = b.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cell[begin], pa.int32()), *(pa.ListArray.from_arrays(ends, taken.column(i)) for i in (0, 1))], names=["cell", "ids", "vectors"])
+        for b in batches:
+            yield from packs_by_cell(b, held.value, first)
 
     return queries.select("id", "v", "reach").mapInArrow(run, "cell int, ids array<long>, vectors array<array<double>>")
 

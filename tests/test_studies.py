@@ -2,8 +2,10 @@
 
 import math
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +197,23 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, metric):
     assert neighbours.knn(df.limit(0), "id", "v", 3).count() == 0
 
 
+def test_arrays_do_not_grow_with_the_pivots():
+    """A batch is placed and dealt to cells in pieces, whose size the number of pivots does not change, and no visit is lost."""
+    r = np.random.default_rng(3)
+    v = r.normal(size=(3000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.ListArray.from_arrays(pa.array(np.arange(3001) * 8, pa.int32()), pa.array(v.ravel())), pa.array(np.full(3000, np.inf))], names=["id", "v", "reach"])
+    cells = neighbours.Cells(v[:1000], np.zeros(1000), np.full(1000, 10.0), False)
+    tracemalloc.start()
+    placed = [b.num_rows for b in neighbours.place(batch.select([0, 1]), cells)]
+    met = 0
+    for b in neighbours.packs_by_cell(batch.slice(0, 300), cells, False):
+        met += len(b.column(1).flatten())
+        assert len(b.column(1).flatten()) <= neighbours.PACK * neighbours.HANDED
+    assert tracemalloc.get_traced_memory()[1] < 5 * 8 * 1000 * neighbours.PLACED
+    tracemalloc.stop()
+    assert sum(placed) == 3000 and met == 300 * 999
+
+
 def test_cells_are_skipped(spark):
     r = np.random.default_rng(6)
     v = np.repeat(r.normal(size=(20, 6)) * 20, 60, 0) + r.normal(size=(1200, 6))
