@@ -326,3 +326,25 @@ def test_patience_and_truncated_trees(spark):
     one, two = ([row.hat for row in f.transform(held).orderBy("a").collect()] for f in (model, again))
     assert one == pytest.approx(two)
     assert np.mean((np.array(one) - [row.y for row in held.orderBy("a").collect()]) ** 2) == pytest.approx(errors[model.getNumTrees - 1])
+
+
+def with_partitions(spark, n, run):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        return run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_parts_come_from_the_values_and_not_from_the_setting(spark):
+    df = spark.range(1000).repartition(7)
+    assert o.in_parts(df, ["id"], 1000, 64).rdd.getNumPartitions() == 1
+    assert o.in_parts(df, ["id"], 100_000, 64).rdd.getNumPartitions() == -(-6_400_000 // o.PART_VALUES)
+
+
+def test_random_search_does_not_depend_on_the_shuffle_setting(spark, sf, monkeypatch):
+    monkeypatch.setattr(modelling, "SPACE", {"maxDepth": [2], "maxIter": [2], "subsamplingRate": [0.7], "minInstancesPerNode": [1]})
+    run = lambda: [tuple(r) for r in modelling.m7_random_search(spark, sf).collect()]
+    first, second = with_partitions(spark, 3, run), with_partitions(spark, 9, run)
+    assert first == second and len(first) == 4
