@@ -348,3 +348,18 @@ def test_random_search_does_not_depend_on_the_shuffle_setting(spark, sf, monkeyp
     run = lambda: [tuple(r) for r in modelling.m7_random_search(spark, sf).collect()]
     first, second = with_partitions(spark, 3, run), with_partitions(spark, 9, run)
     assert first == second and len(first) == 4
+
+
+def test_reconstruction_reads_the_scene_once_and_moves_no_pixel(spark, sf):
+    px = p.feature_vector(spark.createDataFrame([(i, float(i), None if i == 3 else float(i)) for i in range(20)], "id long, a double, y double"), ["a"])
+    model = o.fit_multi(px, ["y"], maxIter=1, maxDepth=1, minInstancesPerNode=1)
+    out = o.reconstruct(px, F.col("id") < 5, model, ["y"])
+    assert not re.search("Exchange|Join", out._jdf.queryExecution().executedPlan().toString())
+    assert {r.id for r in out.collect() if r.is_train} == set(range(5)) and [r.id for r in out.filter("y_filled is null").collect()] == [3]
+    with pytest.raises(ValueError, match="2 valid pixels"):
+        p.require_none_missing(spark.createDataFrame([(True, 2), (False, 0)], "is_gap boolean, missing long"))
+    run = lambda: {r.is_gap: r for r in modelling.m3_reconstruction(spark, sf).collect()}
+    first, second = with_partitions(spark, 3, run), with_partitions(spark, 9, run)
+    drawn = modelling.tables.pixels(spark, sf).filter("S1_VV is not null")
+    assert first[False].n == x.bernoulli(drawn, ["tile", "image_row", "image_col"], 0.1, 42).count() and first[False].n + first[True].n == drawn.count()
+    assert first[True].r2 == pytest.approx(second[True].r2) and first[True].n == second[True].n
