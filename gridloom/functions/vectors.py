@@ -15,9 +15,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector divided by its length; a zero vector stays zero."""
-    size = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(1.0))
+    """The vector divided by its length; a zero vector stays zero. The outer fold binds the length, which would else be taken anew for every component."""
+    return F.transform(F.array(norm(a)), lambda size: F.transform(a, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(1.0)))[0]
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

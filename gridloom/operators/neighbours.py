@@ -63,7 +63,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def _rows(df: DataFrame, key: str, vector: str, metric: str) -> DataFrame:
     v = unit(F.col(vector)) if metric == "cosine" else F.transform(vector, lambda x: x.cast("double"))
-    return df.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter("v is not null")
+    return df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
 def place(batch: pa.RecordBatch, cells: Cells) -> Iterator[pa.RecordBatch]:

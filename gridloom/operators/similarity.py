@@ -143,8 +143,9 @@ def morans_p(points: DataFrame, weights: DataFrame, group: list[str], key: str,
 
 
 def neighbour_overlap(a: DataFrame, b: DataFrame, ks: list[int]) -> DataFrame:
-    """(query, k, overlap): share of common neighbours in two edge lists."""
-    both = a.select("query", "neighbour", F.col("rank").alias("r1")).join(b.select("query", "neighbour", F.col("rank").alias("r2")), ["query", "neighbour"]).withColumn("worst", F.greatest("r1", "r2"))
+    """(query, k, overlap): share of common neighbours in two edge lists, each of which is made once."""
+    a, b = (durable(x.select("query", "neighbour", "rank")) for x in (a, b))
+    both = a.withColumnRenamed("rank", "r1").join(b.withColumnRenamed("rank", "r2"), ["query", "neighbour"]).withColumn("worst", F.greatest("r1", "r2"))
     queries = a.select("query").union(b.select("query")).distinct().withColumn("k", F.explode(F.array(*map(F.lit, ks))))
     common = both.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).filter("worst <= k").groupBy("query", "k").agg(F.count("*").alias("n"))
     return queries.join(common, ["query", "k"], "left").select("query", "k", (F.coalesce("n", F.lit(0)) / F.col("k")).alias("overlap"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import p_value
+from gridloom.functions.vectors import unit
 from gridloom.operators import gramian as gr
 from gridloom.operators import metrics as m
 from gridloom.operators import models as o
@@ -363,3 +364,23 @@ def test_reconstruction_reads_the_scene_once_and_moves_no_pixel(spark, sf):
     drawn = modelling.tables.pixels(spark, sf).filter("S1_VV is not null")
     assert first[False].n == x.bernoulli(drawn, ["tile", "image_row", "image_col"], 0.1, 42).count() and first[False].n + first[True].n == drawn.count()
     assert first[True].r2 == pytest.approx(second[True].r2) and first[True].n == second[True].n
+
+
+def test_a_vectors_length_is_taken_once_for_a_row(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None])], "id int, v array<float>")
+    out = df.select("id", unit(F.col("v")).alias("u"))
+    assert {r.id: r.u for r in out.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [1.0, None]}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
+def test_overlap_makes_each_edge_list_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def edges(batches):
+        made.add(1)
+        yield from batches
+
+    a = spark.range(4).selectExpr("0L AS query", "id AS neighbour", "cast(id + 1 AS int) AS rank").coalesce(1).mapInPandas(edges, "query long, neighbour long, rank int")
+    out = s.neighbour_overlap(a, spark.createDataFrame([(0, 1, 1), (0, 9, 2)], "query long, neighbour long, rank int"), [1, 2]).collect()
+    assert {r.k: r.overlap for r in out} == {1: 0.0, 2: 0.5} and made.value == 1
