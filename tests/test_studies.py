@@ -384,3 +384,8 @@ def test_overlap_makes_each_edge_list_once(spark):
     a = spark.range(4).selectExpr("0L AS query", "id AS neighbour", "cast(id + 1 AS int) AS rank").coalesce(1).mapInPandas(edges, "query long, neighbour long, rank int")
     out = s.neighbour_overlap(a, spark.createDataFrame([(0, 1, 1), (0, 9, 2)], "query long, neighbour long, rank int"), [1, 2]).collect()
     assert {r.k: r.overlap for r in out} == {1: 0.0, 2: 0.5} and made.value == 1
+
+
+def test_split_samples_are_cut_by_their_values(spark, sf):
+    data = with_partitions(spark, 9, lambda: modelling.split_samples(spark, sf))
+    assert data.rdd.getNumPartitions() == 1 and data.count() == modelling.tables.samples(spark, sf).count()
