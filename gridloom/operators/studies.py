@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.stats import hash01, regression_metrics
@@ -32,6 +32,21 @@ def _columns(sets: dict[str, list[str]], targets: list[str]) -> tuple[list[str],
     return [*features, *targets], {k: [at[c] for c in s] for k, s in sets.items()}, {t: at[t] for t in targets}
 
 
+def ridge_by_set(df: DataFrame, sets: dict[str, list[str]], targets: list[str], alpha: float = 1.0) -> dict[tuple[str, str], list[float]]:
+    """(set, target) -> intercept and weights of the set's features, all models from one pass over the rows."""
+    columns, features, target = _columns(sets, targets)
+    (sums,) = gram_matrices(df.withColumn("_part", F.lit("all")), columns, ["_part"])
+    if not sums:
+        raise ValueError("no row has all features and targets")
+    fits = {(name, t): (x, ridge_weights(sums["all"], x, y, alpha)) for name, x in features.items() for t, y in target.items()}
+    return {k: [float(v) for v in w[[0, *x]]] for k, (x, w) in fits.items()}
+
+
+def linear(x: Column, weights: list[float]) -> Column:
+    """The prediction from an array of features and (intercept, weights)."""
+    return F.lit(weights[0]) + dot(x, F.array(*map(F.lit, weights[1:])))
+
+
 def learning_curve(df: DataFrame, key: str, strata: list[str], sets: dict[str, list[str]], targets: list[str], fractions: list[float], seeds: list[int], *, share: float = 0.3, split_seed: int = 42, alpha: float = 1.0) -> DataFrame:
     """Ridge on rising fractions of each stratum's training rows, scored on these rows and on a stratified holdout.
 

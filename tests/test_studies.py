@@ -389,3 +389,58 @@ def test_overlap_makes_each_edge_list_once(spark):
 def test_split_samples_are_cut_by_their_values(spark, sf):
     data = with_partitions(spark, 9, lambda: modelling.split_samples(spark, sf))
     assert data.rdd.getNumPartitions() == 1 and data.count() == modelling.tables.samples(spark, sf).count()
+
+
+def test_split_moves_rows_with_the_embedding_alone(spark, sf):
+    plan = modelling.split_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RepartitionByExpression", 1)
+    assert "AS A00" in above and "A00" not in below and "embedding" in below
+    data = modelling.split_samples(spark, sf)
+    assert "features" in data.columns and not {"embedding", "A00", "A63"} & set(data.columns)
+
+
+def test_ridge_by_set_equals_ridge_one_by_one(spark, table):
+    df = table[0].dropna(subset=["a", "b", "c", "y"]).withColumn("z", F.exp(F.col("a") / 5))
+    sets = {"few": ["a"], "all": ["a", "b", "c"]}
+    found = studies.ridge_by_set(df, sets, ["y", "z"])
+    for (name, target), w in found.items():
+        model = o.ridge(p.feature_vector(df, sets[name]), target, "hat")
+        assert w == pytest.approx([model.intercept, *model.coefficients]) and len(w) == len(sets[name]) + 1
+        ready = p.feature_array(df, sets[name], "x").withColumn("features", p.array_to_vector("x"))
+        out = model.transform(ready.withColumn("own", studies.linear(F.col("x"), w))).select("own", "hat").collect()
+        assert [r.own for r in out] == pytest.approx([r.hat for r in out])
+    assert len(found) == 4
+    with pytest.raises(ValueError, match="no row"):
+        studies.ridge_by_set(df.limit(0), sets, ["y"])
+
+
+def test_sets_are_fitted_as_if_alone(spark):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(*map(float, v), float(v[0] * v[1])) for v in r.normal(size=(120, 3))], "a double, b double, c double, y double").coalesce(1)
+    df = p.feature_vector(p.feature_vector(df, ["a"], "few"), ["a", "b", "c"], "all").cache()
+    options = {"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 2}
+    found = o.fit_sets(df, ["few", "all"], "y", **options)
+    for name in ("few", "all"):
+        alone = o.boosted_trees("y", f"{name}_hat", features=name, **options).fit(df)
+        assert list(found) == ["few", "all"] and found[name].toDebugString.split("\n")[1:] == alone.toDebugString.split("\n")[1:]
+
+
+def test_difference_and_ratio_study_keeps_one_frame_of_whole_rows(spark, sf, tmp_path, monkeypatch):
+    # Rows without a vector, or with a value missing in the part that only the context reads, count in neither set.
+    source = spark.read.parquet(f"{sf}/embeddings.parquet")
+    hole = F.transform("embedding", lambda v, i: F.when((F.col("vec_id") % 50 == 9) & (i == 19), F.lit(float("nan")).cast("float")).otherwise(v))
+    source.withColumn("embedding", F.when(F.col("vec_id") % 50 != 7, hole)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    kept, cache = [], type(source).cache
+    monkeypatch.setattr(type(source), "cache", lambda df: kept.append(df.columns) or cache(df))
+    out = {(r.feature_set, r.band): r for r in with_partitions(spark, 9, lambda: modelling.m17_m18_difference_and_ratio_study(spark, str(tmp_path)).collect())}
+    assert kept == [["split", "x", *modelling.tables.TARGETS, "ratio", "log_ratio"]]
+    rows = p.one_hot(modelling.split_rows(spark, str(tmp_path)), "region", list(modelling.tables.REGIONS))
+    for name, columns in modelling.SETS.items():
+        data = p.feature_vector(rows, columns)
+        assert data.count() == source.filter("vec_id % 50 not in (7, 9)").count()
+        model = o.ridge(data.filter("split = 'train'"), "S1_VV_div_VH", "hat")
+        plain = m.metrics_by(model.transform(data.filter("split = 'test'")), actual="S1_VV_div_VH", predicted="hat").first()
+        got = out[name, "difference_ridge"]
+        assert (got.n, got.rmse, got.mae, got.r2) == (plain.n, pytest.approx(plain.rmse), pytest.approx(plain.mae), pytest.approx(plain.r2))
+        assert {b for s, b in out if s == name} == {"difference_ridge", "difference_trees", "difference_structural", "ratio_ridge", "ratio_log_ridge", "ratio_structural"}
+        assert len({r.n for (s, _), r in out.items() if s == name}) == 1
