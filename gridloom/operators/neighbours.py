@@ -7,6 +7,12 @@ range, and, as cells end half-way between pivots, only if that distance is less
 pivot. The second round meets the cells that are left, so results are exact. Cells go in blocks, queries in packs,
 both of bounded size, that meet by an equality join; what is broadcast is the pivots, 1024 at most.
 
+Where vectors fill their space the ranges rule out next to nothing. If queries would visit more than a tenth of all cells, the
+second round is a sweep: queries are dealt to parts of bounded size, every block passes every part once, and a part keeps the nearest rows of its
+queries so far. All pairs are compared then, by matrix products, and a vector is moved once for every part and not once for every cell.
+
+Distances are ranked as rounded to nine digits, ties by id, and returned as they are.
+
 Cosine distances are searched as distances of unit vectors. A zero vector has distance 1 to all: such
 rows lie in a cell that every query visits, and such queries visit all cells.
 """
@@ -28,6 +34,9 @@ from gridloom.sources.scratch import durable
 BLOCK, PACK, MOST_PIVOTS = 1000, 128, 1024
 #: Rows placed at once, and cells whose packs are handed on at once: a task's arrays don't grow with the pivots.
 PLACED, HANDED = 1000, 32
+#: Queries of one part of a sweep at most, queries that meet a block at once, and the share of cells from which a search is a sweep.
+SWEPT, AT_ONCE, SWEEP_FROM = 1 << 15, 512, 0.1
+DIGITS = 9
 _ZERO = -1
 
 
@@ -124,16 +133,15 @@ def _meet(visits: DataFrame, blocks: DataFrame, want: int, cosine: bool) -> Data
         for b in (b.slice(s, 1) for b in batches for s in range(b.num_rows)):
             ids, own = np.asarray(b.column(0).flatten()), _vectors(b.column(1).flatten())
             others, there = np.asarray(b.column(2).flatten()), _vectors(b.column(3).flatten())
-            product = own @ there.T
-            distance = 1 - product if cosine else np.sqrt(np.maximum((own * own).sum(1)[:, None] + (there * there).sum(1) - 2 * product, 0))
-            distance = np.where(ids[:, None] == others, np.inf, np.round(distance, 12))
+            distance = 1 - own @ there.T if cosine else np.sqrt(sum((own[:, [i]] - there[:, i]) ** 2 for i in range(own.shape[1])))
+            rounded = np.where(ids[:, None] == others, np.inf, np.round(distance, DIGITS))
             rows, at = [], []
             for _ in range(min(want, len(others))):
-                best = distance.argmin(1)  # a block is in order of id, so the first of equals is the one of least id
-                some = np.flatnonzero(np.isfinite(distance[np.arange(len(ids)), best]))
+                best = rounded.argmin(1)  # a block is in order of id, so the first of equals is the one of least id
+                some = np.flatnonzero(np.isfinite(rounded[np.arange(len(ids)), best]))
                 rows.append(some)
                 at.append((best[some], distance[some, best[some]]))
-                distance[some, best[some]] = np.inf
+                rounded[some, best[some]] = np.inf
             row = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(others[np.concatenate([x for x, _ in at])], pa.int64()), pa.array(np.concatenate([x for _, x in at]))], names=["query", "neighbour", "distance"])
 
@@ -142,6 +150,95 @@ def _meet(visits: DataFrame, blocks: DataFrame, want: int, cosine: bool) -> Data
     return met.mapInArrow(run, "query long, neighbour long, distance double")
 
 
+class Nearest:
+    """The ``want`` nearest rows so far of some queries (ids, x), none of them farther than ``reach``.
+
+    Blocks are compared by one matrix product, cosines in single precision with room for its error; what may be near enough is measured in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, reach: np.ndarray, want: int, cosine: bool):
+        self.ids, self.x, self.want, self.cosine = ids, x, want, cosine
+        self.last, self.last_id = np.round(reach, DIGITS) + 10.0**-DIGITS, np.full(len(ids), np.iinfo(np.int64).max)
+        self.left = x.astype(np.float32) if cosine else np.column_stack([x, np.ones(len(x))])
+        self.size, self.room = (x * x).sum(1), (x.shape[1] + 4) * 1.2e-7 if cosine else 1e-9
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.fresh = 0
+
+    def meet(self, others: np.ndarray, there: np.ndarray) -> None:
+        right = there.astype(np.float32) if self.cosine else np.column_stack([there, -(there * there).sum(1) / 2])
+        for s in range(0, len(self.ids), AT_ONCE):
+            last = self.last[s : s + AT_ONCE]
+            least = 1 - last - self.room if self.cosine else (self.size[s : s + AT_ONCE] - last * last) / 2 - self.room
+            hit = np.flatnonzero(self.left[s : s + AT_ONCE] @ right.T >= least.astype(right.dtype)[:, None])
+            row, col = np.divmod(hit, len(others))
+            row += s
+            if self.cosine:
+                distance = 1 - np.einsum("ij,ij->i", self.x[row], there[col])
+            else:
+                distance = np.sqrt(((self.x[row] - there[col]) ** 2).sum(1))
+            rounded = np.round(distance, DIGITS)
+            better = (rounded < self.last[row]) | (rounded == self.last[row]) & (others[col] < self.last_id[row])
+            some = np.flatnonzero(better & (self.ids[row] != others[col]))
+            self.found.append((row[some], others[col[some]], distance[some]))
+            self.fresh += len(some)
+            if self.fresh > self.want * len(self.ids):
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, other, distance, rank) of the nearest so far; from now on only nearer rows count."""
+        row, other, distance = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        rounded = np.round(distance, DIGITS)
+        order = np.lexsort((other, rounded, row))
+        rank = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+        order, rank = order[rank < self.want], rank[rank < self.want]
+        row, other, distance = row[order], other[order], distance[order]
+        full = np.flatnonzero(rank == self.want - 1)
+        self.last[row[full]], self.last_id[row[full]] = rounded[order[full]], other[full]
+        self.found, self.fresh = [(row, other, distance)], 0
+        return row, other, distance, rank + 1
+
+
+def sweep(asked: DataFrame, blocks: DataFrame, n: int, want: int, cosine: bool) -> DataFrame:
+    """(query, neighbour, distance, rank): the nearest rows of ``n`` queries (id, v, reach), each of which meets every block."""
+    tasks = asked.sparkSession.sparkContext.defaultParallelism
+    parts = -(-n // SWEPT) if n > tasks * SWEPT else min(tasks, -(-n // BLOCK))
+    parts = -(-parts // tasks) * tasks if parts > tasks else parts
+    # Ids are hashed to parts with another seed than to the parts of a block.
+    own = asked.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("at"), F.lit(True).alias("asks"), F.array("id").alias("ids"), F.array("v").alias("vectors"), "reach")
+    passing = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("at"), F.lit(False).alias("asks"), F.col("others").alias("ids"), F.col("there").alias("vectors"), F.lit(None).cast("double").alias("reach"))
+    dealt = own.unionByName(passing).repartitionById(parts, F.col("at")).sortWithinPartitions(F.desc("asks"))
+
+    def run(batches):
+        held, nearest = [], None
+        for b in batches:
+            asks = b.column(1).to_numpy(zero_copy_only=False).sum()
+            if asks:
+                mine = b.slice(0, asks)
+                held.append((np.asarray(mine.column(2).flatten()), _vectors(mine.column(3).flatten()), np.asarray(mine.column(4))))
+            for i in range(asks, b.num_rows if held else 0):
+                if nearest is None:
+                    nearest = Nearest(*(np.concatenate(c) for c in zip(*held, strict=True)), want, cosine)
+                nearest.meet(np.asarray(b.column(2).slice(i, 1).flatten()), _vectors(b.column(3).slice(i, 1).flatten()))
+        if nearest is not None:
+            row, other, distance, rank = nearest.settle()
+            for s in range(0, len(row), 1 << 16):
+                some = slice(s, s + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(nearest.ids[row[some]]), pa.array(other[some]), pa.array(distance[some]), pa.array(rank[some], pa.int32())], names=["query", "neighbour", "distance", "rank"])
+
+    return dealt.mapInArrow(run, "query long, neighbour long, distance double, rank int")
+
+
+def visits(queries: DataFrame, cells: Cells) -> DataFrame:
+    """(queries, visits): how many cells beyond their own the queries (id, v, reach) visit."""
+    held = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches):
+        for b in (b.slice(s, PLACED) for b in batches for s in range(0, b.num_rows, PLACED)):
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([int(held.value.visited(_vectors(b.column(0)), np.asarray(b.column(1)))[1].sum())])], names=["queries", "visits"])
+
+    return queries.select("v", "reach").mapInArrow(run, "queries long, visits long").agg(F.sum("queries").alias("queries"), F.sum("visits").alias("visits"))
+
+
 def build_cells(rows: DataFrame, metric: str, cell_rows: int) -> tuple[Cells, DataFrame]:
     """Cells, and the blocks (cell, part, others, there) of all rows (id, v)."""
     n = rows.count()
@@ -173,12 +270,17 @@ def knn(df: DataFrame, key: str, vector: str, k: int, *, metric: str = "cosine",
     asked = rows if queries is None else durable(_rows(queries, key, vector, metric))
     # Queries of one cell follow each other, so that packs visit few cells.
     asked = durable(_placed(asked, cells).drop("gap").sort("cell", "id").withColumn("reach", F.lit(float("inf"))))
-    order = Window.partitionBy("query").orderBy("distance", "neighbour")
+    order = Window.partitionBy("query").orderBy(F.round("distance", DIGITS), "neighbour")
     top = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= want)
     one = durable(top(_meet(plan_visits(asked, cells, True), blocks, want, cosine)))
     bounds = one.filter(F.col("rank") == want).select(F.col("query").alias("_q"), "distance")
     reach = F.sqrt(F.greatest(2 * F.col("distance"), F.lit(0.0))) if cosine else F.col("distance")
-    wide = asked.drop("reach").join(bounds, F.col("id") == F.col("_q"), "left").withColumn("reach", F.coalesce(reach, F.lit(float("inf")))).sort("cell", "id")
-    two = _meet(plan_visits(wide, cells, False), blocks, want, cosine)
-    ranked = top(one.drop("rank").unionByName(two)).filter(F.col("rank") > skip_first)
-    return ranked.withColumn("rank", (F.col("rank") - skip_first).cast("int"))
+    wide = asked.drop("reach").join(bounds, F.col("id") == F.col("_q"), "left").withColumn("reach", F.coalesce(reach, F.lit(float("inf"))))
+    wide = durable(wide.withColumn("distance", F.coalesce("distance", F.lit(float("inf")))).sort("cell", "id"))
+    ahead = visits(wide, cells).first()
+    if ahead.queries and ahead.visits > SWEEP_FROM * ahead.queries * len(cells.low):
+        ranked = sweep(wide.withColumn("reach", F.col("distance")), blocks, ahead.queries, want, cosine)
+    else:
+        two = _meet(plan_visits(wide, cells, False), blocks, want, cosine)
+        ranked = top(one.drop("rank").unionByName(two))
+    return ranked.filter(F.col("rank") > skip_first).withColumn("rank", (F.col("rank") - skip_first).cast("int"))

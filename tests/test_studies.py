@@ -18,7 +18,7 @@ from gridloom.operators import neighbours, quantiles, studies
 from gridloom.operators import projections as p
 from gridloom.operators import sampling as x
 from gridloom.operators import similarity as s
-from gridloom.plans import modelling
+from gridloom.plans import analytics, modelling
 from gridloom.sources import tiles
 
 
@@ -198,6 +198,43 @@ def test_neighbours_equal_brute_force(spark, monkeypatch, metric):
     assert neighbours.knn(df.limit(0), "id", "v", 3).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("swept", [True, False])
+def test_every_row_asks_all_rows(spark, monkeypatch, metric, swept):
+    """Both ways of a search give what brute force gives, for copies, ties and zero vectors too, and in parts and blocks of any size."""
+    for name, value in {"BLOCK": 20, "PACK": 8, "SWEPT": 64, "AT_ONCE": 10, "SWEEP_FROM": -1 if swept else 2}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    taken, sweep = [], neighbours.sweep
+    monkeypatch.setattr(neighbours, "sweep", lambda *a: taken.append(1) or sweep(*a))
+    r = np.random.default_rng(6)
+    v = r.normal(size=(330, 4)).round(1)
+    v[100:160] = v[100]
+    v[200:230] = v[:30]
+    v[50:53] = 0
+    ids = r.permutation(1000)[:330]
+    df = spark.createDataFrame([(int(i), a.tolist()) for i, a in zip(ids, v, strict=True)], "id long, v array<double>").repartition(3)
+    got: dict = {}
+    for row in neighbours.knn(df, "id", "v", 5, metric=metric, cell_rows=40).collect():
+        got.setdefault(row.query, {})[row["rank"]] = (row.neighbour, row.distance)
+    assert len(got) == 330 and bool(taken) == swept
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / np.where(size > 0, size, 1)
+    for i, at in enumerate(ids):
+        d = 1 - u @ u[i] if metric == "cosine" else np.sqrt(((v - v[i]) ** 2).sum(1))
+        want = [j for j in np.lexsort((ids, np.round(d, 9))) if j != i][:5]
+        assert [got[at][k][0] for k in range(1, 6)] == ids[want].tolist()
+        assert [got[at][k][1] for k in range(1, 6)] == pytest.approx(d[want].tolist(), abs=1e-12)
+
+
+def each_query_has(spark, sf, name, rows):
+    found = {r.query: r["count"] for r in getattr(analytics, name)(spark, sf).groupBy("query").count().collect()}
+    assert found == {r.vec_id: rows for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+
+
+def test_cosine_search_asks_for_every_row(spark, sf):
+    each_query_has(spark, sf, "j8_w9_cosine_knn", 10)
+
+
 def test_arrays_do_not_grow_with_the_pivots():
     """A batch is placed and dealt to cells in pieces, whose size the number of pivots does not change, and no visit is lost."""
     r = np.random.default_rng(3)
