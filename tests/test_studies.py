@@ -235,6 +235,10 @@ def test_cosine_search_asks_for_every_row(spark, sf):
     each_query_has(spark, sf, "j8_w9_cosine_knn", 10)
 
 
+def test_radar_search_asks_for_every_row(spark, sf):
+    each_query_has(spark, sf, "j9_euclidean_knn", 5)
+
+
 def test_arrays_do_not_grow_with_the_pivots():
     """A batch is placed and dealt to cells in pieces, whose size the number of pivots does not change, and no visit is lost."""
     r = np.random.default_rng(3)
