@@ -243,6 +243,10 @@ def test_nearest_other_is_found_for_every_row(spark, sf):
     each_query_has(spark, sf, "j11_nearest_other_embedding", 1)
 
 
+def test_overlap_is_measured_for_every_row(spark, sf):
+    each_query_has(spark, sf, "j13_neighbour_overlap", 3)
+
+
 def test_arrays_do_not_grow_with_the_pivots():
     """A batch is placed and dealt to cells in pieces, whose size the number of pivots does not change, and no visit is lost."""
     r = np.random.default_rng(3)
