@@ -247,6 +247,11 @@ def test_overlap_is_measured_for_every_row(spark, sf):
     each_query_has(spark, sf, "j13_neighbour_overlap", 3)
 
 
+def test_overlap_summary_counts_every_row(spark, sf):
+    out = analytics.a12_overlap_summary(spark, sf).collect()
+    assert {r.k: r.n for r in out if r.region is None and r.dw_label_name is None} == dict.fromkeys((5, 10, 20), spark.read.parquet(f"{sf}/embeddings.parquet").count())
+
+
 def test_arrays_do_not_grow_with_the_pivots():
     """A batch is placed and dealt to cells in pieces, whose size the number of pivots does not change, and no visit is lost."""
     r = np.random.default_rng(3)
