@@ -252,6 +252,14 @@ def test_overlap_summary_counts_every_row(spark, sf):
     assert {r.k: r.n for r in out if r.region is None and r.dw_label_name is None} == dict.fromkeys((5, 10, 20), spark.read.parquet(f"{sf}/embeddings.parquet").count())
 
 
+def test_nearest_cosine_is_the_mean_over_every_row(spark, sf):
+    v = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    nearest = (u @ u.T - 3 * np.eye(len(u))).max(1)
+    out = analytics.a19_nearest_cosine(spark, sf).first()
+    assert out.mean_cosine == pytest.approx(nearest.mean(), abs=1e-6) and out.p95_cosine == pytest.approx(np.quantile(nearest, 0.95), abs=1e-6)
+
+
 def test_arrays_do_not_grow_with_the_pivots():
     """A batch is placed and dealt to cells in pieces, whose size the number of pivots does not change, and no visit is lost."""
     r = np.random.default_rng(3)
