@@ -428,6 +428,18 @@ def test_reconstruction_reads_the_scene_once_and_moves_no_pixel(spark, sf):
     assert first[True].r2 == pytest.approx(second[True].r2) and first[True].n == second[True].n
 
 
+def test_reconstruction_reads_every_value_and_fills_every_band(spark, sf, tmp_path):
+    """Prices follow the last of the 64 values, so bands can be told in the gaps only by who reads that."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
+    orders = spark.range(6000).withColumn("vec_id", F.col("id") % vectors.count()).join(vectors, "vec_id")
+    orders.select(F.col("id").alias("o_orderkey"), F.lit("F").alias("o_orderstatus"), (250000 + 300000 * F.element_at("embedding", 64).cast("double")).alias("o_totalprice")).write.parquet(f"{tmp_path}/orders.parquet")
+    out = {(r.band, r.is_gap): r for r in modelling.m3_reconstruction(spark, str(tmp_path)).collect()}
+    assert set(out) == {(b, g) for b in modelling.tables.TARGETS for g in (False, True)}
+    assert all(r.rmse == 0 if not g else r.r2 > 0.8 for (_, g), r in out.items())
+    assert all(out[b, False].n + out[b, True].n == 6000 for b in modelling.tables.TARGETS)
+
+
 def test_a_vectors_length_is_taken_once_for_a_row(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None])], "id int, v array<float>")
     out = df.select("id", unit(F.col("v")).alias("u"))
